@@ -144,9 +144,9 @@ def chunks(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray, limit: int = 1 <
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     row = 0
-    while row < len(texts):
+    while row < len(texts):  # at most 32,768 rows at once
         to = max(row + 1, int(np.searchsorted(off, off[row] + limit, "right")) - 1)
-        to = min(to, len(texts))
+        to = min(to, row + 32_768, len(texts))
         yield row, Words(data[off[row] : off[to]], off[row : to + 1] - off[row], kind)
         row = to
 

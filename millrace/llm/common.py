@@ -66,12 +66,15 @@ _POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    """A bijection of 64-bit numbers that spreads every bit: multiplications, and the upper half onto the lower."""
+    shape, h = np.shape(h), np.atleast_1d(np.multiply(h, np.uint64(0xFF51AFD7ED558CCD)))
+    for factor in (0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25):
+        half = h.reshape(-1).view(np.uint32).reshape(-1, 2)
+        half[:, 0] ^= half[:, 1]
+        h *= np.uint64(factor)
+    half = h.reshape(-1).view(np.uint32).reshape(-1, 2)
+    half[:, 0] ^= half[:, 1]
+    return h.reshape(shape)
 
 
 def _powers(n: int) -> list[np.ndarray]:
@@ -131,7 +134,7 @@ def hash_word(word: str) -> int:
     return int(Words(b, np.array([0, len(b)]), np.ones(256, bool)).hash[0]) if len(b) else 0
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, Words]]:
+def chunks(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, Words]]:
     """(number of the first row, Words) for runs of rows of about limit bytes; a longer text has a run of its own.
     Null texts count as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -181,10 +184,39 @@ class Tally:
         self.parts, self.size = [], 0
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where in the sorted table each key is; -1 where it isn't."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return np.where(table[at] == keys, at, -1)
+class Lookup:
+    """Where in a table of distinct 64-bit keys each of many keys is, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = np.ascontiguousarray(keys).view(np.uint64)
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask, self.probes = np.uint64(64 - bits), (1 << bits) - 1, 0
+        self.keys, self.at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        left, place = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            self.probes += 1
+            free = self.at[place] < 0
+            self.at[place[free]] = left[free]  # of several for one place the last stays
+            won = self.at[place] == left
+            self.keys[place[won]] = keys[left[won]]
+            left, place = left[~won], (place[~won] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """-1 where a key isn't in the table."""
+        keys = np.ascontiguousarray(keys).view(np.uint64)
+        place = self._home(keys)
+        at = self.at[place]
+        out = np.where(self.keys[place] == keys, at, -1)
+        left = np.flatnonzero((out < 0) & (at >= 0))
+        for _ in range(self.probes - 1):
+            if not len(left):
+                break
+            place[left] = (place[left] + 1) & self.mask
+            at = self.at[place[left]]
+            hit = (at >= 0) & (self.keys[place[left]] == keys[left])
+            out[left[hit]] = at[hit]
+            left = left[(at >= 0) & ~hit]
+        return out.astype(np.int64)

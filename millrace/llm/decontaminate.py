@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ALNUM, chunks, cut, find, hash_word
+from millrace.llm.common import ALNUM, Lookup, chunks, cut, hash_word
 
 WINDOW = 10
 #: Words of items that go into one automaton; more items are gone through in blocks.
@@ -129,10 +129,10 @@ def marks(docs: DataFrame, block: list[tuple[str, list[str]]], id_col: str, text
     vocabulary = np.unique(np.array([hash_word(w) for w in {w for _, ws in block for w in ws}], np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton, in_items = shared.value, Lookup(vocabulary)
         for batch in batches:
             for row, w in chunks(batch.column(1), ALNUM):
-                known = find(vocabulary, w.hash) >= 0
+                known = in_items(w.hash) >= 0
                 same = np.zeros(len(known), bool)
                 same[1:] = known[1:] & known[:-1]
                 first = w.first[:-1]
@@ -225,11 +225,11 @@ def _remover(shared, at: int, n_chars: int | None, coverage: float):
 
     def run(batches):
         automaton = shared.value
-        vocabulary = np.unique(np.array([hash_word(w) for w in automaton.next[0]], np.uint64))
+        in_items = Lookup(np.unique(np.array([hash_word(w) for w in automaton.next[0]], np.uint64)))
         for batch in batches:
             texts, keep, changed = batch.column(at), np.ones(batch.num_rows, bool), {}
             for row, w in chunks(texts, ALNUM):
-                known = np.r_[0, np.cumsum(find(vocabulary, w.hash) >= 0)]
+                known = np.r_[0, np.cumsum(in_items(w.hash) >= 0)]
                 n = automaton.least
                 full = known[n:] - known[:-n] == n if len(known) > n else np.zeros(0, bool)
                 for doc in np.unique(np.searchsorted(w.first, np.flatnonzero(full), "right") - 1).tolist():

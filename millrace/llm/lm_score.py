@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NONSPACE, Tally, Words, chunks, cut, find
+from millrace.llm.common import NONSPACE, Lookup, Tally, Words, chunks, cut
 
 END, START = np.uint64(0x5E4D0F7E9A3B1C27), np.uint64(0x1B2A3C4D5E6F7081)
 #: Least shares: of a word to have an id and arcs, of an n-gram to be an arc. Their inverses bound the broadcasts.
@@ -75,6 +75,23 @@ class Level:
     logp: np.ndarray = field(default_factory=lambda: np.zeros(0))
     backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return _lookup(self, self.keys)(keys)
+
+
+def _lookup(of, keys: np.ndarray) -> Lookup:
+    """Built where it is first needed, and not sent."""
+    if getattr(of, "_at", None) is None:
+        of._at = Lookup(keys)
+    return of._at
+
+
+def _without_lookup(of) -> dict:
+    return {k: v for k, v in of.__dict__.items() if k != "_at"}
+
+
+Level.__getstate__ = _without_lookup
+
 
 @dataclass
 class Model:
@@ -89,19 +106,24 @@ class Model:
     backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
     levels: list[Level] = field(default_factory=list)
 
+    __getstate__ = _without_lookup
+
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        return _lookup(self, self.words)(tokens)
+
     def read(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """ids of the tokens, and for each order the arc that each token takes (-1: none) and the state of that order
         before it (-1: none), reading every text from left to right from its start state."""
-        ids = find(self.words, tokens)
+        ids = self.find(tokens)
         starts = first[:-1]
-        begin = find(self.words, np.array([START]))[0]
+        begin = self.find(np.array([START]))[0]
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
         before[starts] = begin
         arcs, states = [ids], [np.full(len(ids), 0)]
         for level in self.levels:
             key = before * len(self.words) + ids
-            arc = find(level.keys, np.where((before >= 0) & (ids >= 0), key, -1))
+            arc = level.find(np.where((before >= 0) & (ids >= 0), key, -1))
             arcs.append(arc)
             states.append(before)
             before = np.empty_like(arc)
@@ -113,7 +135,7 @@ class Model:
     def smooth(self) -> None:
         """Absolute discounting: of each history the arcs' discounted shares, the rest of the mass to the failure arc."""
         self.backoff = np.zeros(len(self.words))
-        below_counts, below_backoff, below_logp = self.counts.astype(float), self.backoff, self.logp
+        below_counts, below_backoff = self.counts.astype(float), self.backoff
         for n, level in enumerate(self.levels):
             state, word = level.keys // len(self.words), level.keys % len(self.words)
             share = np.maximum(level.counts - DISCOUNT, 0) / below_counts[state]
@@ -124,7 +146,6 @@ class Model:
             level.logp = np.log10(share + 10 ** (below_backoff[state] + lower))
             level.backoff = np.zeros(len(level.keys))
             below_counts, below_backoff = level.counts.astype(float), level.backoff
-        del below_logp
 
     def _lower(self, n: int, level: Level, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of the next shorter history's probability of word."""
@@ -132,15 +153,8 @@ class Model:
             return self.logp[word]
         up = self.levels[n - 1]
         suffix = up.keys[state] % len(self.words)  # of a state (u, v) the word v: for order 3 the shorter history is v
-        for k in range(1, n):  # longer orders: the suffix of a history without its first word
-            suffix = find(self.levels[k - 1].keys, self._suffix_of(k, up.keys[state]))
-        arc = find(up.keys, np.where(suffix >= 0, suffix * len(self.words) + word, -1))
-        short = np.where(arc >= 0, up.logp[arc], 0.0)
-        out = np.where(suffix >= 0, self.backoff[suffix] if n == 1 else self.levels[n - 2].backoff[suffix], 0.0)
-        return np.where(arc >= 0, short, out + self.logp[word])
-
-    def _suffix_of(self, k: int, keys: np.ndarray) -> np.ndarray:
-        raise NotImplementedError("orders over 3")
+        arc = up.find(suffix * len(self.words) + word)
+        return np.where(arc >= 0, up.logp[arc] if len(up.keys) else 0.0, self.backoff[suffix] + self.logp[word])
 
     def score(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids, and each token's log10 probability; for a word without an id only its failure arcs' weights."""
@@ -152,7 +166,7 @@ class Model:
             arc, state = arcs[n], states[n]
             weight = self.backoff if n == 1 else self.levels[n - 2].backoff
             take = ~done & (arc >= 0)
-            out[take] = fail[take] + self.levels[n - 1].logp[arc[take]]
+            out[take] = fail[take] + self.levels[n - 1].logp[arc[take]]  # of shorter histories only failure arcs were paid
             done |= take
             drop = ~done & (state >= 0)
             fail[drop] += weight[state[drop]]
@@ -188,11 +202,11 @@ def _frequent(tally: Tally, tokens: int, share: float) -> pa.RecordBatch:
 def gram_counts(shared, keys):
     def run(batches):
         model, table = shared.value, keys.value
-        n = np.zeros(len(table), np.int64)
+        n, where = np.zeros(len(table), np.int64), Lookup(table)
         for tokens, first in training(batches):
             ids, _, states = model.read(tokens, first)
             ok = (states[-1] >= 0) & (ids >= 0)
-            at = find(table, states[-1][ok] * len(model.words) + ids[ok])
+            at = where(states[-1][ok] * len(model.words) + ids[ok])
             n += np.bincount(at[at >= 0], minlength=len(table))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(table[some]), pa.array(n[some])], names=["key", "n"])
@@ -207,7 +221,9 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[Model, DataFrame]:
-    """The automaton and the table key, n of all training words. docs: id, text."""
+    """The automaton (of order 2 or 3) and the table key, n of all training words. docs: id, text."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     sc = docs.sparkSession.sparkContext
     words = cut(docs.mapInArrow(count_words, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     row = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()

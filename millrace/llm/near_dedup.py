@@ -28,9 +28,12 @@ from millrace.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 SIZE = 128
-#: Bits (of 128) in which sketches of a pair may differ before it is compared: 0.8 has 12.8 on average, with a standard
-#: deviation of 3.4.
-DIFFER = 32
+#: Components (of 128, of each 4 bits) in which sketches of a pair may differ for it to be compared: at a similarity of
+#: 0.8 they differ in 24 on average with a standard deviation of 4.4, and in more than 44 once in 300,000 pairs.
+DIFFER, SKETCH = 44, 8
+#: Nodes outside their band's component are compared with some of its members, anew as long as all comparisons still
+#: open are over this many for each node; what then is open is compared in full.
+OPEN, TRIES, AT_ONCE = 4, 1, 4
 BROADCAST_IDS = 2_000_000
 
 
@@ -72,23 +75,41 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: i
     if not docs:
         return sig.reshape(rows, size)
     doc, seed, rate, low, top = (np.concatenate(x) for x in (docs, seeds, rates, lows, tops))
+    # of a long text only points before this can stay, but for one text in 400, which is then drawn in full
+    until = size * (np.log(size) + 6) / np.maximum(np.bincount(row, weight, rows), 1)
+    _draw(sig, size, doc, seed, rate, low, top, until)
+    again = (sig.reshape(rows, size).max(axis=1) > until)[doc]
+    if again.any():
+        _draw(sig, size, *(x[again] for x in (doc, seed, rate, low, top)), np.full(rows, np.inf))
+    return sig.reshape(rows, size)
+
+
+def _uniform(r: np.ndarray) -> np.ndarray:
+    return (r.astype(np.float64) + 0.5) * 2.0**-64
+
+
+def _draw(sig: np.ndarray, size: int, doc: np.ndarray, seed: np.ndarray, rate: np.ndarray, low: np.ndarray, top: np.ndarray, until: np.ndarray) -> None:
+    """Puts the points before until into sig, as long as they can still change it."""
+    least = np.exp(-until)[doc]
+    least[rate != 1] **= rate[rate != 1]
+    go = np.flatnonzero(_uniform(mix(seed)) > least)  # the first point is before until
+    doc, seed, rate, low, top = (x[go] for x in (doc, seed, rate, low, top))
+    until = until[doc]
     t, done = np.zeros(len(doc)), 0
     while len(doc):
-        points = 1 if done < 3 and len(doc) > 4096 else 16
+        points = 1 if len(doc) > 4096 else min(256, max(4, 4096 // len(doc)))
         number = np.arange(done, done + points, dtype=np.uint64)
         r = mix(seed[:, None] + number * np.uint64(0x9E3779B97F4A7C15))
-        gap = -np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
-        at = np.cumsum(np.concatenate([t[:, None], gap], axis=1), axis=1)[:, 1:]
+        at = np.cumsum(np.concatenate([t[:, None], -np.log(_uniform(r)) / rate[:, None]], axis=1), axis=1)[:, 1:]
         r = mix(r ^ np.uint64(0xA0761D6478BD642F))
         place = low[:, None] + ((r >> np.uint64(40)).astype(np.float64) * 2.0**-24) * rate[:, None]
         cell = doc[:, None] * size + (r & np.uint64(0xFFFFFF)).astype(np.int64) % size
         on = place < top[:, None]
         np.minimum.at(sig, cell[on], at[on])
         t, done = at[:, -1], done + points
-        last = sig.reshape(rows, size).max(axis=1)
-        go = t < last[doc]
-        doc, seed, rate, low, top, t = (x[go] for x in (doc, seed, rate, low, top, t))
-    return sig.reshape(rows, size)
+        last = sig.reshape(-1, size).max(axis=1)
+        go = t < np.minimum(last[doc], until)
+        doc, seed, rate, low, top, until, t = (x[go] for x in (doc, seed, rate, low, top, until, t))
 
 
 def bands_of(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -103,13 +124,25 @@ def bands_of(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
-    """One bit of each component, as two 64-bit numbers."""
-    bit = (mix(np.ascontiguousarray(sig).view(np.uint64)) & np.uint64(1)).reshape(len(sig), 2, 64)
-    return (bit << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    """Four bits of each component, as SKETCH 64-bit numbers."""
+    bits = (mix(np.ascontiguousarray(sig).view(np.uint64)) & np.uint64(15)).reshape(len(sig), SKETCH, SIZE // SKETCH)
+    return (bits << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+
+
+def _alike(x: str, y: str):
+    """Whether two sketches (arrays) differ in few enough components."""
+    lanes = 0x1111111111111111
+    differ = F.lit(0)
+    for k in range(SKETCH):
+        z = F.col(x)[k].bitwiseXOR(F.col(y)[k])
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(lanes)))
+    return differ <= DIFFER
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n (shingles), f1, f2 (of the multiset), s1, s2 (sketch), bands."""
+    """id, n (shingles), f1, f2 (of the multiset), sketch, bands."""
     for batch in batches:
         for begin, w in chunks(batch.column(1), ALNUM):
             row, shingle, weight = shingles(w)
@@ -120,12 +153,10 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.r_[np.uint64(0), np.cumsum(mix(shingle ^ np.uint64(salt)) * weight.astype(np.uint64))]
                 edge = np.searchsorted(row, np.arange(w.rows + 1))
                 prints.append(total[edge[1:]] - total[edge[:-1]])
-            s = sketch(sig)
-            bands = bands_of(sig).view(np.int64).ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(w.rows + 1, dtype=np.int32) * BANDS), pa.array(bands))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(w.rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (sketch(sig), bands_of(sig))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(begin, w.rows), pa.array(n), *[pa.array(p.view(np.int64)) for p in prints], *[pa.array(np.ascontiguousarray(s[:, k]).view(np.int64)) for k in (0, 1)], lists],
-                names=["id", "n", "f1", "f2", "s1", "s2", "bands"],
+                [batch.column(0).slice(begin, w.rows), pa.array(n), *[pa.array(p.view(np.int64)) for p in prints], *lists],
+                names=["id", "n", "f1", "f2", "sketch", "bands"],
             )
 
 
@@ -173,32 +204,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = docs.mapInArrow(features, f"id {kind}, n bigint, f1 bigint, f2 bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    rows = docs.mapInArrow(features, f"id {kind}, n bigint, f1 bigint, f2 bigint, sketch array<bigint>, bands array<bigint>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("none", F.col("id").isNull()))
     prints = ["n", "f1", "f2"]
     nodes = cut(rows.where("n > 0").groupBy(*prints).agg(F.min(F.struct("none", "id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).select(*prints, F.col("first.row").alias("node"), F.col("first.id").alias("id"), "copies"))
     firsts = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    banded = cut(firsts.select(F.explode("bands").alias("key"), F.col("row").alias("node"), "s1", "s2"))
-    hubs = cut(banded.groupBy("key").agg(F.min(F.struct("node", "s1", "s2")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"))
-    shared = banded.join(hubs.hint("merge"), "key")
-    near = lambda x, y: F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) + F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2"))) <= DIFFER
-    stars = shared.where((F.col("node") != F.col("hub.node")) & near("", "hub.")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    links = cut(_verified(docs, nodes, cut(stars.distinct())))
+    banded = cut(firsts.select(F.explode("bands").alias("key"), F.col("row").alias("node")))
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    shared = cut(banded.join(hubs.hint("merge"), "key"))
+    sketches = cut(firsts.select("row", "sketch").join(shared.select(F.col("node").alias("row")).distinct(), "row", "left_semi"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Of pairs a, b those that are similar enough."""
+        for k in "ab":
+            pairs = pairs.join(sketches.select(F.col("row").alias(k), F.col("sketch").alias(f"sketch_{k}")), k)
+        return cut(_verified(docs, nodes, cut(pairs.where(_alike("sketch_a", "sketch_b")).select("a", "b"))))
+
+    links = compared(shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     comps = components(links)
-    # what a band has outside its smallest node's component is held against all that the band has in other components
-    label = comps.select(F.col("node").alias("l_node"), "comp")
-    inside = shared.join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", "s1", "s2", F.col("hub.node").alias("hub"), F.coalesce("comp", "node").alias("comp"))
-    hub_label = comps.select(F.col("node").alias("l_node"), F.col("comp").alias("hub_comp"))
-    inside = inside.join(hub_label, F.col("hub") == F.col("l_node"), "left").drop("l_node").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
-    inside = cut(inside)
-    odd = inside.where("comp != hub_comp")
-    others = inside.select("key", F.col("node").alias("o_node"), F.col("s1").alias("o_s1"), F.col("s2").alias("o_s2"), F.col("comp").alias("o_comp"))
-    pairs = odd.join(others, "key").where((F.col("comp") != F.col("o_comp")) & (F.col("o_node") != F.col("hub")) & near("", "o_"))
-    pairs = cut(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct())
-    if not pairs.isEmpty():
-        more = cut(_verified(docs, nodes, pairs))
-        if not more.isEmpty():
-            comps = components(links.union(more))
+    total, round_ = shared.select("node").distinct().count(), 0
+    while True:
+        # the nodes of a band that are not in its smallest node's component
+        inside = shared.join(comps.select(F.col("node").alias("l"), "comp"), F.col("node") == F.col("l"), "left").select("key", "node", "hub", F.coalesce("comp", "node").alias("comp"))
+        inside = inside.join(comps.select(F.col("node").alias("l"), F.col("comp").alias("of_hub")), F.col("hub") == F.col("l"), "left").select("key", "node", "comp", F.coalesce("of_hub", "hub").alias("of_hub"))
+        inside = cut(inside)
+        odd = inside.where("comp != of_hub")
+        counts = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("comp") != F.col("of_hub")).cast("long")).alias("odd")).where("odd > 0")
+        left = counts.agg(F.sum(F.col("n") * F.col("odd"))).first()[0] or 0
+        if not left:
+            break
+        round_ += 1
+        if left <= OPEN * total or round_ > TRIES:
+            others = inside.join(counts.select("key"), "key", "left_semi")
+            others = others.join(sketches.withColumnRenamed("row", "node"), "node").select("key", F.col("node").alias("o_node"), F.col("sketch").alias("o_sketch"), F.col("comp").alias("o_comp"))
+            odd = odd.join(sketches.withColumnRenamed("row", "node"), "node")
+            pairs = odd.join(others, "key").where((F.col("comp") != F.col("o_comp")) & _alike("sketch", "o_sketch"))
+            pairs = pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+            more = cut(_verified(docs, nodes, cut(pairs)))
+            if not more.isEmpty():
+                comps = components(links.union(more))
+            break
+        # some members of the component that most of the band is likely to be in, others in each round
+        picks = [F.max_by("node", F.xxhash64("node", "key", F.lit(round_ * AT_ONCE + k))).alias(f"p{k}") for k in range(AT_ONCE)]
+        picked = inside.where("comp = of_hub").groupBy("key").agg(*picks)
+        pairs = odd.join(picked.hint("merge"), "key").select(F.explode(F.array(*[f"p{k}" for k in range(AT_ONCE)])).alias("p"), "node")
+        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        links = cut(links.union(compared(pairs)))
+        comps = components(links)
     classes = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least")
     sizes = classes.groupBy("comp").agg(least, F.sum("copies").alias("class_size"))

@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, exact_dedup, lm_score, near_dedup, sharding, url_filter
+from millrace.llm import decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, quality, sharding, url_filter, warc
 
-QUERIES = {"op2_url_filter": url_filter.op2_url_filter, "op3_exact_dedup": exact_dedup.op3_exact_dedup, "op6_sampled_splitters": sharding.op6_sampled_splitters, "op7_near_dedup": near_dedup.op7_near_dedup, "op8_decontamination": decontaminate.op8_decontamination, "op10_lm_score": lm_score.op10_lm_score}
-ORACLE_SQL = {"op2_url_filter": url_filter.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op8_decontamination": decontaminate.OP8_SQL}
+QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_warc_derivatives": warc.op5_warc_derivatives,
+    "op6_sampled_splitters": sharding.op6_sampled_splitters,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_decontamination": decontaminate.op8_decontamination,
+    "op10_lm_score": lm_score.op10_lm_score,
+}
+ORACLE_SQL = {
+    "op2_url_filter": url_filter.OP2_SQL,
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_warc_derivatives": warc.OP5_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
+}

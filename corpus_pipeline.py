@@ -1,7 +1,52 @@
-"""Stub while the stages are being written."""
-STAGES = []
+"""The corpus pipeline: what a training corpus goes through, stage by stage. Part of the subpackage millrace.llm."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, exact_dedup, near_dedup, quality, sentence_pieces
+from millrace.llm.common import cut, shared_dir
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents over their language's perplexity limit go."""
+    marks = quality.judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.join(marks.where("not keep").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id stays."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    gone = cut(near_dedup.near_duplicates(docs).where("not kept").select("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out; documents that are mostly such passages go."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, n_bytes, ids_sha256, round_trip."""
+    return sentence_pieces.encode(docs, digest=True)
+
+
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("decontamination", benchmark_stage), ("sentence_pieces", pieces_stage)]
+#: The stages have models, signatures and automata, which SQL can't express; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs.select([F.col(c) for c in docs.columns])

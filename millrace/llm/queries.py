@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, quality, sharding, url_filter, warc
+from millrace.llm import decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, quality, sentence_pieces, sharding, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_sentence_pieces": sentence_pieces.op9_sentence_pieces,
     "op10_lm_score": lm_score.op10_lm_score,
 }
 ORACLE_SQL = {

@@ -1 +1,4 @@
+"""The queries of the library."""
 
+from millrace.plans import texts  # noqa: F401
+from millrace.plans.registry import QUERIES, SQL  # noqa: F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.plans.registry import query
 
-NORM = "upper(trim(regexp_replace(translate(regexp_replace(coalesce({}, ''), '[®™©]', '', 'g'), 'ğüşıöçĞÜŞİÖÇ', 'gusiocGUSIOC'), '\\s+', ' ', 'g')))"
+NORM = "upper(trim(regexp_replace(translate(replace(regexp_replace(coalesce({}, ''), '[®™©]', '', 'g'), 'ß', 'SS'), 'ğüşıöçĞÜŞİÖÇ', 'gusiocGUSIOC'), '\\s+', ' ', 'g')))"
 N = NORM.format("p_name")
 
 

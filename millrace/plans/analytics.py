@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from millrace.plans.registry import query
 
-ONE = F.lit(1)
 #: Two parts of one order are an edge; how often decides the severity.
 EDGES = "edges AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n, CASE WHEN count(*) >= 3 THEN 'major' WHEN count(*) = 2 THEN 'moderate' ELSE 'minor' END AS severity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2)"
 LEVEL = "CASE severity WHEN 'major' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END"
@@ -19,7 +18,7 @@ LEVEL = "CASE severity WHEN 'major' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END"
 def edges(t):
     l = t.lineitem.select("l_orderkey", "l_partkey")  # noqa: E741
     pairs = l.withColumnRenamed("l_partkey", "src").join(l.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("src < dst")
-    return pairs.groupBy("src", "dst").agg(F.count(ONE).alias("n")).withColumn("severity", F.expr("case when n >= 3 then 'major' when n = 2 then 'moderate' else 'minor' end"))
+    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).withColumn("severity", F.expr("case when n >= 3 then 'major' when n = 2 then 'moderate' else 'minor' end"))
 
 
 @query("graph_edges", f"WITH {EDGES} SELECT * FROM edges")
@@ -35,7 +34,7 @@ def one_hop_top(t):
 
 @query("severity_distribution", f"WITH {EDGES} SELECT severity, count(*) AS n FROM edges GROUP BY 1")
 def severity_distribution(t):
-    return edges(t).groupBy("severity").agg(F.count(ONE).alias("n"))
+    return edges(t).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 @query("both_endpoints", f"WITH {EDGES}, s AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#1') SELECT src, dst, severity FROM edges WHERE src IN (SELECT * FROM s) AND dst IN (SELECT * FROM s)")
@@ -53,7 +52,7 @@ def mention_anti(t):
 
 @query("optional_counts", "SELECT p_partkey, coalesce(n, 0) AS lines, coalesce(s, 0) AS suppliers FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
 def optional_counts(t):
-    c = t.lineitem.groupBy("l_partkey").agg(F.count(ONE).alias("n"), F.countDistinct("l_suppkey").alias("s"))
+    c = t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("s"))
     return t.part.join(c, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("lines"), F.coalesce("s", F.lit(0)).alias("suppliers"))
 
 
@@ -119,7 +118,7 @@ def merge_variants(t):
 def enzyme_conflict(t):
     """Pairs by role and enzyme, from counts of roles: no pair of a hot enzyme is made."""
     r = t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("enzyme"), "l_orderkey", F.col("l_returnflag").alias("role")).distinct()
-    a = r.groupBy("enzyme", "role").agg(F.count(ONE).alias("n"))
+    a = r.groupBy("enzyme", "role").agg(F.count("*").alias("n"))
     b = a.where("role = 'N'").select("enzyme", F.col("n").alias("m"))
     return a.join(b, "enzyme").select("enzyme", (F.col("n") * F.col("m")).alias("pairs"), F.expr("case role when 'R' then 'critical' when 'A' then 'caution' else 'competitive' end").alias("result"))
 
@@ -154,12 +153,12 @@ BANDS = "CASE WHEN value >= 90 THEN 'G1' WHEN value >= 60 THEN 'G2' WHEN value >
 
 @query("stage_bands", f"SELECT {BANDS} AS stage, count(*) AS n FROM events GROUP BY 1")
 def stage_bands(t):
-    return t.events.groupBy(F.expr(BANDS).alias("stage")).agg(F.count(ONE).alias("n"))
+    return t.events.groupBy(F.expr(BANDS).alias("stage")).agg(F.count("*").alias("n"))
 
 
 @query("session_merge", "SELECT user_id, max_by(value, event_id) AS last_value, bool_or(event_type = 'error') AS any_error, count(*) AS n FROM events GROUP BY 1")
 def session_merge(t):
-    return t.events.groupBy("user_id").agg(F.max_by("value", "event_id").alias("last_value"), F.bool_or(F.col("event_type") == "error").alias("any_error"), F.count(ONE).alias("n"))
+    return t.events.groupBy("user_id").agg(F.max_by("value", "event_id").alias("last_value"), F.bool_or(F.col("event_type") == "error").alias("any_error"), F.count("*").alias("n"))
 
 
 @query("page_asof", "SELECT e.event_id, max(v.event_id) AS page FROM (SELECT * FROM events WHERE event_type = 'error') e LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND v.event_id <= e.event_id GROUP BY 1")
@@ -191,8 +190,8 @@ def exists_semi(t):
 
 @query("collection_stats", "SELECT 'lang' AS kind, lang AS name, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'total', 'total', count(*) FROM documents")
 def collection_stats(t):
-    by = lambda k, c: t.documents.groupBy(c.alias("name")).agg(F.count(ONE).alias("n")).select(F.lit(k).alias("kind"), "name", "n")
-    return by("lang", F.col("lang")).union(by("source", F.col("source"))).union(t.documents.agg(F.count(ONE).alias("n")).select(F.lit("total"), F.lit("total"), "n"))
+    by = lambda k, c: t.documents.groupBy(c.alias("name")).agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "name", "n")
+    return by("lang", F.col("lang")).union(by("source", F.col("source"))).union(t.documents.agg(F.count("*").alias("n")).select(F.lit("total"), F.lit("total"), "n"))
 
 
 @query("nan_mean", "SELECT event_type, round(avg(CASE WHEN value < 50 THEN value END), 4) AS mean, count(*) FILTER (value < 50) AS n FROM events GROUP BY 1")
@@ -209,7 +208,7 @@ def subset_match(t):
 
 @query("topk_caps", f"WITH {EDGES} SELECT src, least(count(*), 5) AS shown, greatest(count(*) - 5, 0) AS more FROM edges GROUP BY 1")
 def topk_caps(t):
-    return edges(t).groupBy("src").agg(F.count(ONE).alias("n")).select("src", F.least("n", F.lit(5)).cast("long").alias("shown"), F.greatest(F.col("n") - 5, F.lit(0)).cast("long").alias("more"))
+    return edges(t).groupBy("src").agg(F.count("*").alias("n")).select("src", F.least("n", F.lit(5)).cast("long").alias("shown"), F.greatest(F.col("n") - 5, F.lit(0)).cast("long").alias("more"))
 
 
 @query("multi_hot_flags", "SELECT doc_id, quality = 1 AS good, toxic = 1 AS toxic, lang = 'en' AS english FROM labels JOIN documents USING (doc_id)")
@@ -245,7 +244,7 @@ def edge_in_out_union(t):
 def shared_members(t):
     s = t.lineitem.select(F.col("l_suppkey").alias("a"), "l_partkey").distinct()
     u = s.select((F.col("a") - 1).alias("a"), "l_partkey")
-    return s.join(u, ["a", "l_partkey"]).groupBy("a").agg(F.count(ONE).alias("shared")).select("a", (F.col("a") + 1).alias("b"), "shared")
+    return s.join(u, ["a", "l_partkey"]).groupBy("a").agg(F.count("*").alias("shared")).select("a", (F.col("a") + 1).alias("b"), "shared")
 
 
 @query("most_severe_merge", "SELECT o_custkey, min(o_orderpriority) AS worst, min_by(o_orderkey, o_orderpriority || lpad(o_orderkey::VARCHAR, 12, '0')) AS order_id FROM orders GROUP BY 1")

@@ -197,7 +197,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), batch.column(2).take(pa.array(ids, pa.int64())), pa.array(words, pa.string())], names=["id", "h", "word"])
 
     keyed = docs.withColumn("h", F.xxhash64("text"))
-    asked = cut(keyed.mapInArrow(rare, f"id {kind}, h bigint, word string").distinct())
+    asked = cut(keyed.mapInArrow(rare, f"id {kind}, h bigint, word string"))  # a repeated row asks again, which changes nothing
     found = segmented(asked.select("word").distinct(), pieces)
     given = asked.join(found, "word").groupBy(F.col("id").alias("g_id"), F.col("h").alias("g_h")).agg(F.collect_list(F.struct("word", "mask")).alias("rare"))
     joined = keyed.join(given, keyed["id"].eqNullSafe(given["g_id"]) & keyed["h"].eqNullSafe(given["g_h"]), "left").select("id", "text", "rare")

@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
-The words of a text (a space mark and what follows it) are encoded once each. A word's substrings of bounded length are
+The words of a text (runs that no piece goes beyond) are encoded once each. A word's substrings of bounded length are
 exploded and joined with the piece table; the edges found are grouped by word, and a higher-order aggregate folds them
 into the word's segmentation. The public model is a BPE model: its segmentation is that of merges in the order of the
 pieces' ranks, which the best sum of scores (Viterbi) doesn't give. So for BPE models the fold applies the edges by rank
 to a set of boundaries; what is left unfinished then (an edge could still merge) is encoded by a queue of merges. For
 unigram models the fold is Viterbi's.
 
-Frequent words make a dictionary of bounded size that is broadcast; the others meet their documents in a join.
+Frequent words make a dictionary of bounded size that is broadcast. The others don't go through the lattice, which would
+send every text to its words: each task encodes them by the queue.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +27,12 @@ from millrace.llm.common import cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Longest word that the lattice takes (boundaries are bits of a number); longer ones are encoded by the queue.
 LONGEST = 48
 #: Least share of all words for a place in the broadcast dictionary, which so has at most 2 / SHARE entries.
 SHARE = 1e-6
+#: Most words that a task keeps the encoding of.
+CACHE = 300_000
 
 
 class Pieces:
@@ -50,6 +52,22 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         same = {}
         self.rank = {p: same.setdefault(s, len(same)) for p, s in sorted(self.scores.items(), key=lambda x: -x[1])}
+        self.unit = self._unit()
+
+    def _unit(self) -> re.Pattern:
+        """A merge needs a piece with both characters at its seam. So a character in no longer piece stands alone, and
+        if no piece goes from a letter to another character, a word ends there."""
+        pairs = {(a, b) for p in self.rank for a, b in zip(p, p[1:])}
+        joins = {c for pair in pairs for c in pair}
+        letters = {c for c in joins if c.isalpha()}
+        kind = lambda chars: "".join(map(re.escape, sorted(chars)))
+        if any(a in letters and b not in letters for a, b in pairs) or not letters or letters == joins:
+            return re.compile(f"{SPACE}+[^{SPACE}]*")
+        rest, letter = kind(joins - letters), kind(letters)
+        return re.compile(f"[{rest}]*[{letter}]+|[{rest}]+|[^{rest}{letter}]")
+
+    def units(self, text: str | None) -> list[str]:
+        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def ids_of(self, parts: list[str]) -> list[int]:
         out = []
@@ -89,7 +107,8 @@ class Pieces:
         at = [k for k in range(len(word) + 1) if mask >> k & 1]
         return [word[a:b] for a, b in zip(at, at[1:])]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int], bare: bool = False) -> str:
+        """The text; bare: with its space marks and the one in front."""
         out, raw = [], bytearray()
         for k in ids:
             if (b := self.byte_of.get(k)) is not None:
@@ -101,11 +120,7 @@ class Pieces:
             out.append(self.pieces[k])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")[1:]
-
-
-def units(text: str | None) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return "".join(out) if bare else "".join(out).replace(SPACE, " ")[1:]
 
 
 def segmented(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -146,7 +161,7 @@ def viterbi(edges: DataFrame) -> DataFrame:
     return grouped.withColumn("best", best).select("word", F.element_at("best", -1)["cuts"].alias("cuts"), F.element_at("best", -1)["score"].alias("score"))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], units: Callable[[str | None], list[str]]) -> Iterator[pa.RecordBatch]:
     counts, n = Counter(), 0
 
     def out():
@@ -158,15 +173,15 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = units(text)
             counts.update(got)
             n += len(got)
-        if len(counts) > 1_500_000:
-            yield out()
-            counts, n = Counter(), 0
+            if len(counts) > 1_500_000:
+                yield out()
+                counts, n = Counter(), 0
     yield out()
 
 
 def dictionary(docs: DataFrame, pieces: Pieces) -> dict[str, tuple[int, ...]]:
     """Frequent words and their ids. docs: text."""
-    local = docs.mapInArrow(_frequent, "word string, n bigint, local bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    local = docs.mapInArrow(lambda batches: _frequent(batches, pieces.units), "word string, n bigint, local bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = cut(local)
     total = words.agg(F.sum("n")).first()[0] or 0  # of all that tasks gave out; no more than all words
     hot = segmented(words.where(F.col("n") >= SHARE / 2 * total).select("word"), pieces).toArrow()
@@ -179,50 +194,48 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     Ids are those that the model's own library gives. Null and empty texts have no pieces (round_trip: true). Texts with
     the space mark itself don't come back as they were. Repeated rows, and ids, are each encoded. Other columns are not
-    read.
+    read. Words outside the dictionary are encoded by the queue of merges where they stand, so texts are never sent.
     """
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
     pieces = Pieces(model)
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     table, hot = sc.broadcast(pieces), sc.broadcast(dictionary(docs.select("text"), pieces))
 
-    def rare(batches):
-        known = hot.value
-        for batch in batches:
-            ids, words = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                new = {w for w in units(text) if w not in known}
-                ids += [k] * len(new)
-                words += new
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), batch.column(2).take(pa.array(ids, pa.int64())), pa.array(words, pa.string())], names=["id", "h", "word"])
-
-    keyed = docs.withColumn("h", F.xxhash64("text"))
-    asked = cut(keyed.mapInArrow(rare, f"id {kind}, h bigint, word string"))  # a repeated row asks again, which changes nothing
-    found = segmented(asked.select("word").distinct(), pieces)
-    given = asked.join(found, "word").groupBy(F.col("id").alias("g_id"), F.col("h").alias("g_h")).agg(F.collect_list(F.struct("word", "mask")).alias("rare"))
-    joined = keyed.join(given, keyed["id"].eqNullSafe(given["g_id"]) & keyed["h"].eqNullSafe(given["g_h"]), "left").select("id", "text", "rare")
-
     def run(batches):
-        known, p = hot.value, table.value
+        p = table.value
+        words = Encoded(p, hot.value, digest)
         for batch in batches:
-            lists, trips = [], []
-            for text, extra in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = {x["word"]: p.ids_of(p.segments(x["word"], x["mask"])) for x in extra or ()}
-                ids: list[int] = []
-                for w in units(text):
-                    ids += known[w] if w in known else own[w]
-                lists.append(ids)
-                if digest:
-                    trips.append(p.decode(ids) == (text or ""))
+            texts = batch.column(1).to_pylist()
+            got = [[words[w] for w in p.units(t)] for t in texts]
             if digest:
-                low, high = min(p.byte_of), max(p.byte_of)
-                columns = [pa.array([len(x) for x in lists], pa.int64()), pa.array([sum(low <= k <= high for k in x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists], pa.string()), pa.array(trips, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_pieces", "n_bytes", "ids_sha256", "round_trip"])
+                trips = [all(x[3] for x in g) and SPACE not in (t or "") for g, t in zip(got, texts)]
+                hashes = [hashlib.sha256(",".join([x[0] for x in g]).encode()).hexdigest() for g in got]
+                columns = [pa.array([sum([x[k] for x in g]) for g in got], pa.int64()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(hashes, pa.string()), pa.array(trips, pa.bool_())], names=["id", "n_pieces", "n_bytes", "ids_sha256", "round_trip"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[k for x in g for k in x] for g in got], pa.list_(pa.int32()))], names=["id", "ids"])
 
     out = "n_pieces bigint, n_bytes bigint, ids_sha256 string, round_trip boolean" if digest else "ids array<int>"
-    return joined.mapInArrow(run, f"id {kind}, {out}").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, f"id {kind}, {out}").withColumnRenamed("id", id_col)
+
+
+class Encoded(dict):
+    """Of words, found as they are asked for: ids, or with digest (ids comma-joined, pieces, bytes, whether decoding
+    gives the word back). The bytes of a word are those of whole characters, so words can be decoded one by one. Holds CACHE words at most, then begins anew."""
+
+    def __init__(self, pieces: Pieces, known: dict[str, tuple[int, ...]], digest: bool):
+        self.pieces, self.known, self.digest = pieces, known, digest
+
+    def __missing__(self, word: str) -> tuple:
+        p = self.pieces
+        ids = self.known.get(word)
+        if ids is None:
+            ids = tuple(p.ids_of(p.merge(word)))
+        value = (",".join(map(str, ids)), len(ids), sum(k in p.byte_of for k in ids), p.decode(ids, bare=True) == word) if self.digest else ids
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = value
+        return value
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:

@@ -56,15 +56,17 @@ class Pieces:
 
     def _unit(self) -> re.Pattern:
         """A merge needs a piece with both characters at its seam. So a character in no longer piece stands alone, and
-        if no piece goes from a letter to another character, a word ends there."""
+        if no piece goes from a letter to another character, nor from any other character to a space mark, a word ends
+        there."""
         pairs = {(a, b) for p in self.rank for a, b in zip(p, p[1:])}
         joins = {c for pair in pairs for c in pair}
         letters = {c for c in joins if c.isalpha()}
         kind = lambda chars: "".join(map(re.escape, sorted(chars)))
-        if any(a in letters and b not in letters for a, b in pairs) or not letters or letters == joins:
+        other = joins - letters - {SPACE}
+        if any(a in letters and b not in letters or b == SPACE != a for a, b in pairs) or not letters or not other:
             return re.compile(f"{SPACE}+[^{SPACE}]*")
-        rest, letter = kind(joins - letters), kind(letters)
-        return re.compile(f"[{rest}]*[{letter}]+|[{rest}]+|[^{rest}{letter}]")
+        rest, letter = kind(other), kind(letters)
+        return re.compile(f"{SPACE}*(?:[{rest}]*[{letter}]+|[{rest}]+)|{SPACE}+|[^{SPACE}{rest}{letter}]")
 
     def units(self, text: str | None) -> list[str]:
         return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []

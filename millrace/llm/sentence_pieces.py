@@ -32,7 +32,7 @@ LONGEST = 48
 #: Least share of all words for a place in the broadcast dictionary, which so has at most 2 / SHARE entries.
 SHARE = 1e-6
 #: Most words that a task keeps the encoding of.
-CACHE = 300_000
+CACHE = 700_000
 
 
 class Pieces:
@@ -72,14 +72,25 @@ class Pieces:
         return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def ids_of(self, parts: list[str]) -> list[int]:
-        out = []
-        for p in parts:
-            k = self.ids.get(p)
-            out += [k] if k is not None else [self.bytes[b] for b in p.encode()]
+        out = list(map(self.ids.get, parts))
+        if None in out:
+            out = [k for p in parts for k in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
         return out
 
     def merge(self, word: str) -> list[str]:
-        """Segments by a queue of merges: best rank first, leftmost of equal ones."""
+        """Segments by a queue of merges: best rank first, leftmost of equal ones. For short words the queue is a list."""
+        if len(word) <= LONGEST:
+            part, rank, none = list(word), self.rank.get, len(self.rank)
+            ranks = [rank(a + b, none) for a, b in zip(part, part[1:])]
+            while ranks and (best := min(ranks)) < none:
+                k = ranks.index(best)
+                part[k] += part.pop(k + 1)
+                del ranks[k]
+                if k < len(ranks):
+                    ranks[k] = rank(part[k] + part[k + 1], none)
+                if k:
+                    ranks[k - 1] = rank(part[k - 1] + part[k], none)
+            return part
         part, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
         queue: list[tuple[int, int, str]] = []
 
@@ -112,6 +123,8 @@ class Pieces:
     def decode(self, ids: Sequence[int], bare: bool = False) -> str:
         """The text; bare: with its space marks and the one in front."""
         out, raw = [], bytearray()
+        if self.byte_of.keys().isdisjoint(ids):
+            out, ids = [self.pieces[k] for k in ids], ()
         for k in ids:
             if (b := self.byte_of.get(k)) is not None:
                 raw.append(b)
@@ -210,9 +223,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             texts = batch.column(1).to_pylist()
             got = [[words[w] for w in p.units(t)] for t in texts]
             if digest:
-                trips = [all(x[3] for x in g) and SPACE not in (t or "") for g, t in zip(got, texts)]
-                hashes = [hashlib.sha256(",".join([x[0] for x in g]).encode()).hexdigest() for g in got]
-                columns = [pa.array([sum([x[k] for x in g]) for g in got], pa.int64()) for k in (1, 2)]
+                hashes, columns, trips = [], [[], []], []
+                for g, t in zip(got, texts):
+                    ids, *counts, whole = zip(*g) if g else ((), (), (), ())
+                    hashes.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                    for c, k in zip(columns, counts):
+                        c.append(sum(k))
+                    trips.append(all(whole) and SPACE not in (t or ""))
+                columns = [pa.array(c, pa.int64()) for c in columns]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(hashes, pa.string()), pa.array(trips, pa.bool_())], names=["id", "n_pieces", "n_bytes", "ids_sha256", "round_trip"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[k for x in g for k in x] for g in got], pa.list_(pa.int32()))], names=["id", "ids"])
@@ -233,7 +251,7 @@ class Encoded(dict):
         ids = self.known.get(word)
         if ids is None:
             ids = tuple(p.ids_of(p.merge(word)))
-        value = (",".join(map(str, ids)), len(ids), sum(k in p.byte_of for k in ids), p.decode(ids, bare=True) == word) if self.digest else ids
+        value = (",".join(map(str, ids)), len(ids), sum([k in p.byte_of for k in ids]), p.decode(ids, bare=True) == word) if self.digest else ids
         if len(self) >= CACHE:
             self.clear()
         self[word] = value

@@ -7,10 +7,11 @@ documents agree in a component with a probability of exactly the weighted Jaccar
 processes are drawn point by point only until they pass the signature's largest value, a document takes about as many
 draws as it has shingles.
 
-Documents with equal shingle multisets are one node. Nodes that agree in a band are compared with the band's smallest
-node; later, nodes of a band that are not yet in that node's component are compared with all others there. So no pair of
-a band that could join two components is left out, and a band of thousands of copies costs thousands of comparisons. A
-comparison counts the overlap of the two multisets exactly.
+Documents with equal shingle multisets are one node. Nodes that agree in a band are compared with the band's hub, the
+node that shares most with others. Then nodes of a band that are not in their hub's component are held against all
+others there: one by one in small bands, by an exact prefix join of shingles in larger ones. So no pair of a band that
+could join two components is left out, and a band of thousands of copies costs thousands of comparisons. A comparison
+counts the overlap of the two multisets exactly.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from millrace.llm.common import ALNUM, Words, chunks, cut, mix
 from millrace.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
+PRINTS = ["n", "f1", "f2"]
 BANDS, ROWS = 25, 5
 SIZE = 128
 #: Components (of 128, of each 4 bits) in which sketches of a pair may differ for it to be compared: at a similarity of
 #: 0.8 they differ in 24 on average with a standard deviation of 4.4, and in more than 44 once in 300,000 pairs.
 DIFFER, SKETCH = 44, 8
-#: Nodes outside their band's component are compared with some of its members, anew as long as all comparisons still
-#: open are over this many for each node; what then is open is compared in full.
-OPEN, TRIES, AT_ONCE = 4, 1, 4
+#: Bands of up to so many nodes are compared node by node; both ways are exact.
+SMALL = 32
+#: Buckets in which shingles are counted to put rare ones first, and the ratio of the classes of multisets' sizes.
+BUCKETS, RATIO = 1 << 20, 1.08
 BROADCAST_IDS = 2_000_000
 
 
@@ -141,21 +144,25 @@ def _alike(x: str, y: str):
     return differ <= DIFFER
 
 
+def prints(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each row its number of shingles, and two sums of hashes that tell its multiset."""
+    edge, sums = np.searchsorted(row, np.arange(rows + 1)), []
+    for salt in (0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5):
+        total = np.r_[np.uint64(0), np.cumsum(mix(shingle ^ np.uint64(salt)) * weight.astype(np.uint64))]
+        sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
+    return np.bincount(row, weight, rows).astype(np.int64), sums
+
+
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, n (shingles), f1, f2 (of the multiset), sketch, bands."""
     for batch in batches:
         for begin, w in chunks(batch.column(1), ALNUM):
             row, shingle, weight = shingles(w)
             sig = signatures(row, shingle, weight, w.rows)
-            n = np.bincount(row, weight, w.rows).astype(np.int64)
-            prints = []
-            for salt in (0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5):
-                total = np.r_[np.uint64(0), np.cumsum(mix(shingle ^ np.uint64(salt)) * weight.astype(np.uint64))]
-                edge = np.searchsorted(row, np.arange(w.rows + 1))
-                prints.append(total[edge[1:]] - total[edge[:-1]])
+            n, sums = prints(row, shingle, weight, w.rows)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(w.rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (sketch(sig), bands_of(sig))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(begin, w.rows), pa.array(n), *[pa.array(p.view(np.int64)) for p in prints], *lists],
+                [batch.column(0).slice(begin, w.rows), pa.array(n), *[pa.array(x) for x in sums], *lists],
                 names=["id", "n", "f1", "f2", "sketch", "bands"],
             )
 
@@ -187,10 +194,70 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def print_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = batch.column(1)
-        for f in features(iter([batch])):
-            yield pa.RecordBatch.from_arrays([f.column(1), f.column(2), f.column(3), text.slice(0, f.num_rows)], names=["n", "f1", "f2", "text"])
-            text = text.slice(f.num_rows)
+        for begin, w in chunks(batch.column(1), ALNUM):
+            n, sums = prints(*shingles(w), w.rows)
+            yield pa.RecordBatch.from_arrays([pa.array(n), *[pa.array(x) for x in sums], batch.column(1).slice(begin, w.rows)], names=["n", "f1", "f2", "text"])
+
+
+def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n, f1, f2, items: the multiset as a set, in which the second, third, ... occurrence of a shingle is another item."""
+    for batch in batches:
+        for _, w in chunks(batch.column(1), ALNUM):
+            row, shingle, weight = shingles(w)
+            n, sums = prints(row, shingle, weight, w.rows)
+            nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            items = mix(np.repeat(shingle, weight) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(items.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(n), *[pa.array(x) for x in sums], lists], names=["n", "f1", "f2", "items"])
+
+
+def _bucket(items: np.ndarray) -> np.ndarray:
+    return (items.view(np.uint64) >> np.uint64(44)).astype(np.int64) % BUCKETS
+
+
+def count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, n: of column items, summed up for the partition."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        np.add.at(total, _bucket(batch.column(0).flatten().to_numpy(zero_copy_only=False)), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+
+def _classes() -> np.ndarray:
+    """Smallest sizes of the classes."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * RATIO)))
+    return np.array(out)
+
+
+def prefixes(counts) -> object:
+    """A function from rows node, comp, odd, items to node, comp, odd, n, item, at (its place in the order by counts),
+    own, other (classes of its size and of a partner's). Two multisets of n and m items with a similarity of 0.8 share at
+    least 4/9 (n + m); if at is the place of the first shared item, they share at most n - at. So an item takes part for a
+    class of partners only where that is enough, and the first shared item of such a pair takes part on both sides."""
+    low = _classes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):
+                part, out = batch.slice(begin, 64), []
+                for k, items in enumerate(part.column(3)):
+                    x = items.values.to_numpy(zero_copy_only=False)
+                    times, n = counts.value[_bucket(x)], len(x)
+                    order = np.lexsort((x, times))
+                    x, times = x[order], times[order]
+                    own, *span = (np.searchsorted(low, (n, -(-4 * n // 5), 5 * n // 4), "right") - 1).tolist()
+                    for other in range(span[0], span[1] + 1):
+                        least = max(int(low[other]), -(-4 * n // 5))
+                        at = np.arange(n - -(-4 * (n + least) // 9) + 1)
+                        at = at[times[at] > 1]  # others are in no other multiset
+                        out.append((np.full(len(at), k), np.full(len(at), n), x[at], at, np.full(len(at), own), np.full(len(at), other)))
+                of, *rest = (np.concatenate(c).astype(np.int64) for c in zip(*out)) if out else [np.zeros(0, np.int64)] * 6
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(of)) for c in range(3)], *[pa.array(c) for c in rest]], names=["node", "comp", "odd", "n", "item", "at", "own", "other"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,12 +273,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows = docs.mapInArrow(features, f"id {kind}, n bigint, f1 bigint, f2 bigint, sketch array<bigint>, bands array<bigint>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("none", F.col("id").isNull()))
-    prints = ["n", "f1", "f2"]
-    nodes = cut(rows.where("n > 0").groupBy(*prints).agg(F.min(F.struct("none", "id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).select(*prints, F.col("first.row").alias("node"), F.col("first.id").alias("id"), "copies"))
+    nodes = cut(rows.where("n > 0").groupBy(*PRINTS).agg(F.min(F.struct("none", "id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).select(*PRINTS, F.col("first.row").alias("node"), F.col("first.id").alias("id"), "copies"))
     firsts = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     banded = cut(firsts.select(F.explode("bands").alias("key"), F.col("row").alias("node")))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    shared = cut(banded.join(hubs.hint("merge"), "key"))
+    counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = cut(banded.join(counts.hint("merge"), "key"))
+    known = crowded.groupBy("node").agg(F.sum("n").alias("known"))
+    hubs = crowded.join(known, "node").groupBy("key").agg(F.max(F.struct("known", F.negative("node").alias("node"))).alias("hub")).select("key", F.negative("hub.node").alias("hub"))
+    shared = cut(crowded.join(hubs.hint("merge"), "key"))
     sketches = cut(firsts.select("row", "sketch").join(shared.select(F.col("node").alias("row")).distinct(), "row", "left_semi"))
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -220,60 +289,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(sketches.select(F.col("row").alias(k), F.col("sketch").alias(f"sketch_{k}")), k)
         return cut(_verified(docs, nodes, cut(pairs.where(_alike("sketch_a", "sketch_b")).select("a", "b"))))
 
-    links = compared(shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    links = compared(shared.where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     comps = components(links)
-    total, round_ = shared.select("node").distinct().count(), 0
-    while True:
-        # the nodes of a band that are not in its smallest node's component
-        inside = shared.join(comps.select(F.col("node").alias("l"), "comp"), F.col("node") == F.col("l"), "left").select("key", "node", "hub", F.coalesce("comp", "node").alias("comp"))
-        inside = inside.join(comps.select(F.col("node").alias("l"), F.col("comp").alias("of_hub")), F.col("hub") == F.col("l"), "left").select("key", "node", "comp", F.coalesce("of_hub", "hub").alias("of_hub"))
-        inside = cut(inside)
-        odd = inside.where("comp != of_hub")
-        counts = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("comp") != F.col("of_hub")).cast("long")).alias("odd")).where("odd > 0")
-        left = counts.agg(F.sum(F.col("n") * F.col("odd"))).first()[0] or 0
-        if not left:
-            break
-        round_ += 1
-        if left <= OPEN * total or round_ > TRIES:
-            others = inside.join(counts.select("key"), "key", "left_semi")
-            others = others.join(sketches.withColumnRenamed("row", "node"), "node").select("key", F.col("node").alias("o_node"), F.col("sketch").alias("o_sketch"), F.col("comp").alias("o_comp"))
-            odd = odd.join(sketches.withColumnRenamed("row", "node"), "node")
-            pairs = odd.join(others, "key").where((F.col("comp") != F.col("o_comp")) & _alike("sketch", "o_sketch"))
-            pairs = pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
-            more = cut(_verified(docs, nodes, cut(pairs)))
-            if not more.isEmpty():
-                comps = components(links.union(more))
-            break
-        # some members of the component that most of the band is likely to be in, others in each round
-        picks = [F.max_by("node", F.xxhash64("node", "key", F.lit(round_ * AT_ONCE + k))).alias(f"p{k}") for k in range(AT_ONCE)]
-        picked = inside.where("comp = of_hub").groupBy("key").agg(*picks)
-        pairs = odd.join(picked.hint("merge"), "key").select(F.explode(F.array(*[f"p{k}" for k in range(AT_ONCE)])).alias("p"), "node")
-        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        links = cut(links.union(compared(pairs)))
-        comps = components(links)
+    # the nodes of a band that are not in its hub's component
+    inside = shared.join(comps.select(F.col("node").alias("l"), "comp"), F.col("node") == F.col("l"), "left").select("key", "n", "node", "hub", F.coalesce("comp", "node").alias("comp"))
+    inside = inside.join(comps.select(F.col("node").alias("l"), F.col("comp").alias("of_hub")), F.col("hub") == F.col("l"), "left").select("key", "n", "node", "hub", "comp", (F.col("comp") != F.coalesce("of_hub", "hub")).alias("odd"))
+    inside = cut(inside)
+    open_ = inside.where("odd").select("key").distinct()
+    inside = cut(inside.join(open_.hint("merge"), "key", "left_semi"))
+    few = inside.where(F.col("n") <= SMALL)
+    pairs = few.where("odd").join(few.select("key", F.col("node").alias("o_node"), F.col("comp").alias("o_comp"), F.col("odd").alias("o_odd")), "key")
+    # odd ones with the hub are known, and two odd ones are one pair
+    pairs = pairs.where((F.col("comp") != F.col("o_comp")) & (F.col("o_node") != F.col("hub")) & (~F.col("o_odd") | (F.col("node") < F.col("o_node"))))
+    more = compared(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct())
+    many = cut(inside.where(F.col("n") > SMALL).groupBy("node").agg(F.first("comp").alias("comp"), F.max("odd").alias("odd")))
+    if not many.isEmpty():
+        more = more.union(_prefix_joined(docs, nodes, many))
+    if not more.isEmpty():
+        comps = components(links.union(more))
     classes = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least")
     sizes = classes.groupBy("comp").agg(least, F.sum("copies").alias("class_size"))
-    classes = cut(classes.select(*prints, "comp").join(sizes, "comp").select(*prints, F.col("least.id").alias("class_id"), F.col("least.node").alias("stays"), "class_size"))
-    grouped = rows.where("n > 0").select("row", "id", *prints).join(classes.hint("merge"), prints).select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("stays")).alias("kept"))
+    classes = cut(classes.select(*PRINTS, "comp").join(sizes, "comp").select(*PRINTS, F.col("least.id").alias("class_id"), F.col("least.node").alias("stays"), "class_size"))
+    grouped = rows.where("n > 0").select("row", "id", *PRINTS).join(classes.hint("merge"), PRINTS).select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("stays")).alias("kept"))
     alone = rows.where("n = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return grouped.unionByName(alone)
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b of nodes) those that are similar enough. Only texts in pairs are read and sent."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut(nodes.join(ends, "node", "left_semi").select(*[F.col(c).alias(f"w_{c}") for c in ("n", "f1", "f2", "id", "node")]))
-    ids = wanted.select(F.col("w_id").alias("id"))
+def _read(docs: DataFrame, nodes: DataFrame, some: DataFrame, run, column: str, kind: str) -> DataFrame:
+    """node, column: of the nodes in some (node, distinct). Only their texts are read and sent."""
+    wanted = cut(nodes.join(some, "node", "left_semi").select(*[F.col(c).alias(f"w_{c}") for c in (*PRINTS, "id", "node")]))
+    ids = wanted.select(F.col("w_id").alias("w"))
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    some = docs.join(ids.withColumnRenamed("id", "w"), F.col("id").eqNullSafe(F.col("w")), "left_semi")
-    texts = some.select("id", "text").mapInArrow(print_texts, "n bigint, f1 bigint, f2 bigint, text string")
-    texts = texts.join(wanted, [texts[c] == wanted[f"w_{c}"] for c in ("n", "f1", "f2")]).select(F.col("w_node").alias("node"), "text").dropDuplicates(["node"])
-    texts = cut(texts)
+    found = docs.join(ids, F.col("id").eqNullSafe(F.col("w")), "left_semi")
+    found = found.select("id", "text").mapInArrow(run, f"n bigint, f1 bigint, f2 bigint, {column} {kind}")
+    return cut(found.join(wanted, [found[c] == wanted[f"w_{c}"] for c in PRINTS]).select(F.col("w_node").alias("node"), column).dropDuplicates(["node"]))
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b of nodes) those that are similar enough."""
+    texts = _read(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), print_texts, "text", "string")
     a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(verify, "a bigint, b bigint")
 
 
+def _prefix_joined(docs: DataFrame, nodes: DataFrame, many: DataFrame) -> DataFrame:
+    """All pairs a, b of nodes of many (node, comp, odd) that are similar enough, in two components, one of them odd."""
+    sets = _read(docs, nodes, many.select("node"), elements, "items", "array<bigint>")
+    got = sets.select("items").mapInArrow(count_items, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    counts = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    kind = "node bigint, comp bigint, odd boolean, n bigint, item bigint, at bigint, own bigint, other bigint"
+    firsts = cut(many.join(sets, "node").select("node", "comp", "odd", "items").mapInArrow(prefixes(counts), kind))
+    others = firsts.select("item", F.col("other").alias("own"), F.col("own").alias("other"), F.col("node").alias("o_node"), F.col("comp").alias("o_comp"), F.col("odd").alias("o_odd"), F.col("n").alias("o_n"), F.col("at").alias("o_at"))
+    enough = 9 * F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at")) >= 4 * (F.col("n") + F.col("o_n"))
+    pairs = firsts.where("odd").hint("merge").join(others, ["item", "own", "other"]).where((F.col("comp") != F.col("o_comp")) & enough)
+    pairs = cut(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct())
+    a, b = (sets.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    return cut(pairs.join(a, "a").join(b, "b").where(9 * common >= 4 * (F.size("items_a") + F.size("items_b"))).select("a", "b"))
+
+
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -163,3 +163,38 @@ def test_sentence_pieces_are_the_library_s(docs, empty):
 def test_viterbi(spark):
     edges = spark.createDataFrame([("abc", 3, 0, 1, -1.0), ("abc", 3, 1, 2, -1.0), ("abc", 3, 2, 3, -1.0), ("abc", 3, 0, 2, -1.5), ("abc", 3, 1, 3, -1.2)], "word string, n int, s int, e int, score double")
     assert sentence_pieces.viterbi(edges).first().cuts == [0, 1, 3]
+
+
+def test_near_dedup_finds_every_link_of_a_large_band(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(90):  # many pairs lie on either side of 0.8
+        words = [f"w{x}" for x in range(150)]
+        for at in rng.integers(0, 150, int(rng.integers(1, 9))):
+            words[at] = f"n{k % 20}x{at}"
+        texts.append(" ".join(words))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    grams = [collections.Counter(tuple(t.split()[j : j + 5]) for j in range(146)) for t in texts]
+    best = {k: k for k in got}
+    for _ in texts:
+        for a in got:
+            for b in got:
+                if (grams[a] & grams[b]).total() >= 0.8 * (grams[a] | grams[b]).total():
+                    best[a] = best[b] = min(best[a], best[b])
+        if all(best[a] == best[b] for a in got for b in got if (grams[a] & grams[b]).total() >= 0.8 * (grams[a] | grams[b]).total()):
+            break
+    assert got == best and len(set(best.values())) > 1
+
+
+def test_prefix_join_loses_no_pair(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x if rng.random() > 0.03 else rng.integers(1000, 1040)}" for x in range(int(rng.integers(100, 130)))) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = near_dedup._multisets(pa.array(texts))
+    near = {(a, b) for a in range(60) for b in range(a + 1, 60) if near_dedup.overlap(sets[a], sets[b]) >= 0.8}
+    n = near_dedup.print_texts(iter([pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["id", "text"])]))
+    rows = [x for batch in n for x in zip(*[batch.column(c).to_pylist() for c in range(3)])]
+    nodes = spark.createDataFrame([(*x, k, k) for k, x in enumerate(rows)], "n long, f1 long, f2 long, node long, id long")
+    many = nodes.select("node", F.col("node").alias("comp"), F.lit(True).alias("odd"))
+    assert {(r.a, r.b) for r in near_dedup._prefix_joined(d, nodes, many).collect()} == near and near

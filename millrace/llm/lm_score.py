@@ -1,10 +1,10 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the empty history, the frequent words and the frequent n-grams; an arc reads a word, a failure arc leads from
-a history to the next shorter one at the price of its backoff weight. All counts come from the whole training text:
-exactly, in two passes for each order. A word or n-gram is frequent when its share of the training tokens is at least a
-threshold, so that their number is bounded by the inverse of the threshold at any size of the corpus, and only those
-are broadcast. The counts of all other words stay distributed and are joined by the hash of the word.
+States are the empty history, all words and all pairs of words of the training text; an arc reads a word, a failure arc
+leads from a history to the next shorter one at the price of its backoff weight. There is no cutoff: every n-gram of the
+training text is an arc, so that the automaton grows with the corpus. Arcs and states are distributed tables, in which
+the price of every n-gram that any document has is worked out once; the documents' n-grams are joined to these prices.
+Only a bounded table of frequent words is broadcast, to give them short codes; other words are coded by their hashes.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NONSPACE, Lookup, Tally, Words, chunks, cut
+from millrace.llm.common import NONSPACE, Lookup, Tally, Words, chunks, cut, mix
 
 END, START = np.uint64(0x5E4D0F7E9A3B1C27), np.uint64(0x1B2A3C4D5E6F7081)
-#: Least shares: of a word to have an id and arcs, of an n-gram to be an arc. Their inverses bound the broadcasts.
-WORD_SHARE, GRAM_SHARE, ORDER = 2.5e-7, 1e-6, 3
+#: Least share of the training tokens of a word with a short code. Its inverse bounds the broadcast; no result rests on it.
+WORD_SHARE, ORDER = 2.5e-7, 3
 #: An n-gram's count less this goes to its arc, the rest of the mass to the failure arc.
 DISCOUNT = 0.6
 
@@ -50,9 +50,9 @@ def training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             yield with_ends(w)
 
 
-def _emit(tally: Tally, *more) -> pa.RecordBatch:
+def _emit(tally: Tally) -> pa.RecordBatch:
     keys, n = tally.sums()
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), *[pa.array(np.full(len(keys), x)) for x in more]], names=["key", "n", *["local"] * len(more)])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
 def count_words(batches):
@@ -65,153 +65,49 @@ def count_words(batches):
     yield _emit(tally)
 
 
-@dataclass
-class Level:
-    """Arcs of one order: key = state of the history * base + word; of each its log10 probability, and log10 backoff
-    weight of the state that it leads to."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    logp: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        return _lookup(self, self.keys)(keys)
-
-
-def _lookup(of, keys: np.ndarray) -> Lookup:
-    """Built where it is first needed, and not sent."""
-    if getattr(of, "_at", None) is None:
-        of._at = Lookup(keys)
-    return of._at
-
-
-def _without_lookup(of) -> dict:
-    return {k: v for k, v in of.__dict__.items() if k != "_at"}
-
-
-Level.__getstate__ = _without_lookup
-
-
 @dataclass
 class Model:
-    """words: sorted hashes of frequent words and the start symbol, states of order 1; levels[n - 2]: order n."""
+    """words: sorted hashes of frequent words and the start symbol."""
 
     words: np.ndarray
     counts: np.ndarray
     tokens: int = 0
     distinct: int = 0
+    discount: float = 0.5
     unknown: float = 0.0
     logp: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    levels: list[Level] = field(default_factory=list)
-
-    __getstate__ = _without_lookup
-
-    def find(self, tokens: np.ndarray) -> np.ndarray:
-        return _lookup(self, self.words)(tokens)
-
-    def read(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """ids of the tokens, and for each order the arc that each token takes (-1: none) and the state of that order
-        before it (-1: none), reading every text from left to right from its start state."""
-        ids = self.find(tokens)
-        starts = first[:-1]
-        begin = self.find(np.array([START]))[0]
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[starts] = begin
-        arcs, states = [ids], [np.full(len(ids), 0)]
-        for level in self.levels:
-            key = before * len(self.words) + ids
-            arc = level.find(np.where((before >= 0) & (ids >= 0), key, -1))
-            arcs.append(arc)
-            states.append(before)
-            before = np.empty_like(arc)
-            before[1:] = arc[:-1]
-            before[starts] = -1
-        states.append(before)
-        return ids, arcs, states
-
-    def smooth(self) -> None:
-        """Absolute discounting: of each history the arcs' discounted shares, the rest of the mass to the failure arc."""
-        self.backoff = np.zeros(len(self.words))
-        below_counts, below_backoff = self.counts.astype(float), self.backoff
-        for n, level in enumerate(self.levels):
-            state, word = level.keys // len(self.words), level.keys % len(self.words)
-            share = np.maximum(level.counts - DISCOUNT, 0) / below_counts[state]
-            left = 1 - np.bincount(state, share, len(below_counts))
-            below_backoff[:] = np.log10(np.maximum(left, 1e-12))
-            # the arc's probability holds the share and what the failure arc would give as well
-            lower = self._lower(n, level, state, word)
-            level.logp = np.log10(share + 10 ** (below_backoff[state] + lower))
-            level.backoff = np.zeros(len(level.keys))
-            below_counts, below_backoff = level.counts.astype(float), level.backoff
-
-    def _lower(self, n: int, level: Level, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 of the next shorter history's probability of word."""
-        if n == 0:
-            return self.logp[word]
-        up = self.levels[n - 1]
-        suffix = up.keys[state] % len(self.words)  # of a state (u, v) the word v: for order 3 the shorter history is v
-        arc = up.find(suffix * len(self.words) + word)
-        return np.where(arc >= 0, up.logp[arc] if len(up.keys) else 0.0, self.backoff[suffix] + self.logp[word])
-
-    def score(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ids, and each token's log10 probability; for a word without an id only its failure arcs' weights."""
-        ids, arcs, states = self.read(tokens, first)
-        out = np.where(ids >= 0, self.logp[ids], 0.0)
-        done = np.zeros(len(ids), bool)
-        fail = np.zeros(len(ids))
-        for n in range(len(self.levels), 0, -1):  # from the longest history to shorter ones
-            arc, state = arcs[n], states[n]
-            weight = self.backoff if n == 1 else self.levels[n - 2].backoff
-            take = ~done & (arc >= 0)
-            out[take] = fail[take] + self.levels[n - 1].logp[arc[take]]  # of shorter histories only failure arcs were paid
-            done |= take
-            drop = ~done & (state >= 0)
-            fail[drop] += weight[state[drop]]
-        out[~done] += fail[~done]
-        return ids, out
-
-
-def gram_candidates(shared, share: float):
-    """Arcs of the next order that are frequent within the task (half the share): of a frequent one enough is counted."""
-
-    def run(batches):
-        model, tally, tokens_read = shared.value, Tally(), 0
-        for tokens, first in training(batches):
-            ids, _, states = model.read(tokens, first)
-            ok = (states[-1] >= 0) & (ids >= 0)
-            tally.add((states[-1][ok] * len(model.words) + ids[ok]).astype(np.uint64))
-            tokens_read += len(tokens)
-            if tally.full():
-                yield _frequent(tally, tokens_read, share)
-                tally.clear()
-                tokens_read = 0
-        yield _frequent(tally, tokens_read, share)
-
-    return run
-
-
-def _frequent(tally: Tally, tokens: int, share: float) -> pa.RecordBatch:
-    keys, n = tally.sums()
-    tally.parts = [(keys[n >= share * tokens / 2], n[n >= share * tokens / 2])]
-    return _emit(tally, tokens)
-
-
-def gram_counts(shared, keys):
-    def run(batches):
-        model, table = shared.value, keys.value
-        n, where = np.zeros(len(table), np.int64), Lookup(table)
-        for tokens, first in training(batches):
-            ids, _, states = model.read(tokens, first)
-            ok = (states[-1] >= 0) & (ids >= 0)
-            at = where(states[-1][ok] * len(model.words) + ids[ok])
-            n += np.bincount(at[at >= 0], minlength=len(table))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(table[some]), pa.array(n[some])], names=["key", "n"])
 
-    return run
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "rank")}  # built where they are needed
+
+    def code(self, tokens: np.ndarray) -> np.ndarray:
+        """Of a frequent word its rank by count, of others the hash with the sign bit set (so no code is a rank too)."""
+        if not hasattr(self, "at"):
+            self.at, self.rank = Lookup(self.words), np.empty(len(self.words), np.int64)
+            self.rank[np.argsort(-self.counts, kind="stable")] = np.arange(len(self.words))
+        at = self.at(tokens)
+        return np.where(at >= 0, self.rank[at], (tokens | np.uint64(1 << 63)).view(np.int64))
+
+    def read(self, w: Words, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Row of each token, codes (u, v, w) of the two words before it and its own, and a hash of these. pad is u where
+        no pair stands before the token, and everywhere for order 2."""
+        tokens, first = with_ends(w)
+        word, starts = self.code(tokens), first[:-1]
+        one, two = np.empty_like(word), np.full(len(word), self.pad)
+        one[1:] = word[:-1]
+        one[starts] = self.code(np.array([START]))[0]
+        if order > 2:
+            two[1:] = one[:-1]
+            two[starts] = self.pad
+        grams = [two, one, word]
+        h = np.zeros(len(word), np.uint64)
+        for g in grams:
+            h = mix(h + g.view(np.uint64) + np.uint64(1))
+        return np.repeat(np.arange(w.rows), np.diff(first)), grams, h
+
+    @property
+    def pad(self) -> int:
+        return len(self.words)
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -220,11 +116,8 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys, n
 
 
-def train(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[Model, DataFrame]:
-    """The automaton (of order 2 or 3) and the table key, n of all training words. docs: id, text."""
-    if order not in (2, 3):
-        raise ValueError("order must be 2 or 3")
-    sc = docs.sparkSession.sparkContext
+def train(docs: DataFrame, word_share: float = WORD_SHARE) -> tuple[Model, DataFrame]:
+    """Frequent words with what holds for all, and the table key, n of all training words. docs: id, text."""
     words = cut(docs.mapInArrow(count_words, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     row = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
     total, distinct, ones, twos = (int(x or 0) for x in row)
@@ -233,55 +126,71 @@ def train(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, g
     keys, n = np.r_[keys.view(np.uint64), START], np.r_[n, texts.sum()]
     order_ = np.argsort(keys)
     model = Model(keys[order_], np.maximum(n[order_], 1), total, distinct)
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos) if ones and twos else 0.5))
+    model.discount = min(0.95, max(0.05, ones / (ones + 2 * twos) if ones and twos else 0.5))
     mass = max(total, 1)
-    model.unknown = float(np.log10(discount * max(distinct, 1) / mass if total else 1.0))
-    model.discount = discount
-    model.logp = np.log10(np.maximum(model.counts - discount, 1e-9) / mass)
-    for _ in range(2, order + 1):
-        shared = sc.broadcast(model)
-        local = docs.mapInArrow(gram_candidates(shared, gram_share), "key bigint, n bigint, local bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("local").alias("local"))
-        # where a task gave nothing out, it has fewer than half the share of its tokens
-        table = np.sort(_arrays(local.where(F.col("n") + gram_share / 2 * (F.lit(total) - F.col("local")) >= gram_share * total))[0])
-        keys = sc.broadcast(table)
-        counted = docs.mapInArrow(gram_counts(shared, keys), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        keys_, n = _arrays(counted.where(F.col("n") >= gram_share * total))
-        order_ = np.argsort(keys_)
-        model = Model(model.words, model.counts, total, distinct, model.unknown, model.logp, model.backoff, [*model.levels, Level(keys_[order_], n[order_])])
-        model.discount = discount
-    model.smooth()
+    model.unknown = float(np.log10(model.discount * max(distinct, 1) / mass if total else 1.0))
+    model.logp = np.log10(np.maximum(model.counts - model.discount, 1e-9) / mass)
     return model, words
 
 
-def read_documents(shared):
-    """Of each text a row with the sums over frequent words, and a row for each of its other words (key, n)."""
+def count_grams(shared, order: int):
+    """u, v, w, n: the n-grams of all texts; n counts them in training texts only."""
 
     def run(batches):
         model: Model = shared.value
-        part, seen = TaskContext.get().partitionId(), 0
-        norm = np.log10(model.tokens + 0.1 * (model.distinct + 1))
-        known = np.log10(np.where(model.words == START, 0, model.counts) + 0.1) - norm
         for batch in batches:
+            learnt = ~held_out(batch.column(0))
             for row, w in chunks(batch.column(1), NONSPACE):
-                tokens, first = with_ends(w)
-                ids, logp = model.score(tokens, first)
-                of = np.repeat(np.arange(w.rows), np.diff(first))
-                hot = ids >= 0
-                sums = [np.bincount(of, x, w.rows) for x in (hot, np.where(hot, known[ids], 0.0), logp)]
-                ids_ = batch.column(0).slice(row, w.rows)
-                numbers = (part << 36) + seen + np.arange(w.rows)
-                seen += w.rows
-                none = pa.nulls(w.rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), ids_, pa.array(held_out(ids_)), none, pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=_COLUMNS)
-                pair = np.unique(np.rec.fromarrays([of[~hot], tokens[~hot]]), return_counts=True)
-                k = len(pair[1])
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers[pair[0].f0]), pa.nulls(k, ids_.type), pa.nulls(k, pa.bool_()), pa.array(np.ascontiguousarray(pair[0].f1).view(np.int64)), pa.array(pair[1].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], names=_COLUMNS)
+                of, grams, h = model.read(w, order)
+                _, at, which = np.unique(h, return_index=True, return_inverse=True)
+                n = np.bincount(which, learnt[row : row + w.rows][of]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*[pa.array(g[at]) for g in grams], pa.array(n)], names=["u", "v", "w", "n"])
 
     return run
 
 
-_COLUMNS = ["row", "id", "held_out", "key", "n", "hot", "base", "score"]
+def priced(docs: DataFrame, shared, order: int) -> DataFrame:
+    """u, v, w, c1 (training count of w), logp: every n-gram of docs with its log10 probability.
+
+    Absolute discounting: an arc has its history's discounted share besides what the failure arc would give; a history
+    pays for failing what its arcs leave over, and nothing where the training text doesn't have it."""
+    model: Model = shared.value
+    mass, c = float(max(model.tokens, 1)), F.col
+    g3 = cut(docs.mapInArrow(count_grams(shared, order), "u bigint, v bigint, w bigint, n bigint").groupBy("u", "v", "w").agg(F.sum("n").alias("c3")))
+    g2 = cut(g3.groupBy("v", "w").agg(F.sum("c3").alias("c2")))
+    g1 = g2.groupBy("w").agg(F.sum("c2").alias("c1"))
+    state = lambda n: [F.sum(n).alias(f"t_{n}"), F.count(F.lit(1)).alias(f"k_{n}")]
+    h2 = g2.where("c2 > 0").groupBy("v").agg(*state("c2"))
+    h3 = g3.where((c("c3") > 0) & (c("u") != model.pad)).groupBy("u", "v").agg(*state("c3"))
+
+    def over(n: str, lower):
+        share = F.greatest(c(n) - F.lit(DISCOUNT), F.lit(0.0)) + c(f"k_{n}") * F.lit(DISCOUNT) * lower
+        return F.when(c(f"t_{n}").isNull(), lower).otherwise(share / c(f"t_{n}"))
+
+    p1 = F.when(c("c1") > 0, F.greatest(c("c1") - F.lit(model.discount), F.lit(1e-9)) / mass).otherwise(F.lit(10**model.unknown))
+    p2 = cut(g2.join(g1.hint("merge"), "w").join(h2.hint("merge"), "v", "left").select("v", "w", "c1", over("c2", p1).alias("p2")))
+    return cut(g3.join(p2.hint("merge"), ["v", "w"]).join(h3.hint("merge"), ["u", "v"], "left").select("u", "v", "w", "c1", F.log10(over("c3", c("p2"))).alias("logp")))
+
+
+def read_documents(shared, order: int):
+    """row, id, held_out, u, v, w, n: the n-grams of each text; id and held_out only stand with its first one."""
+
+    def run(batches):
+        model: Model = shared.value
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            out = held_out(batch.column(0))
+            for row, w in chunks(batch.column(1), NONSPACE):
+                of, grams, h = model.read(w, order)
+                _, at, n = np.unique(mix(h + of.astype(np.uint64)), return_index=True, return_counts=True)
+                back = np.argsort(at)
+                at, n = at[back], n[back]
+                rest = np.r_[False, of[at][1:] == of[at][:-1]]  # never the first of its text
+                ids = batch.column(0).take(pa.array(row + of[at], mask=rest))
+                yield pa.RecordBatch.from_arrays([pa.array((part << 36) + seen + of[at]), ids, pa.array(out[row + of[at]], mask=rest), *[pa.array(g[at]) for g in grams], pa.array(n.astype(np.int64))], names=["row", "id", "held_out", "u", "v", "w", "n"])
+                seen += w.rows
+
+    return run
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -293,20 +202,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    model, words = train(docs, order)
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
+    model, _ = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = cut(docs.mapInArrow(read_documents(shared), f"row bigint, id {kind}, held_out boolean, key bigint, n bigint, hot bigint, base double, score double"))
-    norm = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
-    mass = float(max(model.tokens, 1))
-    rare = rows.where("key is not null").select("row", "key", "n").join(words.select("key", F.col("n").alias("c")), "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    p1 = F.when(c > 0, F.log10(F.greatest(c - F.lit(model.discount), F.lit(1e-9)) / mass)).otherwise(F.lit(model.unknown))
-    rare = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("r_known"), F.sum(F.col("n") * (F.log10(c + 0.1) - norm)).alias("r_base"), F.sum(F.col("n") * p1).alias("r_score"))
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return rows.where("key is null").join(rare, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", F.col("n").alias("n_tokens"), (F.col("hot") - 0 + zero("r_known")).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("r_base")).alias("base_score"), (F.col("score") + zero("r_score")).alias("score"),
-    )
+    prices = priced(docs, shared, order)
+    read = docs.mapInArrow(read_documents(shared, order), f"row bigint, id {kind}, held_out boolean, u bigint, v bigint, w bigint, n bigint")
+    base = F.log10(F.col("c1") + F.lit(0.1)) - F.lit(float(np.log10(model.tokens + 0.1 * (model.distinct + 1))))
+    n = F.col("n")
+    sums = [F.sum(n).alias("n_tokens"), F.sum(F.when(F.col("c1") > 0, n).otherwise(0)).alias("n_known"), F.sum(n * base).alias("base_score"), F.sum(n * F.col("logp")).alias("score")]
+    scored = read.join(prices.hint("merge"), ["u", "v", "w"]).groupBy("row").agg(F.first("id", True).alias(id_col), F.first("held_out", True).alias("held_out"), *sums)
+    return scored.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -198,3 +198,35 @@ def test_prefix_join_loses_no_pair(spark):
     nodes = spark.createDataFrame([(*x, k, k) for k, x in enumerate(rows)], "n long, f1 long, f2 long, node long, id long")
     many = nodes.select("node", F.col("node").alias("comp"), F.lit(True).alias("odd"))
     assert {(r.a, r.b) for r in near_dedup._prefix_joined(d, nodes, many).collect()} == near and near
+
+
+def test_lm_score_keeps_rare_n_grams_at_any_size(spark):
+    rng = np.random.default_rng(9)
+    few = [" ".join(f"w{x}" for x in rng.integers(0, 12, int(rng.integers(0, 40)))) for _ in range(60)]
+    texts = [*few, *["a " * 700_000] * 3, None, "never seen w1 w2", "once upon w3 w4"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    toks = [["<s>", *(t or "").split(), "</s>"] for t in texts]
+    learnt = [t for k, t in enumerate(toks) if zlib.crc32(str(k).encode()) % 10]
+    c1 = collections.Counter(w for t in learnt for w in t[1:])
+    grams = {n: collections.Counter(g for t in learnt for g in zip(*[t[j:] for j in range(n)])) for n in (2, 3)}
+    total, kinds = {n: collections.Counter() for n in grams}, {n: collections.Counter() for n in grams}
+    for n, found in grams.items():
+        for g, k in found.items():
+            total[n][g[:-1]] += k
+            kinds[n][g[:-1]] += 1
+    size, ones, twos = c1.total(), sum(k == 1 for k in c1.values()), sum(k == 2 for k in c1.values())
+    cut = min(0.95, max(0.05, ones / (ones + 2 * twos) if ones and twos else 0.5))
+
+    def p(g):
+        if len(g) == 1:
+            return (c1[g[0]] - cut) / size if c1[g[0]] else cut * len(c1) / size
+        n, h = len(g), g[:-1]
+        return (max(grams[n][g] - lm_score.DISCOUNT, 0) + kinds[n][h] * lm_score.DISCOUNT * p(g[1:])) / total[n][h] if total[n][h] else p(g[1:])
+
+    assert any(k == 1 for k in grams[3].values()) and size > 2e6
+    for order in (2, 3):
+        got = {r.doc_id: r.score for r in lm_score.score_documents(d, order=order).collect()}
+        assert len(got) == len(texts)
+        for k, t in enumerate(toks):
+            n = collections.Counter(tuple(t[max(0, j - order + 1) : j + 1]) for j in range(1, len(t)))
+            assert math.isclose(got[k], sum(m * math.log10(p(g)) for g, m in n.items()), rel_tol=1e-9)

@@ -230,3 +230,26 @@ def test_lm_score_keeps_rare_n_grams_at_any_size(spark):
         for k, t in enumerate(toks):
             n = collections.Counter(tuple(t[max(0, j - order + 1) : j + 1]) for j in range(1, len(t)))
             assert math.isclose(got[k], sum(m * math.log10(p(g)) for g, m in n.items()), rel_tol=1e-9)
+
+
+def test_line_dedup_finds_lines_with_one_change(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, int(rng.integers(3, 8))))
+    lines = [" ".join(word() for _ in range(int(rng.integers(6, 30)))) for _ in range(200)]
+    near = []
+    for k, line in enumerate(lines):
+        at, words = int(rng.integers(0, len(line))), line.split()
+        if k % 4 == 0:
+            near.append(f"{line[:at]}q{line[at + 1 :]}")  # also where a space was
+        elif k % 4 == 1:
+            near.append(line[:at] + line[at + 1 :])
+        elif k % 4 == 2:
+            near.append(f"{line[:at]}z{line[at:]}")
+        else:
+            words[int(rng.integers(0, len(words)))] = "new"
+            near.append(" ".join(words))
+    d = spark.createDataFrame([(k, t) for k, t in enumerate([*lines, *near])], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.duplicate_lines(d).collect()}
+    n = len(lines)
+    assert all(got[k].kept for k in range(n)) and [k for k in range(n) if got[n + k].kept or got[n + k].group_id != got[k].group_id] == []

@@ -253,3 +253,19 @@ def test_line_dedup_finds_lines_with_one_change(spark):
     got = {r.doc_id: r for r in line_dedup.duplicate_lines(d).collect()}
     n = len(lines)
     assert all(got[k].kept for k in range(n)) and [k for k in range(n) if got[n + k].kept or got[n + k].group_id != got[k].group_id] == []
+
+
+def test_quality_limits_come_from_all_unseen_trusted_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRUSTED", 100)
+    rng = np.random.default_rng(6)
+    rows = [(k, "xx" if k % 8 == 0 else "yy", " ".join(f"w{x}" for x in rng.integers(0, 50 if k % 8 else 90, 30))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = {r.doc_id: r for r in quality.judge_quality(docs, labels).collect()}
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id", F.lit(1))).limit(100).collect()]
+    held = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) == 0).collect()}
+    unseen = set(got) - (set(order) - held)
+    for lang in ("xx", "yy"):
+        mine = [got[k].perplexity for k in unseen if got[k].lang == lang]
+        assert len(mine) >= quality.LEAST and len(got) == 400
+        assert all(math.isclose(r.most, 1.5 * np.quantile(mine, 0.99), rel_tol=1e-9) for r in got.values() if r.lang == lang)

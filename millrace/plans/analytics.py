@@ -81,16 +81,22 @@ def tiered_resolve(t):
 @query("fuzzy_match")
 def fuzzy_match(t):
     """The closest distinct name by difflib's ratio (0.8 at least) for distorted names. The distinct names, a bounded
-    dimension, are grouped by their last word, so that only names of one word are compared."""
-    names = t.part.select("p_name").distinct().withColumn("k", F.expr("split_part(p_name, ' ', -1)"))
-    lists = names.groupBy("k").agg(F.sort_array(F.collect_set("p_name")).alias("names"))
-    asked = names.select(F.concat(F.expr("left(p_name, 2)"), F.lit("h"), F.expr("substring(p_name, 3)")).alias("q"), "k").join(lists, "k")
-
-    @F.pandas_udf("string")
-    def close(q: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([next(iter(difflib.get_close_matches(a, list(b), 1, 0.8)), None) for a, b in zip(q, names)])
-
-    return asked.select("q", close("q", "names").alias("name"))
+    dimension, are grouped by length: a ratio of 0.8 takes lengths of two thirds to three halves of the asked one."""
+    names = t.part.where("p_name is not null").select("p_name").distinct()
+    lists = names.groupBy(F.length("p_name").alias("k")).agg(F.sort_array(F.collect_set("p_name")).alias("names"))
+    asked = names.select(F.concat(F.expr("left(p_name, 2)"), F.lit("h"), F.expr("substring(p_name, 3)")).alias("q"))
+    asked = asked.withColumn("k", F.explode(F.expr("sequence((2 * length(q) + 2) div 3, (3 * length(q)) div 2)"))).join(lists, "k", "left")
+
+    @F.pandas_udf("ratio double, name string")
+    def close(q: pd.Series, names: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(q, names):
+            best = next(iter(difflib.get_close_matches(a, [] if b is None else list(b), 1, 0.8)), None)
+            out.append((None if best is None else difflib.SequenceMatcher(None, best, a).ratio(), best))
+        return pd.DataFrame(out, columns=["ratio", "name"])
+
+    found = asked.select("q", close("q", "names").alias("c"))
+    return found.groupBy("q").agg(F.max(F.when(F.col("c.name").isNotNull(), F.col("c"))).alias("c")).select("q", "c.name")
 
 
 @query("propagate_group_edges", "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity > 49), g AS (SELECT DISTINCT p_name, dst FROM e JOIN part ON src = p_partkey) SELECT p_partkey AS src, dst, 0.7 AS confidence FROM part JOIN g USING (p_name) WHERE (p_partkey, dst) NOT IN (SELECT src, dst FROM e)")

@@ -1,3 +1,4 @@
+import difflib
 import os
 
 import duckdb
@@ -68,3 +69,12 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     names = [d[0] for d in cur.description]
     flat = lambda v: round(v, 6) if isinstance(v, float) else v
     assert sorted(tuple(flat(r[n]) for n in names) for r in df.collect()) == sorted(tuple(map(flat, r)) for r in cur.fetchall())
+
+
+def test_fuzzy_match_compares_with_all_names(spark, tmp_path):
+    names = ["abcd", "abhcd", "red bolt", "red bolts", "rehd bolt", "x", "zz top", "new widget", None]
+    spark.createDataFrame([(k, n) for k, n in enumerate(names)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["q"]: r["name"] for r in QUERIES["fuzzy_match"](spark, str(tmp_path)).collect()}
+    known = [n for n in names if n]
+    wanted = {q: next(iter(difflib.get_close_matches(q, known, 1, 0.8)), None) for q in (f"{n[:2]}h{n[2:]}" for n in known)}
+    assert got == wanted and got["abhcd"] == "abhcd" and got["xh"] is None

@@ -269,3 +269,12 @@ def test_quality_limits_come_from_all_unseen_trusted_documents(spark, monkeypatc
         mine = [got[k].perplexity for k in unseen if got[k].lang == lang]
         assert len(mine) >= quality.LEAST and len(got) == 400
         assert all(math.isclose(r.most, 1.5 * np.quantile(mine, 0.99), rel_tol=1e-9) for r in got.values() if r.lang == lang)
+
+
+def test_line_dedup_takes_short_lines_and_lines_without_spaces(spark):
+    rights, chinese = "All rights reserved.", "这是一个没有空格的很长的中文句子它在许多文件里都出现过"
+    texts = [rights, "ALL RIGHTS  reserved", f"{rights}\nRead more", "read more!", chinese, chinese, chinese.replace("长", "短"), "Read moor", "", "---"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line): r.kept for r in line_dedup.duplicate_lines(d).collect()}
+    gone = {(1, 0), (2, 0), (3, 0), (5, 0), (6, 0)}
+    assert len(got) == 11 and {k for k, kept in got.items() if not kept} == gone

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,23 +17,70 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; only where that is unset, as in
-    local tests, a new temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where that is unset, in local
+    tests, it is a new temporary folder; a cluster without the setting is refused, since its executors would not see it."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.sparkContext.setCheckpointDir(known)
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_parquet(df: DataFrame, path: str) -> None:
+    """Writes df; the files of its shuffles go when it is written, and not only when the driver collects garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: later stages don't recompute it, and a lost
     executor costs nothing, since the files belong to none."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write_parquet(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.millrace_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by cut. No plan that is still to run may read them."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.millrace_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Nodes of a plan that gives the same rows in the same partitions whenever it is run.
+_STEADY = {"Relation", "LocalRelation", "Project", "Filter", "Range", "LogicalRDD"}
+#: Most rows of one number each that are broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a column name that numbers its rows, the same whenever it is read: a plan that isn't a plain read of
+    tables is first written to the shared folder."""
+    nodes = re.findall(r"^[\s:+\-!]*([A-Za-z]\w*)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    if set(nodes) <= _STEADY:
+        return df.withColumn(name, F.monotonically_increasing_id())
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def without_rows(df: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """df without the rows whose number (in column name) is in gone, a table made by cut with that one column; drops the
+    numbers. Only the numbers are sent, as long as they are few enough."""
+    few = gone.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(gone) if few else gone.hint("merge"), name, "left_anti").drop(name)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -8,14 +8,15 @@ every window is skipped; both leave the result as it is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ALNUM, Lookup, chunks, cut, hash_word
+from millrace.llm.common import ALNUM, Lookup, chunks, cut, free_name, hash_word, numbered
 
 WINDOW = 10
 #: Words of items that go into one automaton; more items are gone through in blocks.
@@ -123,9 +124,9 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[li
     yield block
 
 
-def marks(docs: DataFrame, block: list[tuple[str, list[str]]], id_col: str, text_col: str) -> DataFrame:
-    """id, n_words, hit (runs of words hit, as numbers from, to, from, to, ...), items (sorted)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(block))
+def marks(rows: DataFrame, block: list[tuple[str, list[str]]]) -> DataFrame:
+    """id, row, n_words, hit (runs of words hit, as numbers from, to, from, to, ...), items (sorted); rows: id, text, row."""
+    shared = rows.sparkSession.sparkContext.broadcast(Automaton(block))
     vocabulary = np.unique(np.array([hash_word(w) for w in {w for _, ws in block for w in ws}], np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,68 +161,125 @@ def marks(docs: DataFrame, block: list[tuple[str, list[str]]], id_col: str, text
                     zero = int(w.first[doc])
                     pairs.append([v - zero for m in merged for v in m])
                     items.append(sorted(hits[doc][1]) if doc in hits else [])
-                out = [batch.column(0).slice(row, w.rows), pa.array(w.count, pa.int64()), pa.array(pairs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "n_words", "hit", "items"])
+                out = [batch.column(0).slice(row, w.rows), batch.column(2).slice(row, w.rows), pa.array(w.count, pa.int64()), pa.array(pairs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "row", "n_words", "hit", "items"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words bigint, hit array<int>, items array<string>"
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row bigint, n_words bigint, hit array<int>, items array<string>")
+
+
+def _hits(rows: DataFrame, blocks: Iterable[list[tuple[str, list[str]]]]) -> DataFrame:
+    """What marks gives, over all blocks; rows: id, text, row. Hits of several blocks are put together by row."""
+    parts = []
+    for block in blocks:
+        if parts:
+            parts[-1] = cut(parts[-1])  # one automaton is in use at once
+        parts.append(marks(rows, block))
+    if len(parts) == 1:
+        return parts[0]
+    parts[-1] = cut(parts[-1])
+    hit = None
+    for p in parts:
+        some = p.where("size(hit) > 0").select("row", "hit", "items")
+        hit = some if hit is None else hit.unionByName(some)
+    runs = F.array_sort(F.flatten(F.collect_list(F.expr("transform(sequence(0, size(hit) - 2, 2), k -> struct(hit[k] as a, hit[k + 1] as b))"))))
+    hit = hit.groupBy("row").agg(runs.alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = """aggregate(runs, cast(array() as array<int>), (out, x) -> case
+        when size(out) > 0 and x.a <= element_at(out, -1) then concat(slice(out, 1, size(out) - 1), array(greatest(element_at(out, -1), x.b)))
+        else concat(out, array(x.a, x.b)) end)"""
+    hit = hit.select("row", F.expr(merged).alias("hit"), "items")
+    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)")).alias(c)
+    return parts[0].select("id", "row", "n_words").join(hit, "row", "left").select("id", "row", "n_words", none("hit", "int"), none("items", "string"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of docs.
 
     Null and empty texts have no words, and no hits; an empty benchmark hits nothing. Items without words are left out;
-    repeated items count once by id. Ids of docs may repeat or be null where the items fit one automaton; with more
-    items, hits of the blocks are put together by id. Other columns are not read.
+    repeated items count once by id. Ids of docs may repeat or be null: hits belong to rows, told apart by number, also
+    where the items take several automata. Other columns are not read. An empty table gives an empty result.
     """
-    parts = [marks(docs, block, id_col, text_col) for block in blocks_of(benchmark, item_col, item_text)]
-    if len(parts) == 1:
-        all_ = parts[0].select("id", "n_words", "hit", F.array_sort("items").alias("items"))
-    else:
-        for k, p in enumerate(parts):
-            parts[k] = cut(p.where("size(hit) > 0") if k else p)
-        together = parts[0].select("id", "n_words", "hit", "items")
-        for p in parts[1:]:
-            together = together.unionByName(p.select("id", "n_words", "hit", "items"))
-        words = F.flatten(F.collect_list(F.expr("case when size(hit) = 0 then array() else flatten(transform(sequence(0, size(hit) - 2, 2), k -> sequence(hit[k], hit[k + 1] - 1))) end")))
-        all_ = together.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_distinct(words).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        all_ = all_.select("id", "n_words", F.expr("flatten(transform(at, x -> array(x, x + 1)))").alias("hit"), "items")
+    rows = numbered(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "row")
     n_hit = F.expr("aggregate(hit, cast(0 as bigint), (a, x) -> x - a)")  # of pairs from, to: to - (from - sum)
-    return all_.select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"),
+    items = F.array_sort("items")
+    return _hits(rows, blocks_of(benchmark, item_col, item_text)).select(
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"),
     )
 
 
+def _without(text: str, runs: Iterable[tuple[int, int]]) -> str:
+    """text without the words numbered from, to - 1 of each run and what stands between them."""
+    (_, w), *_ = chunks(pa.array([text]), ALNUM, 1 << 62)
+    raw, keep, pos = text.encode(), [], 0
+    for a, b in runs:
+        keep.append(raw[pos : w.start[a]])
+        pos = int(w.end[b - 1])
+    return b"".join([*keep, raw[pos:]]).decode()
+
+
+def _pairs(flat: list[int]) -> list[tuple[int, int]]:
+    return list(zip(flat[::2], flat[1::2]))
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = 0.5) -> DataFrame:
-    """docs without the words of test items: runs of hit words are taken out of the text; a document of which they are
-    the share coverage or more goes. All columns stay as they are, n_chars follows the text if there is such a column."""
-    out = docs
-    for block in blocks_of(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Automaton(block))
-        at, n_chars = out.columns.index(text_col), out.columns.index("n_chars") if "n_chars" in out.columns else None
-        out = out.mapInArrow(_remover(shared, at, n_chars, coverage), out.schema)
-    return out
+    """docs without the words of test items: runs of hit words are taken out of the text, until no window of an item is
+    left; a document of which hit words are the share coverage or more at first goes. All columns stay as they are,
+    n_chars follows the text if there is such a column.
+
+    Null and empty texts stay. Repeated rows, and null or repeated ids, are treated row by row. With more items than one
+    automaton takes, hits of all are found first, then the text is cut once, then looked at again: coverage is that of
+    all items together, so results don't depend on the blocks.
+    """
+    n_chars = "n_chars" if "n_chars" in docs.columns else None
+    blocks = [*islice(blocks_of(benchmark, item_col, item_text), 2)]
+    if len(blocks) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(Automaton(blocks[0]))
+        return docs.mapInArrow(_remover(shared, docs.columns.index(text_col), docs.columns.index(n_chars) if n_chars else None, coverage), docs.schema)
+    row, schema = free_name(docs, "row_number"), docs.schema
+    docs = numbered(docs, row)
+    changed, left, again = None, docs.select(docs[text_col].alias("text"), F.col(row).alias("row")), False
+
+    def cut_out(batches):
+        for batch in batches:
+            texts = [_without(t, _pairs(h)) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+    while True:
+        hits = cut(_hits(left.select(F.col("row").alias("id"), "text", "row"), blocks_of(benchmark, item_col, item_text)).where("size(hit) > 0").select("row", "n_words", "hit"))
+        if hits.isEmpty():
+            break
+        size = F.expr("aggregate(hit, cast(0 as bigint), (a, x) -> x - a)")
+        if not again:
+            gone = cut(hits.where(size >= F.lit(coverage) * F.col("n_words")).select(F.col("row").alias(row)))
+            hits = hits.where(size < F.lit(coverage) * F.col("n_words"))
+        left = cut(left.join(hits.select("row", "hit"), "row").select("row", "text", "hit").mapInArrow(cut_out, "row bigint, text string"))
+        changed = left if changed is None else cut(changed.join(left.select("row"), "row", "left_anti").unionByName(left))
+        again = True
+    if not again:
+        return docs.drop(row)
+    new = changed.select(F.col("row").alias("new_row"), F.col("text").alias("new_text"))
+    docs = docs.join(gone.hint("merge"), row, "left_anti").alias("d").join(new.alias("new"), F.col(f"d.{row}") == F.col("new.new_row"), "left")
+    text = F.when(F.col("new.new_row").isNotNull(), F.col("new.new_text")).otherwise(F.col(f"d.{text_col}"))
+    size = lambda c: F.when(F.col("new.new_row").isNotNull(), F.length("new.new_text")).otherwise(F.col(f"d.{c}"))
+    return docs.select(*[(text if c == text_col else size(c).cast(schema[c].dataType) if c == n_chars else F.col(f"d.`{c}`")).alias(c) for c in schema.names])
 
 
 def _remover(shared, at: int, n_chars: int | None, coverage: float):
     def clean(automaton: Automaton, text: str) -> str | None:
-        for again in range(100):
-            hit = set()
+        again = False
+        while True:
             (_, w), *_ = [*chunks(pa.array([text]), ALNUM, 1 << 62)] or [(0, None)]
             spans, _ = automaton.scan([w.text(k) for k in range(len(w.start))])
-            for a, b in spans:
-                hit.update(range(a, b))
-            if not hit:
+            if not spans:
                 return text
-            if not again and len(hit) >= coverage * len(w.start):
+            runs: list[list[int]] = []
+            for a, b in sorted(spans):
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], b)
+                else:
+                    runs.append([a, b])
+            if not again and sum(b - a for a, b in runs) >= coverage * len(w.start):
                 return None
-            raw, keep, pos, marked = text.encode(), [], 0, sorted(hit)
-            for k in marked:
-                keep.append(raw[pos : w.start[k]] if k - 1 not in hit else b"")
-                pos = int(w.end[k])
-            text = b"".join([*keep, raw[pos:]]).decode()
-        return None
+            text, again = _without(text, runs), True
 
     def run(batches):
         automaton = shared.value

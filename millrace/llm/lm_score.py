@@ -2,34 +2,42 @@
 
 States are the empty history, all words and all pairs of words of the training text; an arc reads a word, a failure arc
 leads from a history to the next shorter one at the price of its backoff weight. There is no cutoff: every n-gram of the
-training text is an arc, so that the automaton grows with the corpus. Arcs and states are distributed tables, in which
-the price of every n-gram that any document has is worked out once; the documents' n-grams are joined to these prices.
-Only a bounded table of frequent words is broadcast, to give them short codes; other words are coded by their hashes.
+training text is an arc, so that the automaton grows with the corpus. It is never in one place: its states are dealt into
+shards. A token of a document is an event (its two predecessors and itself), which goes to the shard of its state, finds
+its arc or the failure arc there, and goes on along the failure arc; what it picks up is summed by document. Events of
+training texts are what the shards count, so counting and scoring take one shuffle.
+
+The states of a pair of words and of the second of them lie in one shard, and those of a very frequent second word in
+shards of their own by pair; its single state is then dealt by the next word. Only a bounded table of frequent words is
+broadcast; the price of any other word in the empty history is found in the shard of that word.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NONSPACE, Lookup, Tally, Words, chunks, cut, mix
+from millrace.llm.cells import STRETCH, Dealer, by_shard, dealt, groups, joined, shards_for
+from millrace.llm.common import NONSPACE, Lookup, Tally, Words, chunks, cut, discard, mix
 
 END, START = np.uint64(0x5E4D0F7E9A3B1C27), np.uint64(0x1B2A3C4D5E6F7081)
-#: Least share of the training tokens of a word with a short code. Its inverse bounds the broadcast; no result rests on it.
+#: Least share of all tokens of a word with a short code. Its inverse bounds the broadcast; no result rests on it.
 WORD_SHARE, ORDER = 2.5e-7, 3
+#: Events from which on a word with a short code counts as hot. No result rests on it.
+HOT = 1 << 18
 #: An n-gram's count less this goes to its arc, the rest of the mass to the failure arc.
 DISCOUNT = 0.6
 
 
-def held_out(ids: pa.Array) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) % 10 == 0 if i is not None else False for i in ids.to_pylist()], bool)
+def held_out(ids: Column) -> Column:
+    """crc32 of the id as text mod 10 is 0; never for null."""
+    return F.coalesce(F.crc32(ids.cast("string")) % 10 == 0, F.lit(False))
 
 
 def with_ends(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -42,35 +50,37 @@ def with_ends(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, first) of the training texts."""
-    for batch in batches:
-        batch = batch.filter(pa.array(~held_out(batch.column(0))))
-        for _, w in chunks(batch.column(1), NONSPACE):
-            yield with_ends(w)
-
-
-def _emit(tally: Tally) -> pa.RecordBatch:
-    keys, n = tally.sums()
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+def _emit(tally: Tally, learnt: Tally) -> Iterator[pa.RecordBatch]:
+    for t, what in ((tally, "seen"), (learnt, "n")):
+        keys, n = t.sums()
+        zero = pa.array(np.zeros(len(n), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *((pa.array(n), zero) if what == "n" else (zero, pa.array(n)))], names=["key", "n", "seen"])
+        t.clear()
 
 
 def count_words(batches):
-    tally = Tally()
-    for tokens, _ in training(batches):
-        tally.add(tokens)
-        if tally.full():
-            yield _emit(tally)
-            tally.clear()
-    yield _emit(tally)
+    """key, n (in training texts), seen (in all): of columns held, text."""
+    seen, learnt = Tally(1_500_000), Tally(1_500_000)
+    for batch in batches:
+        held = batch.column(0).to_numpy(zero_copy_only=False)
+        for row, w in chunks(batch.column(1), NONSPACE, 1 << 20):
+            tokens, first = with_ends(w)
+            out = np.repeat(held[row : row + w.rows], np.diff(first))
+            learnt.add(tokens[~out])
+            if out.any():
+                seen.add(tokens[out])
+            if learnt.full() or seen.full():
+                yield from _emit(seen, learnt)
+    yield from _emit(seen, learnt)
 
 
 @dataclass
 class Model:
-    """words: sorted hashes of frequent words and the start symbol."""
+    """words: sorted hashes of frequent words and the start symbol; counts: of them in training texts; events: in all."""
 
     words: np.ndarray
     counts: np.ndarray
+    events: np.ndarray
     tokens: int = 0
     distinct: int = 0
     discount: float = 0.5
@@ -78,19 +88,37 @@ class Model:
     logp: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("at", "rank")}  # built where they are needed
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "by_code")}  # built where they are needed
+
+    def ready(self) -> None:
+        """codes by rank: counts, probabilities and whether hot, in the order of codes."""
+        if not hasattr(self, "at"):
+            order = np.argsort(-self.events, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            self.at, self.by_code = (Lookup(self.words), rank), (self.counts[order], self.p1(self.counts[order]), self.events[order] >= HOT)
 
     def code(self, tokens: np.ndarray) -> np.ndarray:
         """Of a frequent word its rank by count, of others the hash with the sign bit set (so no code is a rank too)."""
-        if not hasattr(self, "at"):
-            self.at, self.rank = Lookup(self.words), np.empty(len(self.words), np.int64)
-            self.rank[np.argsort(-self.counts, kind="stable")] = np.arange(len(self.words))
-        at = self.at(tokens)
-        return np.where(at >= 0, self.rank[at], (tokens | np.uint64(1 << 63)).view(np.int64))
-
-    def read(self, w: Words, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Row of each token, codes (u, v, w) of the two words before it and its own, and a hash of these. pad is u where
-        no pair stands before the token, and everywhere for order 2."""
+        self.ready()
+        at = self.at[0](tokens)
+        return np.where(at >= 0, self.at[1][at], (tokens | np.uint64(1 << 63)).view(np.int64))
+
+    def p1(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of words in the empty history."""
+        return np.where(counts > 0, np.maximum(counts - self.discount, 1e-9) / max(self.tokens, 1), 10**self.unknown)
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10(counts + 0.1) - np.log10(self.tokens + 0.1 * (self.distinct + 1))
+
+    @property
+    def pad(self) -> int:
+        """What stands for the first word of a pair where there is none."""
+        return len(self.words)
+
+    def read(self, w: Words, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Row of each token; codes of the two words before it and its own. The first is pad where no pair stands before
+        the token, and everywhere for order 2."""
         tokens, first = with_ends(w)
         word, starts = self.code(tokens), first[:-1]
         one, two = np.empty_like(word), np.full(len(word), self.pad)
@@ -99,96 +127,224 @@ class Model:
         if order > 2:
             two[1:] = one[:-1]
             two[starts] = self.pad
-        grams = [two, one, word]
-        h = np.zeros(len(word), np.uint64)
-        for g in grams:
-            h = mix(h + g.view(np.uint64) + np.uint64(1))
-        return np.repeat(np.arange(w.rows), np.diff(first)), grams, h
-
-    @property
-    def pad(self) -> int:
-        return len(self.words)
-
-
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.select("key", "n").toArrow()
-    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
-    return keys, n
+        return np.repeat(np.arange(w.rows), np.diff(first)), [two, one, word]
 
 
 def train(docs: DataFrame, word_share: float = WORD_SHARE) -> tuple[Model, DataFrame]:
-    """Frequent words with what holds for all, and the table key, n of all training words. docs: id, text."""
-    words = cut(docs.mapInArrow(count_words, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
-    row = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
-    total, distinct, ones, twos = (int(x or 0) for x in row)
-    keys, n = _arrays(words.where(F.col("n") >= word_share * total))
-    texts = n[keys.view(np.uint64) == END]
-    keys, n = np.r_[keys.view(np.uint64), START], np.r_[n, texts.sum()]
+    """Frequent words with what holds for all, and the table key, n, seen of all words. docs: id, text."""
+    id_, text = docs.columns
+    counted = docs.select(held_out(F.col(id_)).alias("held"), F.col(text).alias("text")).mapInArrow(count_words, "key bigint, n bigint, seen bigint")
+    words = cut(counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") + F.col("seen")).alias("events")))
+    count = lambda k: F.sum((F.col("n") == k).cast("long"))
+    row = words.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long")), count(1), count(2), F.sum("events")).first()
+    total, distinct, ones, twos, events = (int(x or 0) for x in row)
+    got = words.where(F.col("events") >= word_share * events).toArrow()
+    keys, n, seen = got["key"].to_numpy(), got["n"].to_numpy(), got["events"].to_numpy()
+    end = keys.view(np.uint64) == END
+    keys, n, seen = np.r_[keys.view(np.uint64), START], np.r_[n, n[end].sum()], np.r_[seen, seen[end].sum()]
     order_ = np.argsort(keys)
-    model = Model(keys[order_], np.maximum(n[order_], 1), total, distinct)
+    model = Model(keys[order_], n[order_], seen[order_], total, distinct)
     model.discount = min(0.95, max(0.05, ones / (ones + 2 * twos) if ones and twos else 0.5))
-    mass = max(total, 1)
-    model.unknown = float(np.log10(model.discount * max(distinct, 1) / mass if total else 1.0))
-    model.logp = np.log10(np.maximum(model.counts - model.discount, 1e-9) / mass)
+    model.unknown = float(np.log10(model.discount * max(distinct, 1) / total if total else 1.0))
+    model.logp = np.log10(model.p1(model.counts))
     return model, words
 
 
-def count_grams(shared, order: int):
-    """u, v, w, n: the n-grams of all texts; n counts them in training texts only."""
+#: Kinds of rows: documents and sums of theirs; cells for the shards of a hot word's single state; cells for the shards of
+#: words without a short code.
+SUMS, NEXT, ROOT = 0, 1, 2
+NAMES = ["shard", "kind", "payload", "row", "id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
-    def run(batches):
-        model: Model = shared.value
-        for batch in batches:
-            learnt = ~held_out(batch.column(0))
-            for row, w in chunks(batch.column(1), NONSPACE):
-                of, grams, h = model.read(w, order)
-                _, at, which = np.unique(h, return_index=True, return_inverse=True)
-                n = np.bincount(which, learnt[row : row + w.rows][of]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*[pa.array(g[at]) for g in grams], pa.array(n)], names=["u", "v", "w", "n"])
 
-    return run
+class Out:
+    """Makes record batches of cells and sums."""
+
+    def __init__(self, kind: pa.DataType):
+        self.kind = kind
 
+    def cells(self, kind: int, cells) -> Iterator[pa.RecordBatch]:
+        for shard, payload in cells:
+            yield self._batch(1, {"shard": pa.array([shard], pa.int32()), "kind": pa.array([kind], pa.int32()), "payload": pa.array([payload], pa.binary())})
 
-def priced(docs: DataFrame, shared, order: int) -> DataFrame:
-    """u, v, w, c1 (training count of w), logp: every n-gram of docs with its log10 probability.
+    def sums(self, shard: np.ndarray, row: np.ndarray, **columns) -> pa.RecordBatch:
+        n = len(row)
+        return self._batch(n, {"shard": pa.array(shard.astype(np.int32)), "kind": pa.array(np.full(n, SUMS, np.int32)), "row": pa.array(row)} | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
-    Absolute discounting: an arc has its history's discounted share besides what the failure arc would give; a history
-    pays for failing what its arcs leave over, and nothing where the training text doesn't have it."""
-    model: Model = shared.value
-    mass, c = float(max(model.tokens, 1)), F.col
-    g3 = cut(docs.mapInArrow(count_grams(shared, order), "u bigint, v bigint, w bigint, n bigint").groupBy("u", "v", "w").agg(F.sum("n").alias("c3")))
-    g2 = cut(g3.groupBy("v", "w").agg(F.sum("c3").alias("c2")))
-    g1 = g2.groupBy("w").agg(F.sum("c2").alias("c1"))
-    state = lambda n: [F.sum(n).alias(f"t_{n}"), F.count(F.lit(1)).alias(f"k_{n}")]
-    h2 = g2.where("c2 > 0").groupBy("v").agg(*state("c2"))
-    h3 = g3.where((c("c3") > 0) & (c("u") != model.pad)).groupBy("u", "v").agg(*state("c3"))
+    def _batch(self, n: int, given: dict) -> pa.RecordBatch:
+        kinds = dict(zip(NAMES, [pa.int32(), pa.int32(), pa.binary(), pa.int64(), self.kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]))
+        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(n, t) for k, t in kinds.items()], names=NAMES)
 
-    def over(n: str, lower):
-        share = F.greatest(c(n) - F.lit(DISCOUNT), F.lit(0.0)) + c(f"k_{n}") * F.lit(DISCOUNT) * lower
-        return F.when(c(f"t_{n}").isNull(), lower).otherwise(share / c(f"t_{n}"))
 
-    p1 = F.when(c("c1") > 0, F.greatest(c("c1") - F.lit(model.discount), F.lit(1e-9)) / mass).otherwise(F.lit(10**model.unknown))
-    p2 = cut(g2.join(g1.hint("merge"), "w").join(h2.hint("merge"), "v", "left").select("v", "w", "c1", over("c2", p1).alias("p2")))
-    return cut(g3.join(p2.hint("merge"), ["v", "w"]).join(h3.hint("merge"), ["u", "v"], "left").select("u", "v", "w", "c1", F.log10(over("c3", c("p2"))).alias("logp")))
+def _spread(*codes: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(codes[0]), np.uint64)
+    for c in codes:
+        h = mix(h + c.view(np.uint64) + np.uint64(1))
+    return h
 
 
-def read_documents(shared, order: int):
-    """row, id, held_out, u, v, w, n: the n-grams of each text; id and held_out only stand with its first one."""
+def events(shared, order: int, shards: int):
+    """Of columns id, held, text: a row of sums for each text (known and base only of words with a short code), and cells
+    row, learnt, u, v, w, n: the n-grams of each text."""
 
     def run(batches):
         model: Model = shared.value
-        part, seen = TaskContext.get().partitionId(), 0
+        model.ready()
+        count, _, hot = model.by_code
+        part, seen, dealer = TaskContext.get().partitionId(), 0, Dealer(shards)
         for batch in batches:
-            out = held_out(batch.column(0))
-            for row, w in chunks(batch.column(1), NONSPACE):
-                of, grams, h = model.read(w, order)
-                _, at, n = np.unique(mix(h + of.astype(np.uint64)), return_index=True, return_counts=True)
+            out = Out(batch.schema.field(0).type)
+            held = batch.column(1).to_numpy(zero_copy_only=False)
+            for begin, w in chunks(batch.column(2), NONSPACE, 1 << 20):
+                of, grams = model.read(w, order)
+                word = grams[2]
+                short = word >= 0
+                c = np.where(short, count[np.where(short, word, 0)], 0)
+                rows = (part << 36) + seen + np.arange(w.rows)
+                sum_ = lambda x: np.bincount(of, x, w.rows)
+                yield out.sums(
+                    rows % shards, rows, id=batch.column(0).slice(begin, w.rows), held_out=batch.column(1).slice(begin, w.rows), n_tokens=np.bincount(of, minlength=w.rows).astype(np.int64),
+                    n_known=sum_(c > 0).astype(np.int64), base_score=sum_(np.where(short, model.base(c), 0.0)), score=np.zeros(w.rows),
+                )
+                _, at, n = np.unique(_spread(of, *grams), return_index=True, return_counts=True)
                 back = np.argsort(at)
                 at, n = at[back], n[back]
-                rest = np.r_[False, of[at][1:] == of[at][:-1]]  # never the first of its text
-                ids = batch.column(0).take(pa.array(row + of[at], mask=rest))
-                yield pa.RecordBatch.from_arrays([pa.array((part << 36) + seen + of[at]), ids, pa.array(out[row + of[at]], mask=rest), *[pa.array(g[at]) for g in grams], pa.array(n.astype(np.int64))], names=["row", "id", "held_out", "u", "v", "w", "n"])
+                u, v, word = (g[at] for g in grams)
+                is_hot = (v >= 0) & hot[np.where(v >= 0, v, 0)]
+                shard = (np.where(is_hot, _spread(v, u), _spread(v)) % np.uint64(shards)).astype(np.int64)
+                learnt = ~held[begin + of[at]]
+                yield from out.cells(NEXT, dealer.add(shard, [rows[of[at]], learnt.astype(np.uint8), u, v, word, n.astype(np.int32)]))
                 seen += w.rows
+        yield from Out(kind_of.value).cells(NEXT, dealer.flush())
+
+    class kind_of:  # the type of ids, for cells given out last
+        value = pa.null()
+
+    def typed(kind: pa.DataType):
+        kind_of.value = kind
+        return run
+
+    return typed
+
+
+def _share(count: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What an arc has of its own, and the price of the failure arc. A history that the training text doesn't have costs
+    nothing to leave."""
+    some = total > 0
+    t = np.where(some, total, 1)
+    return np.where(some, np.maximum(count - DISCOUNT, 0) / t, 0.0), np.where(some, kinds * DISCOUNT / t, 1.0)
+
+
+def _arcs(history: tuple, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each event the count of its arc (history, word), its history's arcs' counts and their number; n: how often the
+    training text has the event."""
+    first, of = groups(*history, word)
+    count = np.bincount(of, n, len(first))
+    _, state = groups(*[h[first] for h in history])
+    states = int(state.max()) + 1 if len(state) else 0
+    total, kinds = np.bincount(state, count, states), np.bincount(state, count > 0, states)
+    return count[of], total[state][of], kinds[state][of]
+
+
+def _summed(out: Out, shard: int, row: np.ndarray, **columns) -> pa.RecordBatch:
+    rows, of = np.unique(row, return_inverse=True)
+    return out.sums(np.full(len(rows), shard), rows, **{k: np.bincount(of, x, len(rows)).astype(np.int64 if k == "n_known" else np.float64) for k, x in columns.items()})
+
+
+class Ends:
+    """What is done with events that have come to the empty history: those of words with a short code are summed, the
+    others are dealt by word. Their probability is own + left * that of the word."""
+
+    def __init__(self, model: Model, out: Out, shards: int):
+        self.model, self.out, self.shards, self.dealer = model, out, shards, Dealer(shards)
+
+    def add(self, shard, row, learnt, word, n, own, left) -> Iterator[pa.RecordBatch]:
+        short = word >= 0
+        p = own[short] + left[short] * self.model.by_code[1][word[short]]
+        if short.any():
+            yield _summed(self.out, shard, row[short], score=n[short] * np.log10(p))
+        rest = ~short
+        at = (_spread(word[rest]) % np.uint64(self.shards)).astype(np.int64)
+        yield from self.out.cells(ROOT, self.dealer.add(at, [x[rest] for x in (row, learnt, word, n, own, left)]))
+
+    def flush(self):
+        yield from self.out.cells(ROOT, self.dealer.flush())
+
+
+def at_pairs(shared, kind: pa.DataType, next_shards: int, root_shards: int):
+    """The shards of pairs of words and, but for hot words, of single words."""
+
+    def run(batches):
+        model: Model = shared.value
+        model.ready()
+        out, hot = Out(kind), model.by_code[2]
+        ends, onward = Ends(model, out, root_shards), Dealer(next_shards)
+        for shard, held in by_shard(batches):
+            payloads = []
+            for batch in held:
+                is_cell = batch.column(1).to_numpy() == NEXT
+                if not is_cell.all():
+                    yield batch.filter(pa.array(~is_cell))
+                payloads += batch.column(2).filter(pa.array(is_cell)).to_pylist()
+            if not payloads:
+                continue
+            row, learnt, u, v, word, n = joined(payloads)
+            times = n * learnt
+            c3, t3, k3 = _arcs((u, v), word, times)
+            t3 = np.where(u == model.pad, 0, t3)
+            is_hot = (v >= 0) & hot[np.where(v >= 0, v, 0)]
+            if is_hot.any():
+                to = (_spread(v[is_hot], word[is_hot]) % np.uint64(next_shards)).astype(np.int64)
+                yield from out.cells(NEXT, onward.add(to, [x[is_hot] for x in (row, learnt, v, word, n, c3.astype(np.int64), t3.astype(np.int64), k3.astype(np.int64))]))
+            row, learnt, v, word, n, times, c3, t3, k3 = (x[~is_hot] for x in (row, learnt, v, word, n, times, c3, t3, k3))
+            own, left = _share(c3, t3, k3)
+            own2, left2 = _share(*_arcs((v,), word, times))
+            yield from ends.add(shard, row, learnt, word, n, own + left * own2, left * left2)
+        yield from out.cells(NEXT, onward.flush())
+        yield from ends.flush()
+
+    return run
+
+
+def hot_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v, total, kinds: of hot words, what a shard (of pairs of the word and the next one) has."""
+    for _, held in by_shard(batches):
+        _, learnt, v, word, n, *_ = joined([p for b in held for p in b.column(2).to_pylist()])
+        first, of = groups(v, word)
+        count = np.bincount(of, n * learnt, len(first))
+        some, state = np.unique(v[first], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(state, count).astype(np.int64)), pa.array(np.bincount(state, count > 0).astype(np.int64))], names=["v", "total", "kinds"])
+
+
+def at_hot_words(shared, kind: pa.DataType, states, root_shards: int):
+    """The shards of the single states of hot words. states: a broadcast of v, total, kinds, in the order of v."""
+
+    def run(batches):
+        model: Model = shared.value
+        model.ready()
+        out, (known, total, kinds) = Out(kind), states.value
+        ends = Ends(model, out, root_shards)
+        for shard, held in by_shard(batches):
+            row, learnt, v, word, n, c3, t3, k3 = joined([p for b in held for p in b.column(2).to_pylist()])
+            first, of = groups(v, word)
+            at = np.searchsorted(known, v)
+            own, left = _share(c3, t3, k3)
+            own2, left2 = _share(np.bincount(of, n * learnt, len(first))[of], total[at], kinds[at])
+            yield from ends.add(shard, row, learnt, word, n, own + left * own2, left * left2)
+        yield from ends.flush()
+
+    return run
+
+
+def at_root(shared, kind: pa.DataType):
+    """The shards of words without a short code, in the empty history."""
+
+    def run(batches):
+        model, out = shared.value, Out(kind)
+        for shard, held in by_shard(batches):
+            row, learnt, word, n, own, left = joined([p for b in held for p in b.column(2).to_pylist()])
+            first, of = groups(word)
+            count = np.bincount(of, n * learnt, len(first))[of]
+            yield _summed(out, shard, row, n_known=np.where(count > 0, n, 0), base_score=n * model.base(count), score=n * np.log10(own + left * model.p1(count)))
 
     return run
 
@@ -198,21 +354,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts count as empty: their one token is the end. A null id is never held out. Repeated rows are each scored
     (and each learnt from). Where nothing is held for training the model gives every token probability 1 and the base
-    is that of no counts. Other columns are not read.
+    is that of no counts. Other columns are not read. An empty table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    type_ = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
-    model, _ = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    prices = priced(docs, shared, order)
-    read = docs.mapInArrow(read_documents(shared, order), f"row bigint, id {kind}, held_out boolean, u bigint, v bigint, w bigint, n bigint")
-    base = F.log10(F.col("c1") + F.lit(0.1)) - F.lit(float(np.log10(model.tokens + 0.1 * (model.distinct + 1))))
-    n = F.col("n")
-    sums = [F.sum(n).alias("n_tokens"), F.sum(F.when(F.col("c1") > 0, n).otherwise(0)).alias("n_known"), F.sum(n * base).alias("base_score"), F.sum(n * F.col("logp")).alias("score")]
-    scored = read.join(prices.hint("merge"), ["u", "v", "w"]).groupBy("row").agg(F.first("id", True).alias(id_col), F.first("held_out", True).alias("held_out"), *sums)
-    return scored.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model, words = train(docs)
+    all_ = int(words.agg(F.sum("events")).first()[0] or 0)
+    discard(words)
+    spark, hot = docs.sparkSession, model.events >= HOT
+    shared, kind = spark.sparkContext.broadcast(model), docs.select("id").limit(0).toArrow().schema.field(0).type
+    schema = f"shard int, kind int, payload binary, row bigint, id {type_}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    shards, hot_shards = shards_for(all_), shards_for(model.events[hot].sum())
+    root_shards = shards_for(all_ - model.events.sum() + model.events[model.words == START].sum())
+    read = docs.select("id", held_out(F.col("id")).alias("held_out"), "text").mapInArrow(events(shared, order, shards)(kind), schema)
+    pairs = cut(dealt(read, shards).mapInArrow(at_pairs(shared, kind, hot_shards, root_shards), schema))
+    sums, root = pairs.where(F.col("kind") == SUMS), pairs.where(F.col("kind") == ROOT)
+    if hot.any():
+        onward = dealt(pairs.where(F.col("kind") == NEXT).select("shard", "kind", "payload"), hot_shards)
+        got = onward.mapInArrow(hot_states, "v bigint, total bigint, kinds bigint").groupBy("v").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).orderBy("v").toArrow()  # words with a short code only
+        states = spark.sparkContext.broadcast([got[c].to_numpy() for c in ("v", "total", "kinds")])
+        hots = cut(onward.mapInArrow(at_hot_words(shared, kind, states, root_shards), schema))
+        sums, root = sums.unionByName(hots.where(F.col("kind") == SUMS)), root.unionByName(hots.where(F.col("kind") == ROOT))
+    sums = sums.unionByName(dealt(root.select("shard", "kind", "payload"), root_shards).mapInArrow(at_root(shared, kind), schema))
+    add = lambda c: F.sum(c).alias(c)
+    first = [F.max(F.struct(F.col("n_tokens").isNotNull().alias("is"), c))[c].alias(a) for c, a in (("id", id_col), ("held_out", "held_out"))]
+    out = sums.groupBy("row").agg(*first, add("n_tokens"), add("n_known"), add("base_score"), add("score"))
+    return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

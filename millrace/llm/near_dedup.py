@@ -23,16 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ALNUM, Words, chunks, cut, mix
+from millrace.llm.common import ALNUM, Words, chunks, cut, free_name, mix, numbered, without_rows
 from millrace.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 PRINTS = ["n", "f1", "f2"]
 BANDS, ROWS = 25, 5
 SIZE = 128
-#: Components (of 128, of each 4 bits) in which sketches of a pair may differ for it to be compared: at a similarity of
-#: 0.8 they differ in 24 on average with a standard deviation of 4.4, and in more than 44 once in 300,000 pairs.
-DIFFER, SKETCH = 44, 8
 #: Bands of up to so many nodes are compared node by node; both ways are exact.
 SMALL = 32
 #: Buckets in which shingles are counted to put rare ones first, and the ratio of the classes of multisets' sizes.
@@ -51,7 +48,7 @@ def shingles(w: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarr
     s = np.zeros(len(h), np.uint64)
     for k in range(n):
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - k] = h[k:]
+        part[: max(len(h) - k, 0)] = h[k:]
         s = np.where(left > k, mix(s * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(k + 1)), s) if k else mix(part + np.uint64(1))
     whole = (left >= n) | ((left == count[of]) & (count[of] < n)) if len(h) else np.zeros(0, bool)
     key = np.sort((of[whole].astype(np.uint64) << np.uint64(48)) | (s[whole] >> np.uint64(16)))
@@ -126,24 +123,6 @@ def bands_of(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
     return out
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each component, as SKETCH 64-bit numbers."""
-    bits = (mix(np.ascontiguousarray(sig).view(np.uint64)) & np.uint64(15)).reshape(len(sig), SKETCH, SIZE // SKETCH)
-    return (bits << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
-
-
-def _alike(x: str, y: str):
-    """Whether two sketches (arrays) differ in few enough components."""
-    lanes = 0x1111111111111111
-    differ = F.lit(0)
-    for k in range(SKETCH):
-        z = F.col(x)[k].bitwiseXOR(F.col(y)[k])
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
-        differ = differ + F.bit_count(z.bitwiseAND(F.lit(lanes)))
-    return differ <= DIFFER
-
-
 def prints(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Of each row its number of shingles, and two sums of hashes that tell its multiset."""
     edge, sums = np.searchsorted(row, np.arange(rows + 1)), []
@@ -154,16 +133,16 @@ def prints(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int)
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n (shingles), f1, f2 (of the multiset), sketch, bands."""
+    """id, row, n (shingles), f1, f2 (of the multiset), bands; of rows id, text, row."""
     for batch in batches:
         for begin, w in chunks(batch.column(1), ALNUM):
             row, shingle, weight = shingles(w)
             sig = signatures(row, shingle, weight, w.rows)
             n, sums = prints(row, shingle, weight, w.rows)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(w.rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (sketch(sig), bands_of(sig))]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(w.rows + 1, dtype=np.int32) * BANDS), pa.array(bands_of(sig).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(begin, w.rows), pa.array(n), *[pa.array(x) for x in sums], *lists],
-                names=["id", "n", "f1", "f2", "sketch", "bands"],
+                [batch.column(0).slice(begin, w.rows), batch.column(2).slice(begin, w.rows), pa.array(n), *[pa.array(x) for x in sums], bands],
+                names=["id", "row", "n", "f1", "f2", "bands"],
             )
 
 
@@ -269,10 +248,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows are in one class, of which one stays. A null id is larger than any other. Other columns are not read. An empty
     table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = docs.mapInArrow(features, f"id {kind}, n bigint, f1 bigint, f2 bigint, sketch array<bigint>, bands array<bigint>")
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("none", F.col("id").isNull()))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _marked(rows).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each class, with all its columns, whatever their names. Rows are told apart by number, so that
+    repeated and null ids do no harm."""
+    row = free_name(docs, "row_number")
+    docs = numbered(docs, row)
+    marks = _marked(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.col(row).alias("row")))
+    return without_rows(docs, row, cut(marks.where("not kept").select(F.col("row").alias(row))))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """row, id, class_id, class_size, kept; docs: id, text, row."""
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = docs.mapInArrow(features, f"id {kind}, row bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    rows = cut(rows.withColumn("none", F.col("id").isNull()))
     nodes = cut(rows.where("n > 0").groupBy(*PRINTS).agg(F.min(F.struct("none", "id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).select(*PRINTS, F.col("first.row").alias("node"), F.col("first.id").alias("id"), "copies"))
     firsts = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     banded = cut(firsts.select(F.explode("bands").alias("key"), F.col("row").alias("node")))
@@ -281,13 +274,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = crowded.groupBy("node").agg(F.sum("n").alias("known"))
     hubs = crowded.join(known, "node").groupBy("key").agg(F.max(F.struct("known", F.negative("node").alias("node"))).alias("hub")).select("key", F.negative("hub.node").alias("hub"))
     shared = cut(crowded.join(hubs.hint("merge"), "key"))
-    sketches = cut(firsts.select("row", "sketch").join(shared.select(F.col("node").alias("row")).distinct(), "row", "left_semi"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Of pairs a, b those that are similar enough."""
+        """Of pairs a, b those that are similar enough. Multisets of which one is smaller than 0.8 of the other can't be."""
         for k in "ab":
-            pairs = pairs.join(sketches.select(F.col("row").alias(k), F.col("sketch").alias(f"sketch_{k}")), k)
-        return cut(_verified(docs, nodes, cut(pairs.where(_alike("sketch_a", "sketch_b")).select("a", "b"))))
+            pairs = pairs.join(nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}")), k)
+        near = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
+        return cut(_verified(docs, nodes, cut(pairs.where(near).select("a", "b"))))
 
     links = compared(shared.where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     comps = components(links)
@@ -311,8 +304,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least")
     sizes = classes.groupBy("comp").agg(least, F.sum("copies").alias("class_size"))
     classes = cut(classes.select(*PRINTS, "comp").join(sizes, "comp").select(*PRINTS, F.col("least.id").alias("class_id"), F.col("least.node").alias("stays"), "class_size"))
-    grouped = rows.where("n > 0").select("row", "id", *PRINTS).join(classes.hint("merge"), PRINTS).select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("stays")).alias("kept"))
-    alone = rows.where("n = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    grouped = rows.where("n > 0").select("row", "id", *PRINTS).join(classes.hint("merge"), PRINTS).select("row", "id", "class_id", "class_size", (F.col("row") == F.col("stays")).alias("kept"))
+    alone = rows.where("n = 0").select("row", "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return grouped.unionByName(alone)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,7 +49,7 @@ def responses_of(pages: DataFrame) -> DataFrame:
     """Pages (page_id, url, html) as response records: what read_warc gives, and page_id."""
     html = F.coalesce("html", F.lit(""))
     return pages.select(
-        "page_id", uuid_of(F.lit("response"), F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))).alias("record_id"), F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("date"),
+        "page_id", uuid_of(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))).alias("record_id"), F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("date"),
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8").alias("http_headers"), html.alias("payload"), digest(html).alias("payload_digest"),
     )
 
@@ -59,7 +60,7 @@ def derivatives(responses: DataFrame, *keep: str) -> DataFrame:
 
     A null payload counts as empty: its conversion is empty, and so is that of a payload without text. Null headers or
     URIs stay null (in the block: empty). Repeated responses give repeated records. Broken markup never fails: what has
-    no closing > stays text. Other columns are not read.
+    no closing > stays text. An empty table gives an empty result. Other columns are not read.
     """
     payload = F.coalesce("payload", F.lit(""))
     none = lambda c: F.coalesce(c, F.lit(""))
@@ -71,33 +72,93 @@ def derivatives(responses: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+class _Plain(io.RawIOBase):
+    """The bytes of a file, gzip members taken apart one after the other. What can't be unpacked ends its member; the next
+    one goes on."""
+
+    def __init__(self, data: bytes):
+        self.pieces, self.left = self._read(data), b""
+
+    @staticmethod
+    def _read(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+        view, pos = memoryview(data), 0
+        if data[:2] != b"\x1f\x8b":
+            yield from (bytes(view[k : k + step]) for k in range(0, len(data), step))
+            return
+        while (pos := data.find(b"\x1f\x8b\x08", pos)) >= 0:
+            member, start = zlib.decompressobj(31), pos
+            try:
+                while pos < len(data) and not member.eof:
+                    part = view[pos : pos + step]
+                    yield member.decompress(part)
+                    pos += len(part) - len(member.unused_data)
+            except zlib.error:
+                pos = start + 3
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.left:
+            if (piece := next(self.pieces, None)) is None:
+                return 0
+            self.left = piece
+        n = min(len(out), len(self.left))
+        out[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, gzipped (one member or one for each record) or not. Ends at what is no record."""
-    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+    """The records of a WARC file, gzipped (one member or one for each record) or not.
+
+    What is no record (garbage between records, a Content-Length that is missing or no number, a block that the file's end
+    cuts off, a gzip member that can't be unpacked) is skipped up to the next line that begins with WARC/ and gives one row
+    of type damaged, of which all else is null. An empty file has no records.
+    """
+    f, damaged = io.BufferedReader(_Plain(data)), False
     while line := f.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
-            return
+            if not damaged:
+                yield {"record_type": "damaged"}
+            damaged = True
+            continue
         head: dict[str, str] = {}
         while (line := f.readline()).strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             head[k.strip().lower()] = v.strip()
-        block = f.read(int(head.get("content-length") or 0))
+        size = head.get("content-length", "")
+        block = f.read(int(size)) if size.isascii() and size.isdigit() else None
+        damaged = block is None or len(block) < int(size)
+        if damaged:
+            yield {"record_type": "damaged"}
+            continue
         http, payload = (block.split(b"\r\n\r\n", 1) + [b""])[:2] if head.get("content-type", "").startswith("application/http") else (b"", block)
         yield {"record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "refers_to": head.get("warc-refers-to"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "content_type": head.get("content-type"), "payload_digest": head.get("warc-payload-digest"), "block_digest": head.get("warc-block-digest"), "http_headers": http.decode("utf-8", "replace") or None, "payload": payload.decode("utf-8", "replace")}
 
 
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, http_headers string, payload string"
+#: Records, and characters of their payloads, that are handed on at once.
+BATCH, BATCH_CHARS = 1000, 1 << 24
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """The records of WARC files, one file to a task."""
+    """The records of WARC files (of up to 2 GB, which is what Spark reads as one value), one file to a task; records are
+    handed on a batch at a time. For broken files see parse."""
+    names = [c.split()[0] for c in RECORD.split(", ")]
 
     def run(batches):
         for pdf in batches:
             for content in pdf["content"]:
-                yield pd.DataFrame(list(parse(bytes(content))), columns=[c.split()[0] for c in RECORD.split(", ")])
+                rows, chars = [], 0
+                for r in parse(bytes(content)):
+                    rows.append(r)
+                    chars += len(r.get("payload") or "")
+                    if len(rows) >= BATCH or chars >= BATCH_CHARS:
+                        yield pd.DataFrame(rows, columns=names, dtype=object)
+                        rows, chars = [], 0
+                yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
 
@@ -128,7 +189,7 @@ def _sql() -> str:
     crlf = "chr(13) || chr(10)"
     return f"""
 WITH r AS (
-  SELECT page_id, url, {uuid("'response|' || page_id || '|' || coalesce(url, '')")} AS rid, 'sha256:' || sha256(coalesce(html, '')) AS pd, strlen(coalesce(html, '')) AS n, {text} AS body FROM pages
+  SELECT page_id, url, {uuid("'response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS rid, 'sha256:' || sha256(coalesce(html, '')) AS pd, strlen(coalesce(html, '')) AS n, {text} AS body FROM pages
 ), d AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, 'sourceDigest: ' || pd || {crlf} || 'sourceLength: ' || n || {crlf} || 'sourceHeaders: ' || {head} || {crlf} AS block FROM r
   UNION ALL SELECT *, 'conversion', 'text/plain', body FROM r

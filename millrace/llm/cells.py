@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 #: Numbers that are dealt out at once, and that a shard has on average.
-STRETCH, SHARD = 1 << 20, 1 << 21
+STRETCH, SHARD = 1 << 19, 1 << 20
 
 
 def shards_for(n: int) -> int:
@@ -91,7 +91,10 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.R
 
 def joined(payloads: list[bytes]) -> list[np.ndarray]:
     """The columns of several cells, one after the other."""
-    return [np.concatenate(c) for c in zip(*map(unpack, payloads))]
+    parts, out = [unpack(p) for p in payloads], []
+    for _ in range(len(parts[0])):
+        out.append(np.concatenate([p.pop(0) for p in parts]))
+    return out
 
 
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,38 +1,35 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
-The words of a text (runs that no piece goes beyond) are encoded once each. A word's substrings of bounded length are
-exploded and joined with the piece table; the edges found are grouped by word, and a higher-order aggregate folds them
-into the word's segmentation. The public model is a BPE model: its segmentation is that of merges in the order of the
-pieces' ranks, which the best sum of scores (Viterbi) doesn't give. So for BPE models the fold applies the edges by rank
-to a set of boundaries; what is left unfinished then (an edge could still merge) is encoded by a queue of merges. For
-unigram models the fold is Viterbi's.
-
-Frequent words make a dictionary of bounded size that is broadcast. The others don't go through the lattice, which would
-send every text to its words: each task encodes them by the queue.
+The words of a text (runs that no piece goes beyond) are encoded once each for the whole table. A word's substrings of
+bounded length are exploded and joined with the piece table; the edges found are grouped by word, and a higher-order
+aggregate folds them into the word's segmentation. The public model is a BPE model: its segmentation is that of merges in
+the order of the pieces' ranks, which the best sum of scores (Viterbi) doesn't give. So for BPE models the fold applies
+the edges by rank to a set of boundaries. For unigram models the fold is Viterbi's.
+
+Texts are read in stretches. Each asks for its distinct words, which are joined with their packed ids; words and texts
+of a stretch then meet in one group of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, discard, numbered
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Longest word that the lattice takes (boundaries are bits of a number); longer ones are encoded by the queue.
+#: Longest word whose boundaries are bits of a number; those of longer ones are characters of a string.
 LONGEST = 48
-#: Least share of all words for a place in the broadcast dictionary, which so has at most 2 / SHARE entries.
-SHARE = 1e-6
-#: Most words that a task keeps the encoding of.
-CACHE = 700_000
+#: Characters of a stretch, but for a longer text, which is one of its own; and the texts of one at most.
+STRETCH, STRETCH_TEXTS = 1 << 24, 1 << 16
 
 
 class Pieces:
@@ -77,48 +74,16 @@ class Pieces:
             out = [k for p in parts for k in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
         return out
 
-    def merge(self, word: str) -> list[str]:
-        """Segments by a queue of merges: best rank first, leftmost of equal ones. For short words the queue is a list."""
-        if len(word) <= LONGEST:
-            part, rank, none = list(word), self.rank.get, len(self.rank)
-            ranks = [rank(a + b, none) for a, b in zip(part, part[1:])]
-            while ranks and (best := min(ranks)) < none:
-                k = ranks.index(best)
-                part[k] += part.pop(k + 1)
-                del ranks[k]
-                if k < len(ranks):
-                    ranks[k] = rank(part[k] + part[k + 1], none)
-                if k:
-                    ranks[k - 1] = rank(part[k - 1] + part[k], none)
-            return part
-        part, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        queue: list[tuple[int, int, str]] = []
-
-        def look(a: int) -> None:
-            if a >= 0 and after[a] < len(word):
-                both = part[a] + part[after[a]]
-                if (r := self.rank.get(both)) is not None:
-                    heapq.heappush(queue, (r, a, both))
-
-        for k in range(len(word) - 1):
-            look(k)
-        while queue:
-            _, a, both = heapq.heappop(queue)
-            if part[a] and after[a] < len(word) and part[a] + part[after[a]] == both:
-                b = after[a]
-                part[a], part[b], after[a] = both, "", after[b]
-                if after[a] < len(word):
-                    before[after[a]] = a
-                look(before[a])
-                look(a)
-        return [p for p in part if p]
-
-    def segments(self, word: str, mask: int | None) -> list[str]:
-        """By the boundaries that the fold has left; None: by the queue."""
-        if mask is None:
-            return self.merge(word)
-        at = [k for k in range(len(word) + 1) if mask >> k & 1]
-        return [word[a:b] for a, b in zip(at, at[1:])]
+    def parts_first(self) -> bool:
+        """Whether no piece has a better rank than a piece that it can be merged from, as where ranks are the order in
+        which a model has learnt its pieces. Then one pass by rank makes all merges."""
+        rank = self.rank
+        splits = ((p, p[:k], p[k:]) for p in rank for k in range(1, len(p)))
+        merges = ((p, parts) for p, *parts in splits if all(len(x) == 1 or x in rank for x in parts))
+        return all(rank[p] > rank[x] for p, parts in merges for x in parts if len(x) > 1)
+
+    def ids_between(self, word: str, cuts: Sequence[int]) -> list[int]:
+        return self.ids_of([word[a:b] for a, b in zip(cuts, cuts[1:])])
 
     def decode(self, ids: Sequence[int], bare: bool = False) -> str:
         """The text; bare: with its space marks and the one in front."""
@@ -139,28 +104,32 @@ class Pieces:
 
 
 def segmented(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, mask: bit k is set where the word is cut before its character k; null where the queue has to encode it.
+    """word, mask, marks: where the word is cut. Bit k of mask, or for words of more than LONGEST characters character
+    k + 1 of marks, is 1 where it is cut before its character k, or ends.
 
-    words: word, one row each. Words of more than LONGEST characters or with more than one space mark in front get
-    null. The piece table (its size is the model's) is broadcast, so edges stay where their word is."""
-    spark = words.sparkSession
+    words: word, one row each. The piece table (its size is the model's) is broadcast, so edges stay where their word is."""
+    spark, long_ = words.sparkSession, f"length(word) > {LONGEST}"
     table = spark.createDataFrame([(p, r) for p, r in pieces.rank.items() if len(p) > 1], "piece string, rank long")
-    fits = (F.length("word") <= LONGEST) & ~F.col("word").startswith(SPACE * 2)
-    small = words.where(fits)
-    spots = small.where(F.length("word") > 1).select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 2)).alias("s"))
-    spans = spots.select("word", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(pieces.longest), F.length("word") - F.col("s")))).alias("l"))
+    spots = words.where("length(word) > 0").select("word", F.explode(F.sequence(F.lit(0), F.greatest(F.length("word") - 2, F.lit(0)))).alias("s"))
+    least = F.when(F.col("s") == 0, 1).otherwise(2)  # the first character stands for its word where no piece is found
+    spans = spots.select("word", "s", F.explode(F.sequence(least, F.greatest(least, F.least(F.lit(pieces.longest), F.length("word") - F.col("s"))))).alias("l"))
     subs = spans.select("word", "s", "l", F.substring("word", F.col("s") + 1, F.col("l")).alias("piece"))
-    edges = subs.join(F.broadcast(table), "piece").select("word", F.shiftleft("rank", 12).bitwiseOR(F.shiftleft("s", 6)).bitwiseOR(F.col("s") + F.col("l")).alias("edge"))
+    edge = F.when(F.col("rank").isNotNull(), F.struct("rank", "s", (F.col("s") + F.col("l")).alias("e")))
+    edges = subs.join(F.broadcast(table), "piece", "left").where("rank is not null or s = 0 and l = 1").select("word", edge.alias("edge"))
     grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    mergeable = "((m >> cast((x >> 6) & 63 as int)) & (m >> cast(x & 63 as int)) & 1) = 1 and bit_count(m & {inner}) = 1"
-    inner = "(((1L << cast((x & 63) - ((x >> 6) & 63) - 1 as int)) - 1) << cast(((x >> 6) & 63) + 1 as int))"
-    test = mergeable.format(inner=inner)
-    everywhere = "((1L << (length(word) + 1)) - 1)"
-    folded = grouped.withColumn("mask", F.expr(f"aggregate(edges, {everywhere}, (m, x) -> if({test}, m & ~{inner}, m))"))
-    open_ = F.expr(f"exists(edges, x -> {test.replace('(m ', '(mask ').replace('(m &', '(mask &')})")
-    folded = folded.select("word", F.when(~open_, F.col("mask")).alias("mask"), F.lit(True).alias("found"))
-    bare = F.expr(everywhere)
-    return words.join(folded, "word", "left").select("word", F.when(F.col("found"), F.col("mask")).when(fits, bare).alias("mask"))
+    inner = "(shiftleft(shiftleft(1L, x.e - x.s - 1) - 1, x.s + 1))"
+    fits = f"(shiftright(m, x.s) & shiftright(m, x.e) & 1) = 1 and bit_count(m & {inner}) = 1"
+    one = "concat('1', repeat('0', x.e - x.s - 1), '1')"
+    fits_marks = "substring(m, x.s + 1, x.e - x.s + 1) rlike '^10*10*1$'"
+    all_, all_marks = "shiftleft(1L, length(word) + 1) - 1", "repeat('1', length(word) + 1)"
+    if pieces.parts_first():
+        mask = f"aggregate(edges, {all_}, (m, x) -> if({fits}, m & ~{inner}, m))"
+        marks = f"aggregate(edges, {all_marks}, (m, x) -> if({fits_marks}, overlay(m placing {one} from x.s + 1), m))"
+    else:  # a merge can bring a better one: the best one is looked for anew each time
+        best = "aggregate(sequence(1, length(word)), {all}, (m, i) -> coalesce(element_at(transform(slice(filter(edges, x -> {fits}), 1, 1), x -> {then}), 1), m))"
+        mask = best.format(all=all_, fits=fits, then=f"m & ~{inner}")
+        marks = best.format(all=all_marks, fits=fits_marks, then=f"overlay(m placing {one} from x.s + 1)")
+    return grouped.select("word", F.expr(f"case when not {long_} then {mask} end").alias("mask"), F.expr(f"case when {long_} then {marks} end").alias("marks"))
 
 
 def viterbi(edges: DataFrame) -> DataFrame:
@@ -176,31 +145,58 @@ def viterbi(edges: DataFrame) -> DataFrame:
     return grouped.withColumn("best", best).select("word", F.element_at("best", -1)["cuts"].alias("cuts"), F.element_at("best", -1)["score"].alias("score"))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], units: Callable[[str | None], list[str]]) -> Iterator[pa.RecordBatch]:
-    counts, n = Counter(), 0
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(number, rows) of the stretches of a task: of rows id, text, in the order in which they stand."""
+    number, held, chars, texts = TaskContext.get().partitionId() << 32, [], 0, 0
+    for batch in batches:
+        sizes = np.array([len(t) if t else 0 for t in batch.column(1).to_pylist()], np.int64)
+        at = 0
+        for k, n in enumerate(sizes.tolist()):
+            if texts and (chars + n > STRETCH or texts >= STRETCH_TEXTS):
+                yield number, [*held, batch.slice(at, k - at)]
+                number, held, chars, texts, at = number + 1, [], 0, 0, k
+            chars, texts = chars + n, texts + 1
+        held.append(batch.slice(at))
+    if texts:
+        yield number, held
 
-    def out():
-        some = [(w, k) for w, k in counts.items() if k >= SHARE / 2 * n]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([k for _, k in some], pa.int64()), pa.array([n] * len(some), pa.int64())], names=["word", "n", "local"])
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            got = units(text)
-            counts.update(got)
-            n += len(got)
-            if len(counts) > 1_500_000:
-                yield out()
-                counts, n = Counter(), 0
-    yield out()
+def _asked(units: Callable[[str | None], list[str]]):
+    """stretch, word: the distinct words of each stretch."""
+
+    def run(batches):
+        for number, held in _stretches(batches):
+            words: set[str] = set()
+            for batch in held:
+                for text in batch.column(1).to_pylist():
+                    words.update(units(text))
+            some = sorted(words)
+            for k in range(0, len(some), 10_000):
+                part = some[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(part, pa.string())], names=["stretch", "word"])
 
+    return run
 
-def dictionary(docs: DataFrame, pieces: Pieces) -> dict[str, tuple[int, ...]]:
-    """Frequent words and their ids. docs: text."""
-    local = docs.mapInArrow(lambda batches: _frequent(batches, pieces.units), "word string, n bigint, local bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = cut(local)
-    total = words.agg(F.sum("n")).first()[0] or 0  # of all that tasks gave out; no more than all words
-    hot = segmented(words.where(F.col("n") >= SHARE / 2 * total).select("word"), pieces).toArrow()
-    return {w: tuple(pieces.ids_of(pieces.segments(w, m))) for w, m in zip(hot["word"].to_pylist(), hot["mask"].to_pylist())}
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for number, held in _stretches(batches):
+        for batch in held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, number)), batch.column(0), batch.column(1)], names=["stretch", "id", "text"])
+
+
+def _packed(table):
+    """word, ids (packed, four bytes each) of word, mask, marks."""
+
+    def run(batches):
+        p = table.value
+        for batch in batches:
+            out = []
+            for word, mask, marks in zip(*[c.to_pylist() for c in batch.columns]):
+                bits = f"{mask:b}"[::-1] if marks is None else marks
+                out.append(np.array(p.ids_between(word, [k for k, b in enumerate(bits) if b == "1"]), np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["word", "ids"])
+
+    return run
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, digest: bool = False) -> DataFrame:
@@ -208,54 +204,38 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     comma-joined), round_trip (decoding gives the text back). One row per row of docs.
 
     Ids are those that the model's own library gives. Null and empty texts have no pieces (round_trip: true). Texts with
-    the space mark itself don't come back as they were. Repeated rows, and ids, are each encoded. Other columns are not
-    read. Words outside the dictionary are encoded by the queue of merges where they stand, so texts are never sent.
+    the space mark itself don't come back as they were. Repeated rows, and ids, are each encoded. Words of any length go
+    through the lattice. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
     pieces = Pieces(model)
-    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    table, hot = sc.broadcast(pieces), sc.broadcast(dictionary(docs.select("text"), pieces))
-
-    def run(batches):
+    docs = numbered(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "row").select("id", "text")  # read twice alike
+    table = sc.broadcast(pieces)
+    asked = cut(docs.mapInArrow(_asked(pieces.units), "stretch bigint, word string"))
+    words = cut(segmented(asked.select("word").groupBy("word").agg(F.lit(1).alias("x")).select("word"), pieces).mapInArrow(_packed(table), "word string, ids binary"))
+    known = cut(asked.join(words.hint("merge"), "word"))
+    discard(asked, words)
+
+    def run(key, left, right):
         p = table.value
-        words = Encoded(p, hot.value, digest)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            got = [[words[w] for w in p.units(t)] for t in texts]
-            if digest:
-                hashes, columns, trips = [], [[], []], []
-                for g, t in zip(got, texts):
-                    ids, *counts, whole = zip(*g) if g else ((), (), (), ())
-                    hashes.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                    for c, k in zip(columns, counts):
-                        c.append(sum(k))
-                    trips.append(all(whole) and SPACE not in (t or ""))
-                columns = [pa.array(c, pa.int64()) for c in columns]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(hashes, pa.string()), pa.array(trips, pa.bool_())], names=["id", "n_pieces", "n_bytes", "ids_sha256", "round_trip"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[k for x in g for k in x] for g in got], pa.list_(pa.int32()))], names=["id", "ids"])
-
+        said = {w: np.frombuffer(x, np.int32).tolist() for w, x in zip(right.column("word").to_pylist(), right.column("ids").to_pylist())}
+        texts = left.column("text").to_pylist()
+        if not digest:
+            ids = [[k for w in p.units(t) for k in said[w]] for t in texts]
+            return pa.table({"id": left.column("id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+        said = {w: (",".join(map(str, x)), len(x), sum([k in p.byte_of for k in x]), p.decode(x, bare=True) == w) for w, x in said.items()}
+        columns: list[list] = [[], [], [], []]
+        for t in texts:
+            ids, counts, n_bytes, whole = zip(*[said[w] for w in p.units(t)]) if t else ((), (), (), ())
+            for c, x in zip(columns, (sum(counts), sum(n_bytes), hashlib.sha256(",".join(ids).encode()).hexdigest(), all(whole) and SPACE not in (t or ""))):
+                c.append(x)
+        types = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        return pa.table({"id": left.column("id")} | {n: pa.array(c, k) for n, c, k in zip(("n_pieces", "n_bytes", "ids_sha256", "round_trip"), columns, types)})
+
+    texts = docs.mapInArrow(_texts, f"stretch bigint, id {docs.schema['id'].dataType.simpleString()}, text string")
     out = "n_pieces bigint, n_bytes bigint, ids_sha256 string, round_trip boolean" if digest else "ids array<int>"
-    return docs.mapInArrow(run, f"id {kind}, {out}").withColumnRenamed("id", id_col)
-
-
-class Encoded(dict):
-    """Of words, found as they are asked for: ids, or with digest (ids comma-joined, pieces, bytes, whether decoding
-    gives the word back). The bytes of a word are those of whole characters, so words can be decoded one by one. Holds CACHE words at most, then begins anew."""
-
-    def __init__(self, pieces: Pieces, known: dict[str, tuple[int, ...]], digest: bool):
-        self.pieces, self.known, self.digest = pieces, known, digest
-
-    def __missing__(self, word: str) -> tuple:
-        p = self.pieces
-        ids = self.known.get(word)
-        if ids is None:
-            ids = tuple(p.ids_of(p.merge(word)))
-        value = (",".join(map(str, ids)), len(ids), sum([k in p.byte_of for k in ids]), p.decode(ids, bare=True) == word) if self.digest else ids
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value
-        return value
+    both = texts.groupBy("stretch").cogroup(known.groupBy("stretch"))
+    return both.applyInArrow(run, f"id {kind}, {out}").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:

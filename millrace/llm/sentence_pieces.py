@@ -13,6 +13,7 @@ of a stretch then meet in one group of bounded size.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -26,7 +27,7 @@ from millrace.llm.common import cut, discard, numbered
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Longest word whose boundaries are bits of a number; those of longer ones are characters of a string.
+#: Longest word that the lattice takes: its boundaries are bits of a number. Longer ones are merged by a queue, each once.
 LONGEST = 48
 #: Characters of a stretch, but for a longer text, which is one of its own; and the texts of one at most.
 STRETCH, STRETCH_TEXTS = 1 << 24, 1 << 16
@@ -74,13 +75,25 @@ class Pieces:
             out = [k for p in parts for k in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
         return out
 
-    def parts_first(self) -> bool:
-        """Whether no piece has a better rank than a piece that it can be merged from, as where ranks are the order in
-        which a model has learnt its pieces. Then one pass by rank makes all merges."""
-        rank = self.rank
-        splits = ((p, p[:k], p[k:]) for p in rank for k in range(1, len(p)))
-        merges = ((p, parts) for p, *parts in splits if all(len(x) == 1 or x in rank for x in parts))
-        return all(rank[p] > rank[x] for p, parts in merges for x in parts if len(x) > 1)
+    def cuts(self, word: str) -> list[int]:
+        """Where a word that is too long for the lattice's bits is cut: a queue of merges, best rank first, leftmost of
+        equal ones."""
+        after, before, queue = list(range(1, len(word) + 1)), list(range(-1, len(word))), []
+
+        def look(a: int) -> None:
+            if a >= 0 and (b := after[a]) < len(word) and (r := self.rank.get(word[a : after[b]])) is not None:
+                heapq.heappush(queue, (r, a, b, after[b]))
+
+        for k in range(len(word) - 1):
+            look(k)
+        gone = bytearray(len(word))
+        while queue:
+            _, a, b, end = heapq.heappop(queue)
+            if not gone[a] and after[a] == b and b < len(word) and after[b] == end:
+                gone[b], after[a], before[end] = 1, end, a
+                look(before[a])
+                look(a)
+        return [*(k for k in range(len(word)) if not gone[k]), len(word)]
 
     def ids_between(self, word: str, cuts: Sequence[int]) -> list[int]:
         return self.ids_of([word[a:b] for a, b in zip(cuts, cuts[1:])])
@@ -104,32 +117,26 @@ class Pieces:
 
 
 def segmented(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, mask, marks: where the word is cut. Bit k of mask, or for words of more than LONGEST characters character
-    k + 1 of marks, is 1 where it is cut before its character k, or ends.
-
-    words: word, one row each. The piece table (its size is the model's) is broadcast, so edges stay where their word is."""
-    spark, long_ = words.sparkSession, f"length(word) > {LONGEST}"
-    table = spark.createDataFrame([(p, r) for p, r in pieces.rank.items() if len(p) > 1], "piece string, rank long")
-    spots = words.where("length(word) > 0").select("word", F.explode(F.sequence(F.lit(0), F.greatest(F.length("word") - 2, F.lit(0)))).alias("s"))
+    """word, mask: bit k is set where the word is cut before its character k, or ends; null for words of more than LONGEST
+    characters.
+
+    words: word, one row each. The piece table (its size is the model's) is broadcast, so edges stay where their word is.
+    An edge fits if both its ends and one place between them are boundaries: its two parts are pieces as they stand. The
+    fold takes the fitting edge of the best rank, leftmost of equal ones, as often as there can be merges."""
+    table = words.sparkSession.createDataFrame([(p, r) for p, r in pieces.rank.items() if len(p) > 1], "piece string, rank long")
+    size = F.when(F.length("word") <= LONGEST, F.length("word")).otherwise(1)
+    spots = words.where("length(word) > 0").select("word", size.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0)))).alias("s"))
     least = F.when(F.col("s") == 0, 1).otherwise(2)  # the first character stands for its word where no piece is found
-    spans = spots.select("word", "s", F.explode(F.sequence(least, F.greatest(least, F.least(F.lit(pieces.longest), F.length("word") - F.col("s"))))).alias("l"))
+    spans = spots.select("word", "s", F.explode(F.sequence(least, F.greatest(least, F.least(F.lit(pieces.longest), F.col("n") - F.col("s"))))).alias("l"))
     subs = spans.select("word", "s", "l", F.substring("word", F.col("s") + 1, F.col("l")).alias("piece"))
     edge = F.when(F.col("rank").isNotNull(), F.struct("rank", "s", (F.col("s") + F.col("l")).alias("e")))
     edges = subs.join(F.broadcast(table), "piece", "left").where("rank is not null or s = 0 and l = 1").select("word", edge.alias("edge"))
     grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     inner = "(shiftleft(shiftleft(1L, x.e - x.s - 1) - 1, x.s + 1))"
     fits = f"(shiftright(m, x.s) & shiftright(m, x.e) & 1) = 1 and bit_count(m & {inner}) = 1"
-    one = "concat('1', repeat('0', x.e - x.s - 1), '1')"
-    fits_marks = "substring(m, x.s + 1, x.e - x.s + 1) rlike '^10*10*1$'"
-    all_, all_marks = "shiftleft(1L, length(word) + 1) - 1", "repeat('1', length(word) + 1)"
-    if pieces.parts_first():
-        mask = f"aggregate(edges, {all_}, (m, x) -> if({fits}, m & ~{inner}, m))"
-        marks = f"aggregate(edges, {all_marks}, (m, x) -> if({fits_marks}, overlay(m placing {one} from x.s + 1), m))"
-    else:  # a merge can bring a better one: the best one is looked for anew each time
-        best = "aggregate(sequence(1, length(word)), {all}, (m, i) -> coalesce(element_at(transform(slice(filter(edges, x -> {fits}), 1, 1), x -> {then}), 1), m))"
-        mask = best.format(all=all_, fits=fits, then=f"m & ~{inner}")
-        marks = best.format(all=all_marks, fits=fits_marks, then=f"overlay(m placing {one} from x.s + 1)")
-    return grouped.select("word", F.expr(f"case when not {long_} then {mask} end").alias("mask"), F.expr(f"case when {long_} then {marks} end").alias("marks"))
+    best = f"get(transform(slice(filter(edges, x -> {fits}), 1, 1), x -> m & ~{inner}), 0)"
+    mask = f"aggregate(sequence(1, greatest(length(word) - 1, 1)), shiftleft(1L, length(word) + 1) - 1, (m, i) -> coalesce({best}, m))"
+    return grouped.select("word", F.expr(f"case when length(word) <= {LONGEST} then {mask} end").alias("mask"))
 
 
 def viterbi(edges: DataFrame) -> DataFrame:
@@ -185,15 +192,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(table):
-    """word, ids (packed, four bytes each) of word, mask, marks."""
+    """word, ids (packed, four bytes each) of word, mask."""
 
     def run(batches):
         p = table.value
         for batch in batches:
             out = []
-            for word, mask, marks in zip(*[c.to_pylist() for c in batch.columns]):
-                bits = f"{mask:b}"[::-1] if marks is None else marks
-                out.append(np.array(p.ids_between(word, [k for k, b in enumerate(bits) if b == "1"]), np.int32).tobytes())
+            for word, mask in zip(*[c.to_pylist() for c in batch.columns]):
+                cuts = p.cuts(word) if mask is None else [k for k in range(len(word) + 1) if mask >> k & 1]
+                out.append(np.array(p.ids_between(word, cuts), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["word", "ids"])
 
     return run
@@ -204,8 +211,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     comma-joined), round_trip (decoding gives the text back). One row per row of docs.
 
     Ids are those that the model's own library gives. Null and empty texts have no pieces (round_trip: true). Texts with
-    the space mark itself don't come back as they were. Repeated rows, and ids, are each encoded. Words of any length go
-    through the lattice. Other columns, whatever their names, are not read. An empty table gives an empty result.
+    the space mark itself don't come back as they were. Repeated rows, and ids, are each encoded. Words of any length are
+    encoded whole. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
     pieces = Pieces(model)

@@ -1,6 +1,6 @@
-"""Sharding by sampled splitters: quantiles of a size-weighted key sample bound the ranges, records go to their range,
-and a key that fills more than one range gets subranges of its own. Ranges are then laid end to end and cut into shards
-of equal bytes."""
+"""Sharding by sampled splitters: quantiles of a size-weighted key sample bound the ranges, records go to their range.
+Ranges are then measured: an overfull one gets splitters from a sample of its own, until none is overfull, and a key that
+fills more than one range gets subranges by record. Ranges are laid end to end and cut into shards of equal bytes."""
 
 from __future__ import annotations
 
@@ -10,27 +10,60 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, free_name, numbered
 
 LEAST_RANGES, ROWS_PER_RANGE, MOST_RANGES, SAMPLE_PER_RANGE = 50, 1_000_000, 16_384, 24
+#: A range is overfull with more than so many times its share of the bytes.
+OVERFULL = 2.0
 
 
-def splitters(keyed: DataFrame, total: int, ranges: int) -> np.ndarray:
-    """ranges - 1 keys that cut the bytes of keyed (key, size, row) into about equal parts. A row is drawn as often as
-    its size calls for, by a hash of its number; at most about SAMPLE_PER_RANGE * MOST_RANGES keys come to the driver."""
-    step = max(1.0, total / (ranges * SAMPLE_PER_RANGE))
-    chance = F.pmod(F.xxhash64("row", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+def sampled(keyed: DataFrame, step: float, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and how often each is drawn from keyed (key, size, row): once for every step of its rows' bytes, by a
+    hash of the row's number. So total / step keys come to the driver."""
+    chance = F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("size") / step + chance).cast("int")
     got = keyed.select("key", times.alias("times")).where("times > 0").groupBy("key").agg(F.sum("times").alias("times")).toArrow()
     keys, times = got["key"].to_numpy(), got["times"].to_numpy()
     order = np.argsort(keys)
-    keys, upto = keys[order], np.cumsum(times[order])
+    return keys[order], times[order]
+
+
+def quantiles(keys: np.ndarray, times: np.ndarray, parts: int) -> np.ndarray:
+    """parts - 1 keys that cut a sample into equal parts."""
     if not len(keys):
         return np.zeros(0, np.int64)
-    at = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges, "left")
+    upto = np.cumsum(times)
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts, "left")
     return keys[np.minimum(at, len(keys) - 1)]
 
 
+def splitters(keyed: DataFrame, total: int, ranges: int) -> np.ndarray:
+    """Keys that cut the bytes of keyed (key, size, row) into about equal ranges, measured and subdivided where a range is
+    overfull. A key stands among them once for each range that it fills."""
+    share = total / ranges
+    cuts = quantiles(*sampled(keyed, max(1.0, share / SAMPLE_PER_RANGE), 11), ranges)
+    for salt in range(12, 1 << 30):
+        ranged = in_ranges(keyed, cuts)
+        got = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > OVERFULL * share) & (F.col("n") > 1)).toArrow()
+        if not got.num_rows:
+            break
+        full = ranged.join(F.broadcast(ranged.sparkSession.createDataFrame([(int(r),) for r in got["range"].to_pylist()], "range int")), "range", "left_semi")
+        keys, times = sampled(full, max(1.0, share / SAMPLE_PER_RANGE), salt)
+        more = []
+        for low, high, size in zip(got["low"].to_pylist(), got["high"].to_pylist(), got["bytes"].to_pylist()):
+            parts = int(-(-size // share))
+            if low == high:  # one key: ranges by record
+                more.append(np.full(parts, low))
+            else:
+                mine = slice(np.searchsorted(keys, low), np.searchsorted(keys, high, "right"))
+                more.append(np.unique(quantiles(keys[mine], times[mine], parts)))
+        new = np.sort(np.concatenate([cuts, *more]).astype(np.int64))
+        if len(new) == len(cuts):
+            break
+        cuts = new
+    return cuts
+
+
 def in_ranges(keyed: DataFrame, cuts: np.ndarray) -> DataFrame:
     """keyed with a column range. A key that is a splitter m > 1 times has m ranges, dealt by the row's hash."""
     names, first, times = (lambda u: (u[0], u[1], u[2]))(np.unique(cuts, return_index=True, return_counts=True)) if len(cuts) else (cuts, cuts, cuts)
@@ -48,24 +81,28 @@ def in_ranges(keyed: DataFrame, cuts: np.ndarray) -> DataFrame:
     return keyed.withColumn("range", number("key", "row"))
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def measured(rows: DataFrame) -> DataFrame:
     """id, size, text_crc32, key (a hash of the text, so that equal texts are neighbours), row. Cut from its lineage."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    return cut(
-        docs.select(docs[id_col].alias("id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"))
-    )
+    text = F.coalesce("text", F.lit(""))
+    return cut(rows.select("id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), "row"))
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard: one row per row of docs.
 
-    Law bytes: shards hold equal bytes, up to a record and up to a group of equal texts that is smaller than 1/50 of a
-    shard. Such a group lies in one shard; a larger one may be cut. slot numbers a shard's records from 0 without gaps.
+    Law bytes: shards hold equal bytes, up to the larger of the largest record and 1/50 of a shard. A group of equal texts
+    of at most that size lies in one shard; a larger one may be cut, since it would leave shards unequal. slot numbers a shard's records from 0 without gaps.
     A null text has no bytes and counts as empty, null and repeated ids are records like others, ties in the key are
     ordered by id and row; an empty table gives an empty result, and fewer records than shards leave shards empty.
     """
-    all_ = measured(docs, id_col, text_col)
-    total, rows = all_.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _placed(rows, shards).drop("row").withColumnRenamed("id", id_col)
+
+
+def _placed(rows: DataFrame, shards: int) -> DataFrame:
+    """What assign_shards gives, and row; rows: id, text, row."""
+    all_ = measured(rows)
+    total, rows, largest = all_.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
     ranges = int(min(MOST_RANGES, max(shards * LEAST_RANGES, rows // ROWS_PER_RANGE)))
     ranged = in_ranges(all_, splitters(all_, total, ranges))
     order = Window.partitionBy("range").orderBy("key", F.col("id").asc_nulls_first(), "row")
@@ -78,7 +115,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     spans = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))  # at most MOST_RANGES rows
     along = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.coalesce(1).select("range", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("from"))
-    whole = F.col("group") < F.lit(total / shards / 50)
+    whole = F.col("group") <= F.lit(float(max(largest, total / shards / 50)))
     middle = F.when(whole, F.col("from") + F.col("group_from") + F.col("group") / 2).otherwise(F.col("from") + F.col("before") + F.col("size") / 2)
     shard = F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards) / F.lit(float(max(total, 1))))).cast("int")
     placed = placed.join(F.broadcast(spans), "range").withColumn("shard", shard)
@@ -86,14 +123,17 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     ahead = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "range", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("low")).alias("shift"))
     return placed.join(F.broadcast(counts), ["shard", "range"]).select(
-        F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") + F.col("shift")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") + F.col("shift")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row"
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs, with shard and slot, as Parquet folders shard=k. Ids must be unique here."""
-    plan = assign_shards(docs, shards, id_col, text_col).select(F.col(id_col).alias("__id"), "shard", "slot")
-    docs.join(plan, docs[id_col] == plan["__id"]).drop("__id").write.partitionBy("shard").parquet(path)
+    """Writes docs, with columns shard and slot, as Parquet folders shard=k. Rows are told apart by number, so ids may
+    repeat or be null; columns of docs that have these names already are refused by Spark."""
+    row, on = free_name(docs, "row_number"), free_name(docs, "shard_row")
+    docs = numbered(docs, row)
+    plan = _placed(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.col(row).alias("row")), shards).select(F.col("row").alias(on), "shard", "slot")
+    docs.join(plan, F.col(row) == F.col(on)).drop(row, on).write.partitionBy("shard").parquet(path)
 
 
 def op6_sampled_splitters(spark, sf_dir: str) -> DataFrame:

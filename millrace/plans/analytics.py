@@ -56,9 +56,9 @@ def optional_counts(t):
     return t.part.join(c, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("lines"), F.coalesce("s", F.lit(0)).alias("suppliers"))
 
 
-@query("zero_degree", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+@query("zero_degree", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def zero_degree(t):
-    return t.part.join(t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
+    return t.part.join(t.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
 
 
 RAW = "(SELECT p_partkey AS id, p_name AS q FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'x' || p_name FROM part WHERE p_partkey % 3 = 2)"
@@ -99,12 +99,13 @@ def fuzzy_match(t):
     return found.groupBy("q").agg(F.max(F.when(F.col("c.name").isNotNull(), F.col("c"))).alias("c")).select("q", "c.name")
 
 
-@query("propagate_group_edges", "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity > 49), g AS (SELECT DISTINCT p_name, dst FROM e JOIN part ON src = p_partkey) SELECT p_partkey AS src, dst, 0.7 AS confidence FROM part JOIN g USING (p_name) WHERE (p_partkey, dst) NOT IN (SELECT src, dst FROM e)")
+@query("propagate_group_edges", "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), g AS (SELECT DISTINCT p_name, p_brand, dst FROM e JOIN part ON src = p_partkey) SELECT p_partkey AS src, dst, 0.7 AS confidence FROM part JOIN g USING (p_name, p_brand) WHERE (p_partkey, dst) NOT IN (SELECT src, dst FROM e)")
 def propagate_group_edges(t):
-    e = t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    p = t.part.select(F.col("p_partkey").alias("src"), "p_name")
-    g = e.join(p, "src").select("p_name", "dst").distinct()
-    return p.join(g, "p_name").join(e, ["src", "dst"], "left_anti").select("src", "dst", F.expr("cast(0.7 as decimal(2, 1))").alias("confidence"))
+    """Ends of a group's edges that a member of the group hasn't."""
+    e = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    p = t.part.select(F.col("p_partkey").alias("src"), "p_name", "p_brand")
+    g = e.join(p, "src").select("p_name", "p_brand", "dst").distinct()
+    return p.join(g, ["p_name", "p_brand"]).join(e, ["src", "dst"], "left_anti").select("src", "dst", F.expr("cast(0.7 as decimal(2, 1))").alias("confidence"))
 
 
 @query("retroactive_resolve", "SELECT l_orderkey, l_linenumber, p_partkey AS part FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 45")
@@ -120,10 +121,10 @@ def merge_variants(t):
     return t.lineitem.join(m, "l_partkey").select(F.col("c").alias("part"), F.col("l_suppkey").alias("supp")).distinct()
 
 
-@query("enzyme_conflict", "WITH r AS (SELECT DISTINCT l_suppkey AS enzyme, l_orderkey AS o, l_returnflag AS role FROM lineitem WHERE l_linenumber = 1) SELECT enzyme, sum(a.n * b.n)::BIGINT AS pairs, CASE WHEN a.role = 'R' THEN 'critical' WHEN a.role = 'A' THEN 'caution' ELSE 'competitive' END AS result FROM (SELECT enzyme, role, count(*) AS n FROM r GROUP BY ALL) a JOIN (SELECT enzyme, count(*) AS n FROM r WHERE role = 'N' GROUP BY ALL) b USING (enzyme) GROUP BY enzyme, result")
+@query("enzyme_conflict", "WITH r AS (SELECT DISTINCT l_suppkey AS enzyme, l_orderkey AS o, l_returnflag AS role FROM lineitem) SELECT enzyme, sum(a.n * b.n)::BIGINT AS pairs, CASE WHEN a.role = 'R' THEN 'critical' WHEN a.role = 'A' THEN 'caution' ELSE 'competitive' END AS result FROM (SELECT enzyme, role, count(*) AS n FROM r GROUP BY ALL) a JOIN (SELECT enzyme, count(*) AS n FROM r WHERE role = 'N' GROUP BY ALL) b USING (enzyme) GROUP BY enzyme, result")
 def enzyme_conflict(t):
     """Pairs by role and enzyme, from counts of roles: no pair of a hot enzyme is made."""
-    r = t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("enzyme"), "l_orderkey", F.col("l_returnflag").alias("role")).distinct()
+    r = t.lineitem.select(F.col("l_suppkey").alias("enzyme"), "l_orderkey", F.col("l_returnflag").alias("role")).distinct()
     a = r.groupBy("enzyme", "role").agg(F.count("*").alias("n"))
     b = a.where("role = 'N'").select("enzyme", F.col("n").alias("m"))
     return a.join(b, "enzyme").select("enzyme", (F.col("n") * F.col("m")).alias("pairs"), F.expr("case role when 'R' then 'critical' when 'A' then 'caution' else 'competitive' end").alias("result"))
@@ -240,17 +241,17 @@ def ordered_union(t):
     return t.part.select("p_partkey", F.array_join(F.array_distinct(F.split("p_name", " ")), ",").alias("names"))
 
 
-@query("edge_in_out_union", f"WITH {EDGES} SELECT src AS node, dst AS other FROM edges WHERE n > 1 UNION SELECT dst, src FROM edges WHERE n > 1")
+@query("edge_in_out_union", f"WITH {EDGES} SELECT src AS node, dst AS other FROM edges UNION SELECT dst, src FROM edges")
 def edge_in_out_union(t):
-    e = edges(t).where("n > 1")
+    e = edges(t)
     return e.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(e.select("dst", "src")).distinct()
 
 
-@query("shared_members", "SELECT s.l_suppkey AS a, s.l_suppkey + 1 AS b, count(DISTINCT s.l_partkey) AS shared FROM lineitem s JOIN lineitem u ON u.l_suppkey = s.l_suppkey + 1 AND u.l_partkey = s.l_partkey GROUP BY 1, 2")
+@query("shared_members", "WITH s AS (SELECT DISTINCT l_suppkey AS a, l_partkey FROM lineitem) SELECT s.a, u.a AS b, count(*) AS shared FROM s JOIN s u ON u.l_partkey = s.l_partkey AND s.a < u.a GROUP BY 1, 2")
 def shared_members(t):
+    """How many parts any two suppliers share."""
     s = t.lineitem.select(F.col("l_suppkey").alias("a"), "l_partkey").distinct()
-    u = s.select((F.col("a") - 1).alias("a"), "l_partkey")
-    return s.join(u, ["a", "l_partkey"]).groupBy("a").agg(F.count("*").alias("shared")).select("a", (F.col("a") + 1).alias("b"), "shared")
+    return s.join(s.withColumnRenamed("a", "b"), "l_partkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 @query("most_severe_merge", "SELECT o_custkey, min(o_orderpriority) AS worst, min_by(o_orderkey, o_orderpriority || lpad(o_orderkey::VARCHAR, 12, '0')) AS order_id FROM orders GROUP BY 1")

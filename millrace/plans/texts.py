@@ -131,10 +131,10 @@ def quality_gate(t):
     return d.select("doc_id", F.array_join("f", ",").alias("flags"), F.size("f").cast("long").alias("n_flags"), F.round(F.greatest(F.lit(0.0), 1 - 0.15 * F.size("f")), 4).alias("score"), (F.size("f") >= 2).alias("quarantine"))
 
 
-@query("near_dupe_first_wins", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source, left(text, 50) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+@query("near_dupe_first_wins", "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source, text")
 def near_dupe_first_wins(t):
-    """First wins by a key that may be hot: pre-aggregated, no window over the group."""
-    return t.documents.groupBy("source", F.substring("text", 1, 50).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
+    """First wins by the digest of a chunk; the key may be hot, so it is pre-aggregated, without a window over the group."""
+    return t.documents.groupBy("source", F.unhex(F.sha2("text", 256)).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
 
 
 @query("source_list", "SELECT lang, string_agg(source, '; ' ORDER BY source) AS sources, count(*) AS n FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY 1")
@@ -142,10 +142,10 @@ def source_list(t):
     return t.documents.groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("source")), "; ").alias("sources"), F.countDistinct("source").alias("n"))
 
 
-@query("eval_text_prep", r"SELECT conv_id, left(trim(regexp_replace(regexp_replace(text, '\[[^\]]*\]', '', 'g'), '\s+', ' ', 'g')), 1500) AS answer, turn FROM conversations WHERE role = 'assistant' AND turn < 18")
+@query("eval_text_prep", r"SELECT conv_id, left(trim(regexp_replace(regexp_replace(text, '\[[^\]]*\]', '', 'g'), '\s+', ' ', 'g')), 1500) AS answer, turn FROM conversations WHERE role = 'assistant'")
 def eval_text_prep(t):
     x = F.trim(F.regexp_replace(F.regexp_replace("text", r"\[[^\]]*\]", ""), r"\s+", " "))
-    return t.conversations.where("role = 'assistant' and turn < 18").select("conv_id", F.substring(x, 1, 1500).alias("answer"), "turn")
+    return t.conversations.where("role = 'assistant'").select("conv_id", F.substring(x, 1, 1500).alias("answer"), "turn")
 
 
 @query("rows_from_lines", "SELECT page_id, k, max_by(v, i) AS v FROM (SELECT page_id, i, regexp_extract(l, 'href=\"/([^\"]*)\">([^<]*)', 1) AS k, regexp_extract(l, 'href=\"/([^\"]*)\">([^<]*)', 2) AS v FROM (SELECT page_id, unnest(string_split(html, '<li>')) AS l, generate_subscripts(string_split(html, '<li>'), 1) AS i FROM pages)) WHERE k <> '' GROUP BY 1, 2")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.cells import STRETCH, Dealer, by_shard, dealt, groups, joined, shards_for
+from millrace.llm.cells import Dealer, by_shard, dealt, groups, joined, shards_for, unpack
 from millrace.llm.common import NONSPACE, Lookup, Tally, Words, chunks, cut, discard, mix
 
 END, START = np.uint64(0x5E4D0F7E9A3B1C27), np.uint64(0x1B2A3C4D5E6F7081)
@@ -150,14 +150,14 @@ def train(docs: DataFrame, word_share: float = WORD_SHARE) -> tuple[Model, DataF
     return model, words
 
 
-#: Kinds of rows: documents and sums of theirs; cells for the shards of a hot word's single state; cells for the shards of
-#: words without a short code.
-SUMS, NEXT, ROOT = 0, 1, 2
+#: Kinds of rows: documents; cells for the shards of a hot word's single state; cells for the shards of words without a
+#: short code; cells of sums for the shards of documents.
+DOCS, NEXT, ROOT, PART = 0, 1, 2, 3
 NAMES = ["shard", "kind", "payload", "row", "id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
 
 class Out:
-    """Makes record batches of cells and sums."""
+    """Makes record batches of cells and documents."""
 
     def __init__(self, kind: pa.DataType):
         self.kind = kind
@@ -166,9 +166,9 @@ class Out:
         for shard, payload in cells:
             yield self._batch(1, {"shard": pa.array([shard], pa.int32()), "kind": pa.array([kind], pa.int32()), "payload": pa.array([payload], pa.binary())})
 
-    def sums(self, shard: np.ndarray, row: np.ndarray, **columns) -> pa.RecordBatch:
+    def docs(self, shards: int, row: np.ndarray, **columns) -> pa.RecordBatch:
         n = len(row)
-        return self._batch(n, {"shard": pa.array(shard.astype(np.int32)), "kind": pa.array(np.full(n, SUMS, np.int32)), "row": pa.array(row)} | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+        return self._batch(n, {"shard": pa.array((row % shards).astype(np.int32)), "kind": pa.array(np.full(n, DOCS, np.int32)), "row": pa.array(row)} | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
     def _batch(self, n: int, given: dict) -> pa.RecordBatch:
         kinds = dict(zip(NAMES, [pa.int32(), pa.int32(), pa.binary(), pa.int64(), self.kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]))
@@ -183,8 +183,8 @@ def _spread(*codes: np.ndarray) -> np.ndarray:
 
 
 def events(shared, order: int, shards: int):
-    """Of columns id, held, text: a row of sums for each text (known and base only of words with a short code), and cells
-    row, learnt, u, v, w, n: the n-grams of each text."""
+    """Of columns id, held, text: a row for each text (known and base only of words with a short code), and cells row,
+    learnt, u, v, w, n: the n-grams of each text."""
 
     def run(batches):
         model: Model = shared.value
@@ -201,9 +201,9 @@ def events(shared, order: int, shards: int):
                 c = np.where(short, count[np.where(short, word, 0)], 0)
                 rows = (part << 36) + seen + np.arange(w.rows)
                 sum_ = lambda x: np.bincount(of, x, w.rows)
-                yield out.sums(
-                    rows % shards, rows, id=batch.column(0).slice(begin, w.rows), held_out=batch.column(1).slice(begin, w.rows), n_tokens=np.bincount(of, minlength=w.rows).astype(np.int64),
-                    n_known=sum_(c > 0).astype(np.int64), base_score=sum_(np.where(short, model.base(c), 0.0)), score=np.zeros(w.rows),
+                yield out.docs(
+                    shards, rows, id=batch.column(0).slice(begin, w.rows), held_out=batch.column(1).slice(begin, w.rows), n_tokens=np.bincount(of, minlength=w.rows).astype(np.int64),
+                    n_known=sum_(c > 0).astype(np.int64), base_score=sum_(np.where(short, model.base(c), 0.0)),
                 )
                 _, at, n = np.unique(_spread(of, *grams), return_index=True, return_counts=True)
                 back = np.argsort(at)
@@ -245,40 +245,51 @@ def _arcs(history: tuple, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return count[of], total[state][of], kinds[state][of]
 
 
-def _summed(out: Out, shard: int, row: np.ndarray, **columns) -> pa.RecordBatch:
-    rows, of = np.unique(row, return_inverse=True)
-    return out.sums(np.full(len(rows), shard), rows, **{k: np.bincount(of, x, len(rows)).astype(np.int64 if k == "n_known" else np.float64) for k, x in columns.items()})
+class Sums:
+    """Sums by document, as cells for the documents' shards: row, known, base, score."""
+
+    def __init__(self, out: Out, shards: int):
+        self.out, self.shards, self.dealer = out, shards, Dealer(shards)
+
+    def add(self, row: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows, of = np.unique(row, return_inverse=True)
+        sums = [np.bincount(of, x, len(rows)) for x in (known, base, score)]
+        yield from self.out.cells(PART, self.dealer.add(rows % self.shards, [rows, sums[0].astype(np.int64), *sums[1:]]))
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        yield from self.out.cells(PART, self.dealer.flush())
 
 
 class Ends:
     """What is done with events that have come to the empty history: those of words with a short code are summed, the
     others are dealt by word. Their probability is own + left * that of the word."""
 
-    def __init__(self, model: Model, out: Out, shards: int):
-        self.model, self.out, self.shards, self.dealer = model, out, shards, Dealer(shards)
+    def __init__(self, model: Model, out: Out, shards: tuple[int, int]):
+        self.model, self.out, self.shards, self.dealer, self.sums = model, out, shards[0], Dealer(shards[0]), Sums(out, shards[1])
 
-    def add(self, shard, row, learnt, word, n, own, left) -> Iterator[pa.RecordBatch]:
+    def add(self, row, learnt, word, n, own, left) -> Iterator[pa.RecordBatch]:
         short = word >= 0
         p = own[short] + left[short] * self.model.by_code[1][word[short]]
-        if short.any():
-            yield _summed(self.out, shard, row[short], score=n[short] * np.log10(p))
+        none = np.zeros(len(p))
+        yield from self.sums.add(row[short], none, none, n[short] * np.log10(p))
         rest = ~short
         at = (_spread(word[rest]) % np.uint64(self.shards)).astype(np.int64)
         yield from self.out.cells(ROOT, self.dealer.add(at, [x[rest] for x in (row, learnt, word, n, own, left)]))
 
-    def flush(self):
+    def flush(self) -> Iterator[pa.RecordBatch]:
         yield from self.out.cells(ROOT, self.dealer.flush())
+        yield from self.sums.flush()
 
 
-def at_pairs(shared, kind: pa.DataType, next_shards: int, root_shards: int):
+def at_pairs(shared, kind: pa.DataType, next_shards: int, end_shards: tuple[int, int]):
     """The shards of pairs of words and, but for hot words, of single words."""
 
     def run(batches):
         model: Model = shared.value
         model.ready()
         out, hot = Out(kind), model.by_code[2]
-        ends, onward = Ends(model, out, root_shards), Dealer(next_shards)
-        for shard, held in by_shard(batches):
+        ends, onward = Ends(model, out, end_shards), Dealer(next_shards)
+        for _, held in by_shard(batches):
             payloads = []
             for batch in held:
                 is_cell = batch.column(1).to_numpy() == NEXT
@@ -298,7 +309,7 @@ def at_pairs(shared, kind: pa.DataType, next_shards: int, root_shards: int):
             row, learnt, v, word, n, times, c3, t3, k3 = (x[~is_hot] for x in (row, learnt, v, word, n, times, c3, t3, k3))
             own, left = _share(c3, t3, k3)
             own2, left2 = _share(*_arcs((v,), word, times))
-            yield from ends.add(shard, row, learnt, word, n, own + left * own2, left * left2)
+            yield from ends.add(row, learnt, word, n, own + left * own2, left * left2)
         yield from out.cells(NEXT, onward.flush())
         yield from ends.flush()
 
@@ -315,40 +326,65 @@ def hot_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(state, count).astype(np.int64)), pa.array(np.bincount(state, count > 0).astype(np.int64))], names=["v", "total", "kinds"])
 
 
-def at_hot_words(shared, kind: pa.DataType, states, root_shards: int):
+def at_hot_words(shared, kind: pa.DataType, states, end_shards: tuple[int, int]):
     """The shards of the single states of hot words. states: a broadcast of v, total, kinds, in the order of v."""
 
     def run(batches):
         model: Model = shared.value
         model.ready()
         out, (known, total, kinds) = Out(kind), states.value
-        ends = Ends(model, out, root_shards)
-        for shard, held in by_shard(batches):
+        ends = Ends(model, out, end_shards)
+        for _, held in by_shard(batches):
             row, learnt, v, word, n, c3, t3, k3 = joined([p for b in held for p in b.column(2).to_pylist()])
             first, of = groups(v, word)
             at = np.searchsorted(known, v)
             own, left = _share(c3, t3, k3)
             own2, left2 = _share(np.bincount(of, n * learnt, len(first))[of], total[at], kinds[at])
-            yield from ends.add(shard, row, learnt, word, n, own + left * own2, left * left2)
+            yield from ends.add(row, learnt, word, n, own + left * own2, left * left2)
         yield from ends.flush()
 
     return run
 
 
-def at_root(shared, kind: pa.DataType):
+def at_root(shared, kind: pa.DataType, shards: int):
     """The shards of words without a short code, in the empty history."""
 
     def run(batches):
         model, out = shared.value, Out(kind)
-        for shard, held in by_shard(batches):
+        sums = Sums(out, shards)
+        for _, held in by_shard(batches):
             row, learnt, word, n, own, left = joined([p for b in held for p in b.column(2).to_pylist()])
             first, of = groups(word)
             count = np.bincount(of, n * learnt, len(first))[of]
-            yield _summed(out, shard, row, n_known=np.where(count > 0, n, 0), base_score=n * model.base(count), score=n * np.log10(own + left * model.p1(count)))
+            yield from sums.add(row, np.where(count > 0, n, 0), n * model.base(count), n * np.log10(own + left * model.p1(count)))
+        yield from sums.flush()
 
     return run
 
 
+def at_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, held_out, n_tokens, n_known, base_score, score: the documents of each shard with all their sums."""
+    for _, held in by_shard(batches):
+        docs, payloads = [], []
+        for batch in held:
+            is_doc = batch.column(1).to_numpy() == DOCS
+            docs.append(batch.filter(pa.array(is_doc)))
+            payloads += batch.column(2).filter(pa.array(~is_doc)).to_pylist()
+        docs = pa.Table.from_batches(docs).combine_chunks()
+        if not docs.num_rows:
+            continue
+        row = docs["row"].to_numpy()
+        order = np.argsort(row)
+        sums = [docs["n_known"].to_numpy().copy(), docs["base_score"].to_numpy().copy(), np.zeros(len(row))]
+        for payload in payloads:
+            of, *parts = unpack(payload)
+            at = order[np.searchsorted(row, of, sorter=order)]
+            for k, part in enumerate(parts):
+                sums[k] = sums[k] + np.bincount(at, part, len(row))
+        for batch in docs.select(["id", "held_out", "n_tokens"]).append_column("n_known", pa.array(np.rint(sums[0]).astype(np.int64))).append_column("base_score", pa.array(sums[1])).append_column("score", pa.array(sums[2])).to_batches():
+            yield batch
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
@@ -369,19 +405,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards, hot_shards = shards_for(all_), shards_for(model.events[hot].sum())
     root_shards = shards_for(all_ - model.events.sum() + model.events[model.words == START].sum())
     read = docs.select("id", held_out(F.col("id")).alias("held_out"), "text").mapInArrow(events(shared, order, shards)(kind), schema)
-    pairs = cut(dealt(read, shards).mapInArrow(at_pairs(shared, kind, hot_shards, root_shards), schema))
-    sums, root = pairs.where(F.col("kind") == SUMS), pairs.where(F.col("kind") == ROOT)
+    pairs = cut(dealt(read, shards).mapInArrow(at_pairs(shared, kind, hot_shards, (root_shards, shards)), schema))
+    of = lambda d, k: d.where(F.col("kind") == k).select("shard", "kind", "payload")
+    parts, root = of(pairs, PART), of(pairs, ROOT)
     if hot.any():
-        onward = dealt(pairs.where(F.col("kind") == NEXT).select("shard", "kind", "payload"), hot_shards)
+        onward = dealt(of(pairs, NEXT), hot_shards)
         got = onward.mapInArrow(hot_states, "v bigint, total bigint, kinds bigint").groupBy("v").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).orderBy("v").toArrow()  # words with a short code only
         states = spark.sparkContext.broadcast([got[c].to_numpy() for c in ("v", "total", "kinds")])
-        hots = cut(onward.mapInArrow(at_hot_words(shared, kind, states, root_shards), schema))
-        sums, root = sums.unionByName(hots.where(F.col("kind") == SUMS)), root.unionByName(hots.where(F.col("kind") == ROOT))
-    sums = sums.unionByName(dealt(root.select("shard", "kind", "payload"), root_shards).mapInArrow(at_root(shared, kind), schema))
-    add = lambda c: F.sum(c).alias(c)
-    first = [F.max(F.struct(F.col("n_tokens").isNotNull().alias("is"), c))[c].alias(a) for c, a in (("id", id_col), ("held_out", "held_out"))]
-    out = sums.groupBy("row").agg(*first, add("n_tokens"), add("n_known"), add("base_score"), add("score"))
-    return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        hots = cut(onward.mapInArrow(at_hot_words(shared, kind, states, (root_shards, shards)), schema))
+        parts, root = parts.unionByName(of(hots, PART)), root.unionByName(of(hots, ROOT))
+    parts = parts.unionByName(of(dealt(root, root_shards).mapInArrow(at_root(shared, kind, shards), schema), PART))
+    both = pairs.where(F.col("kind") == DOCS).unionByName(parts, allowMissingColumns=True)
+    out = dealt(both, shards).mapInArrow(at_documents, f"id {type_}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,6 @@ holds at once, and shards are as many as its size asks for, so memory doesn't gr
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from millrace.llm.common import give_back
+
 #: Numbers that are dealt out at once, and that a shard has on average.
 STRETCH, SHARD = 1 << 19, 3 << 18
 
@@ -75,12 +75,6 @@ def dealt(df: DataFrame, shards: int) -> DataFrame:
     return df.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system: a Python worker serves many tasks and would keep its peak."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """(shard, its rows) of a partition made by dealt; column 0 is the shard. One shard is held at once."""
     now, held = None, []

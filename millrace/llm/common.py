@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -83,6 +85,23 @@ def without_rows(df: DataFrame, name: str, gone: DataFrame) -> DataFrame:
     return df.join(F.broadcast(gone) if few else gone.hint("merge"), name, "left_anti").drop(name)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker serves many tasks and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run):
+    """run (of batches) that gives memory back when its partition is done."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

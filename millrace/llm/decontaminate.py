@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ALNUM, Lookup, chunks, cut, free_name, hash_word, numbered
+from millrace.llm.common import ALNUM, Lookup, chunks, cut, free_name, hash_word, lean, numbered
 
 WINDOW = 10
 #: Words of items that go into one automaton; more items are gone through in blocks.
@@ -164,7 +164,7 @@ def marks(rows: DataFrame, block: list[tuple[str, list[str]]]) -> DataFrame:
                 out = [batch.column(0).slice(row, w.rows), batch.column(2).slice(row, w.rows), pa.array(w.count, pa.int64()), pa.array(pairs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(out, names=["id", "row", "n_words", "hit", "items"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row bigint, n_words bigint, hit array<int>, items array<string>")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, row bigint, n_words bigint, hit array<int>, items array<string>")
 
 
 def _hits(rows: DataFrame, blocks: Iterable[list[tuple[str, list[str]]]]) -> DataFrame:
@@ -233,7 +233,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     blocks = [*islice(blocks_of(benchmark, item_col, item_text), 2)]
     if len(blocks) == 1:
         shared = docs.sparkSession.sparkContext.broadcast(Automaton(blocks[0]))
-        return docs.mapInArrow(_remover(shared, docs.columns.index(text_col), docs.columns.index(n_chars) if n_chars else None, coverage), docs.schema)
+        return docs.mapInArrow(lean(_remover(shared, docs.columns.index(text_col), docs.columns.index(n_chars) if n_chars else None, coverage)), docs.schema)
     row, schema = free_name(docs, "row_number"), docs.schema
     docs = numbered(docs, row)
     changed, left, again = None, docs.select(docs[text_col].alias("text"), F.col(row).alias("row")), False

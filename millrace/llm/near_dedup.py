@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ALNUM, Words, chunks, cut, free_name, mix, numbered, without_rows
+from millrace.llm.common import ALNUM, Words, chunks, cut, free_name, lean, mix, numbered, without_rows
 from millrace.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -264,7 +264,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _marked(docs: DataFrame) -> DataFrame:
     """row, id, class_id, class_size, kept; docs: id, text, row."""
     kind = docs.schema["id"].dataType.simpleString()
-    rows = docs.mapInArrow(features, f"id {kind}, row bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    rows = docs.mapInArrow(lean(features), f"id {kind}, row bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
     rows = cut(rows.withColumn("none", F.col("id").isNull()))
     nodes = cut(rows.where("n > 0").groupBy(*PRINTS).agg(F.min(F.struct("none", "id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).select(*PRINTS, F.col("first.row").alias("node"), F.col("first.id").alias("id"), "copies"))
     firsts = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
@@ -315,7 +315,7 @@ def _read(docs: DataFrame, nodes: DataFrame, some: DataFrame, run, column: str,
     ids = wanted.select(F.col("w_id").alias("w"))
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
     found = docs.join(ids, F.col("id").eqNullSafe(F.col("w")), "left_semi")
-    found = found.select("id", "text").mapInArrow(run, f"n bigint, f1 bigint, f2 bigint, {column} {kind}")
+    found = found.select("id", "text").mapInArrow(lean(run), f"n bigint, f1 bigint, f2 bigint, {column} {kind}")
     return cut(found.join(wanted, [found[c] == wanted[f"w_{c}"] for c in PRINTS]).select(F.col("w_node").alias("node"), column).dropDuplicates(["node"]))
 
 
@@ -324,7 +324,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = _read(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), print_texts, "text", "string")
     a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(verify, "a bigint, b bigint")
+    return both.mapInArrow(lean(verify), "a bigint, b bigint")
 
 
 def _prefix_joined(docs: DataFrame, nodes: DataFrame, many: DataFrame) -> DataFrame:

@@ -19,18 +19,19 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, discard, numbered
+from millrace.llm.common import cut, discard, give_back, lean, numbered
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Longest word that the lattice takes: its boundaries are bits of a number. Longer ones are merged by a queue, each once.
 LONGEST = 48
-#: Characters of a stretch, but for a longer text, which is one of its own; and the texts of one at most.
-STRETCH, STRETCH_TEXTS = 1 << 24, 1 << 16
+#: Bytes of a stretch, but for a longer text, which is one of its own; and the texts of one at most.
+STRETCH, STRETCH_TEXTS = 1 << 23, 1 << 16
 
 
 class Pieces:
@@ -156,9 +157,9 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa
     """(number, rows) of the stretches of a task: of rows id, text, in the order in which they stand."""
     number, held, chars, texts = TaskContext.get().partitionId() << 32, [], 0, 0
     for batch in batches:
-        sizes = np.array([len(t) if t else 0 for t in batch.column(1).to_pylist()], np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0)
         at = 0
-        for k, n in enumerate(sizes.tolist()):
+        for k, n in enumerate(sizes.to_pylist()):
             if texts and (chars + n > STRETCH or texts >= STRETCH_TEXTS):
                 yield number, [*held, batch.slice(at, k - at)]
                 number, held, chars, texts, at = number + 1, [], 0, 0, k
@@ -175,8 +176,8 @@ def _asked(units: Callable[[str | None], list[str]]):
         for number, held in _stretches(batches):
             words: set[str] = set()
             for batch in held:
-                for text in batch.column(1).to_pylist():
-                    words.update(units(text))
+                for text in batch.column(1):
+                    words.update(units(text.as_py()))
             some = sorted(words)
             for k in range(0, len(some), 10_000):
                 part = some[k : k + 10_000]
@@ -218,13 +219,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     pieces = Pieces(model)
     docs = numbered(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "row").select("id", "text")  # read twice alike
     table = sc.broadcast(pieces)
-    asked = cut(docs.mapInArrow(_asked(pieces.units), "stretch bigint, word string"))
-    words = cut(segmented(asked.select("word").groupBy("word").agg(F.lit(1).alias("x")).select("word"), pieces).mapInArrow(_packed(table), "word string, ids binary"))
+    asked = cut(docs.mapInArrow(lean(_asked(pieces.units)), "stretch bigint, word string"))
+    words = cut(segmented(asked.select("word").groupBy("word").agg(F.lit(1).alias("x")).select("word"), pieces).mapInArrow(lean(_packed(table)), "word string, ids binary"))
     known = cut(asked.join(words.hint("merge"), "word"))
     discard(asked, words)
 
     def run(key, left, right):
         p = table.value
+        give_back()
         said = {w: np.frombuffer(x, np.int32).tolist() for w, x in zip(right.column("word").to_pylist(), right.column("ids").to_pylist())}
         texts = left.column("text").to_pylist()
         if not digest:
@@ -239,7 +241,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         types = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
         return pa.table({"id": left.column("id")} | {n: pa.array(c, k) for n, c, k in zip(("n_pieces", "n_bytes", "ids_sha256", "round_trip"), columns, types)})
 
-    texts = docs.mapInArrow(_texts, f"stretch bigint, id {docs.schema['id'].dataType.simpleString()}, text string")
+    texts = docs.mapInArrow(lean(_texts), f"stretch bigint, id {docs.schema['id'].dataType.simpleString()}, text string")
     out = "n_pieces bigint, n_bytes bigint, ids_sha256 string, round_trip boolean" if digest else "ids array<int>"
     both = texts.groupBy("stretch").cogroup(known.groupBy("stretch"))
     return both.applyInArrow(run, f"id {kind}, {out}").withColumnRenamed("id", id_col)

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ SPACE = "▁"
 LONGEST = 48
 #: Bytes of a stretch, but for a longer text, which is one of its own; and the texts of one at most.
 STRETCH, STRETCH_TEXTS = 1 << 23, 1 << 16
+#: Words with their ids that a task packs for their stretches at once.
+ANSWERS = 1 << 19
 
 
 class Pieces:
@@ -135,8 +138,12 @@ def segmented(words: DataFrame, pieces: Pieces) -> DataFrame:
     grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     inner = "(shiftleft(shiftleft(1L, x.e - x.s - 1) - 1, x.s + 1))"
     fits = f"(shiftright(m, x.s) & shiftright(m, x.e) & 1) = 1 and bit_count(m & {inner}) = 1"
-    best = f"get(transform(slice(filter(edges, x -> {fits}), 1, 1), x -> m & ~{inner}), 0)"
-    mask = f"aggregate(sequence(1, greatest(length(word) - 1, 1)), shiftleft(1L, length(word) + 1) - 1, (m, i) -> coalesce({best}, m))"
+    # st: the boundaries m, and the edges es whose ends both still are; none are left where none fits
+    best = f"slice(filter(st.es, x -> {fits.replace('(m', '(st.m')}), 1, 1)"
+    ends = "(shiftright(m, x.s) & shiftright(m, x.e) & 1) = 1"
+    after = f"transform(transform({best}, x -> st.m & ~{inner}), m -> struct(m as m, filter(st.es, x -> {ends}) as es))"
+    step = f"coalesce(get({after}, 0), struct(st.m as m, slice(st.es, 1, 0) as es))"
+    mask = f"aggregate(sequence(1, greatest(length(word) - 1, 1)), struct(shiftleft(1L, length(word) + 1) - 1 as m, edges as es), (st, i) -> {step}, st -> st.m)"
     return grouped.select("word", F.expr(f"case when length(word) <= {LONGEST} then {mask} end").alias("mask"))
 
 
@@ -186,10 +193,56 @@ def _asked(units: Callable[[str | None], list[str]]):
     return run
 
 
+def _strings(values: pa.Array) -> bytes:
+    """Strings in one compressed value; null as a length of -1."""
+    sizes = pc.fill_null(pc.binary_length(values), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+    joined = "".join(v for v in values.to_pylist() if v).encode() if pa.types.is_string(values.type) else b"".join(v for v in values.to_pylist() if v)
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + joined)
+
+
+def _parts(payload: bytes) -> Iterator[bytes | None]:
+    """The values of _strings, as bytes."""
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at = 8 + 4 * n
+    for size in np.frombuffer(raw, np.int32, n, 8).tolist():
+        yield raw[at : at + size] if size >= 0 else None
+        at += max(size, 0)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """stretch, ids, texts (in one value): the texts of each stretch, some at a time."""
     for number, held in _stretches(batches):
         for batch in held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, number)), batch.column(0), batch.column(1)], names=["stretch", "id", "text"])
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([_strings(part.column(1))], pa.binary())], names=["stretch", "ids", "texts"])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """stretch, words, ids (both many in one value) of word, stretch, ids: what a task has for each stretch."""
+    held, rows = [], 0
+
+    def out():
+        table = pa.Table.from_batches(held)
+        stretch = table["stretch"].to_numpy()
+        order = np.argsort(stretch, kind="stable")
+        table, stretch = table.take(pa.array(order)).combine_chunks(), stretch[order]
+        at = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]]).tolist()
+        for a, b in zip(at, [*at[1:], len(stretch)]):
+            part = table.slice(a, b - a).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array([stretch[a]]), *[pa.array([_strings(part[c].chunk(0))], pa.binary()) for c in ("word", "ids")]], names=["stretch", "words", "ids"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= ANSWERS:
+            yield from out()
+            held, rows = [], 0
+    if rows:
+        yield from out()
 
 
 def _packed(table):
@@ -218,20 +271,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
     pieces = Pieces(model)
     docs = numbered(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "row").select("id", "text")  # read twice alike
-    table = sc.broadcast(pieces)
+    table, id_type = sc.broadcast(pieces), docs.select("id").limit(0).toArrow().schema.field(0).type
     asked = cut(docs.mapInArrow(lean(_asked(pieces.units)), "stretch bigint, word string"))
     words = cut(segmented(asked.select("word").groupBy("word").agg(F.lit(1).alias("x")).select("word"), pieces).mapInArrow(lean(_packed(table)), "word string, ids binary"))
-    known = cut(asked.join(words.hint("merge"), "word"))
+    known = cut(asked.join(words.hint("merge"), "word").select("stretch", "word", "ids").mapInArrow(lean(_answers), "stretch bigint, words binary, ids binary"))
     discard(asked, words)
 
     def run(key, left, right):
         p = table.value
         give_back()
-        said = {w: np.frombuffer(x, np.int32).tolist() for w, x in zip(right.column("word").to_pylist(), right.column("ids").to_pylist())}
-        texts = left.column("text").to_pylist()
+        said = {w.decode(): np.frombuffer(x, np.int32).tolist() for ws, xs in zip(right.column("words").to_pylist(), right.column("ids").to_pylist()) for w, x in zip(_parts(ws), _parts(xs))}
+        texts = [None if t is None else t.decode() for payload in left.column("texts").to_pylist() for t in _parts(payload)]
+        names = pa.chunked_array([x.values.cast(id_type) for x in left.column("ids") if len(x)], id_type)
         if not digest:
             ids = [[k for w in p.units(t) for k in said[w]] for t in texts]
-            return pa.table({"id": left.column("id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+            return pa.table({"id": names, "ids": pa.array(ids, pa.list_(pa.int32()))})
         said = {w: (",".join(map(str, x)), len(x), sum([k in p.byte_of for k in x]), p.decode(x, bare=True) == w) for w, x in said.items()}
         columns: list[list] = [[], [], [], []]
         for t in texts:
@@ -239,9 +293,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             for c, x in zip(columns, (sum(counts), sum(n_bytes), hashlib.sha256(",".join(ids).encode()).hexdigest(), all(whole) and SPACE not in (t or ""))):
                 c.append(x)
         types = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        return pa.table({"id": left.column("id")} | {n: pa.array(c, k) for n, c, k in zip(("n_pieces", "n_bytes", "ids_sha256", "round_trip"), columns, types)})
+        return pa.table({"id": names} | {n: pa.array(c, k) for n, c, k in zip(("n_pieces", "n_bytes", "ids_sha256", "round_trip"), columns, types)})
 
-    texts = docs.mapInArrow(lean(_texts), f"stretch bigint, id {docs.schema['id'].dataType.simpleString()}, text string")
+    texts = docs.mapInArrow(lean(_texts), f"stretch bigint, ids array<{kind}>, texts binary")
     out = "n_pieces bigint, n_bytes bigint, ids_sha256 string, round_trip boolean" if digest else "ids array<int>"
     both = texts.groupBy("stretch").cogroup(known.groupBy("stretch"))
     return both.applyInArrow(run, f"id {kind}, {out}").withColumnRenamed("id", id_col)

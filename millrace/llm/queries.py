@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, exact_dedup, importance, line_dedup, lm_score, near_dedup, quality, sentence_pieces, sharding, url_filter, warc
+from millrace.llm import decontaminate, exact_dedup, importance, line_dedup, lm_score, mixing, near_dedup, quality, sentence_pieces, sharding, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentence_pieces": sentence_pieces.op9_sentence_pieces,
     "op10_lm_score": lm_score.op10_lm_score,
     "op12_importance": importance.op12_importance,
+    "op13_mixing": mixing.op13_mixing,
 }
 ORACLE_SQL = {
     "op2_url_filter": url_filter.OP2_SQL,

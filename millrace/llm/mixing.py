@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, free_name, numbered
 from millrace.llm.ranks import in_order
 
 WEIGHTS, PERCENT, MOST = (5, 2, 1), 150, 2
@@ -115,9 +115,15 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = PERCENT, mos
     An empty table gives an empty result. Other columns, whatever their names, aren't read. No text has more than most
     copies. One very large document may be all of a source: then its words are a multiple of it, and the target is missed.
     """
-    source = F.when(docs[source_col].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs[source_col].cast("string")))
-    size = F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = cut(docs.select(docs[id_col].alias("id"), source.alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row")))
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _planned(rows, weights, percent, most).drop("row").withColumnRenamed("id", id_col)
+
+
+def _planned(rows: DataFrame, weights: tuple, percent: int, most: int) -> DataFrame:
+    """What mixed gives, and row; rows: id, source, text, row."""
+    source = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    sized = cut(rows.select("id", source.alias("source"), size.alias("size"), "row"))
     cells = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sources = cut(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n")), weights, percent, most))
     plan = copies(cells, cut(tilts(cells, sources, most)), most)
@@ -127,15 +133,16 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = PERCENT, mos
     plan = cut(_with(plan.join(first, ["source", "size"]), sources.select("source", "source_size", "target"), ["source"], sources.count()))
     out = _with(ordered, plan, ["source", "size"], plan.count())
     n = F.col("whole") + F.when(F.col("nth") - F.col("first") < F.col("extra"), 1).otherwise(0)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "rate")
+    return out.select("id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "rate", "row")
 
 
-def repeated(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it, columns kept; ids must tell rows apart (else mixed has the rows)."""
-    id_col = how.get("id_col", "doc_id")
-    plan = mixed(docs, **how).where("copies > 0").select(F.col(id_col).alias("_mixed"), "copies")
-    out = docs.join(plan, docs[id_col].eqNullSafe(F.col("_mixed"))).withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
-    return out.drop("_mixed", "copies", "_copy")
+def repeated(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = PERCENT, most: int = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix: the rows of docs, with all their columns, as often as mixed says. Rows are told apart by number."""
+    row, on, often = (free_name(docs, c) for c in ("row_number", "mixed_row", "mixed_copies"))
+    docs = numbered(docs, row)
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), docs[text_col].alias("text"), F.col(row).alias("row"))
+    plan = _planned(rows, weights, percent, most).where("copies > 0").select(F.col("row").alias(on), F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias(often))
+    return docs.join(plan, F.col(row) == F.col(on)).withColumn(often, F.explode(often)).drop(row, on, often)
 
 
 def op13_mixing(spark, sf_dir: str) -> DataFrame:

@@ -17,12 +17,13 @@ GRAM = 2
 MOST_PROFILES = 100_000
 
 
-def first_tier(queries: DataFrame, tiers: list, key: str = "q") -> DataFrame:
+def first_tier(queries: DataFrame, tiers: list, key: str = "q", keep=lambda d: d) -> DataFrame:
     """key, entity, tier: tiers are functions from the queries still open to (key, entity). A tier that finds something for
-    a query closes it."""
+    a query closes it. keep: what is done with the rows of a tier, such as writing them, so that later tiers don't find them
+    again."""
     found = []
     for number, tier in enumerate(tiers, 1):
-        hits = tier(queries).distinct().withColumn("tier", F.lit(number))
+        hits = keep(tier(queries).distinct().withColumn("tier", F.lit(number)))
         found.append(hits)
         queries = queries.join(hits.select(key).distinct(), key, "left_anti")
     return reduce(DataFrame.unionByName, found)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.substrings import contains_join
 from millrace.plans.registry import query
 
 #: Two parts of one order are an edge; how often decides the severity.
@@ -74,7 +75,8 @@ def tiered_resolve(t):
     base = n.groupBy("base").agg(F.min("cid").alias("cid"))
     exact, short = raw.join(n, raw.q == n.name).select("id", "cid", F.lit(1).alias("tier")), raw.join(base, raw.q == base.base).select("id", "cid", F.lit(2).alias("tier"))
     left = raw.join(exact.union(short).select("id").distinct(), "id", "left_anti")
-    inside = left.join(n, F.col("q").contains(F.col("name"))).select("id", "cid", F.lit(3).alias("tier"))
+    found = contains_join(left.select(F.col("q").alias("text_id"), F.col("q").alias("text")).distinct(), n.select(F.col("name").alias("needle")))
+    inside = left.join(found.select(F.col("text_id").alias("q"), F.col("needle").alias("name")), "q").join(n, "name").select("id", "cid", F.lit(3).alias("tier"))
     return exact.union(short).union(inside).groupBy("id").agg(F.min(F.struct("tier", "cid")).alias("b")).select("id", "b.tier", "b.cid")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.functions.extraction import severity
+from millrace.operators.substrings import contains_join, first_tokens, mention_nodes
 from millrace.plans.registry import query
 
 NORM = "upper(trim(regexp_replace(translate(replace(regexp_replace(coalesce({}, ''), '[®™©]', '', 'g'), 'ß', 'SS'), 'ğüşıöçĞÜŞİÖÇ', 'gusiocGUSIOC'), '\\s+', ' ', 'g')))"
@@ -190,10 +192,39 @@ def keyword_group_filter(t):
 
 @query("token_contains_join", "SELECT doc_id, tok FROM documents, (SELECT DISTINCT split_part(p_name, ' ', 1) AS tok FROM part) WHERE contains(text, tok)")
 def token_contains_join(t):
-    """Texts that have a name's token in them. The distinct tokens come in one bounded list, with no join of pairs."""
-    toks = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("tok")).distinct().agg(F.sort_array(F.collect_list("tok")).alias("toks"))
-    d = t.documents.select("doc_id", "text").join(F.broadcast(toks))
-    return d.select("doc_id", F.explode(F.filter("toks", lambda k: F.col("text").contains(k))).alias("tok"))
+    """Texts that have a name's token in them."""
+    found = contains_join(t.documents.select(F.col("doc_id").alias("text_id"), "text"), t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("needle")))
+    return found.select(F.col("text_id").alias("doc_id"), F.col("needle").alias("tok"))
+
+
+LINK_TIERS = (("major", ["tion"]), ("moderate", ["ing"]), ("minor", ["ent"]))
+
+
+@query("ingredient_links", """WITH e AS (SELECT DISTINCT p_name, unnest(range(1, 3)) AS i, list_sort(list_transform(string_split(p_name, ' '), lambda w: {'n': length(w), 'w': w})) AS ws FROM part),
+k AS (SELECT doc_id, lower(text) AS x, p_name, min_by(ws[i].w, i) AS tok FROM documents, e WHERE i <= len(ws) AND contains(lower(text), ws[i].w) GROUP BY 1, 2, 3),
+w AS (SELECT doc_id, p_name, tok, substring(x, greatest(instr(x, tok) - 1500, 1), instr(x, tok) + length(tok) + 1500 - greatest(instr(x, tok) - 1500, 1)) AS w FROM k)
+SELECT doc_id, p_name, tok, CASE WHEN contains(w, 'tion') THEN 'major' WHEN contains(w, 'ing') THEN 'moderate' WHEN contains(w, 'ent') THEN 'minor' ELSE 'unknown' END AS severity FROM w""")
+def ingredient_links(t):
+    """Texts with a token of a name, shortest tokens first: the first one that a text has decides the severity."""
+    names = t.part.where("p_name is not null").select(F.col("p_name").alias("entity")).distinct()
+    tokens = F.transform(F.array_sort(F.transform(F.split("entity", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), lambda x: x["w"])
+    texts = t.documents.select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
+    found = first_tokens(texts, names.withColumn("tokens", tokens)).join(texts, "text_id")
+    return found.select(F.col("text_id").alias("doc_id"), F.col("entity").alias("p_name"), F.col("token").alias("tok"), severity(F.col("text"), F.col("token"), tiers=LINK_TIERS).alias("severity"))
+
+
+MENTIONS = "(SELECT p_partkey, lower(CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN left(p_name, 5) WHEN 2 THEN substring(p_name, 3, 6) WHEN 3 THEN left(p_name, 6) || 'zz' WHEN 4 THEN substring(p_type, 2, 4) ELSE left(p_name, 3) END) AS mention, CASE WHEN p_partkey % 4 = 0 THEN p_name END AS exclude FROM part)"
+
+
+@query("mention_cascade", f"""WITH m AS (SELECT DISTINCT mention, exclude, trim(mention) AS low FROM {MENTIONS} WHERE length(trim(mention)) >= 4), n AS (SELECT p_name AS name, min(lower(p_type)) AS inn, lower(p_name) AS key FROM part GROUP BY 1),
+h AS (SELECT mention, exclude, name, CASE WHEN key = low THEN 1 WHEN name IS NOT DISTINCT FROM exclude THEN NULL WHEN starts_with(key, low) THEN 2 WHEN length(low) >= 6 AND (contains(key, low) OR starts_with(key, low[1:6])) THEN 3 WHEN contains(inn, low) OR contains(key, low) THEN 4 END AS tier FROM m, n),
+f AS (SELECT mention, exclude, min(tier) AS tier, min_by(name, tier::VARCHAR || name) AS name FROM h WHERE tier IS NOT NULL GROUP BY 1, 2)
+SELECT mention, exclude, name, tier FROM f WHERE name IS DISTINCT FROM exclude""")
+def mention_cascade(t):
+    """Mentions to names: whole, beginning, part, ingredient; the source's own name is no answer."""
+    mention = F.expr("lower(case p_partkey % 6 when 0 then p_name when 1 then left(p_name, 5) when 2 then substring(p_name, 3, 6) when 3 then left(p_name, 6) || 'zz' when 4 then substring(p_type, 2, 4) else left(p_name, 3) end)")
+    m = t.part.select(mention.alias("mention"), F.expr("case when p_partkey % 4 = 0 then p_name end").alias("exclude"))
+    return mention_nodes(m, t.part.groupBy(F.col("p_name").alias("name")).agg(F.min(F.lower("p_type")).alias("ingredient")))
 
 
 @query("question_types", "SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(text, 'tion') THEN 'dose' END, CASE WHEN regexp_matches(text, 'eau|ung') THEN 'interaction' END, CASE WHEN regexp_matches(text, '[?]') THEN 'direct' END], lambda x: x IS NOT NULL), ',') AS types FROM conversations WHERE role = 'user'")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import canonical_id, normalized_name
+from millrace.operators.closeness import close_names
+from millrace.sources.scratch import stored
 
 #: Least similarity of ingredients and of names, and the most that are taken of each.
 INGREDIENT_RATIO, INGREDIENTS, NAME_RATIO, NAMES = 0.82, 3, 0.80, 5
@@ -34,31 +36,6 @@ def grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda k: F.substring(c, k, F.lit(GRAM))))
 
 
-def close(queries: DataFrame, names: DataFrame, ratio: float, most: int) -> DataFrame:
-    """key, name, ratio: of each query (key, text) the most similar names (name), at least ratio, at most `most`; equal
-    ones by name.
-
-    The ratio is 1 - levenshtein / longer length, an edit distance in place of matching blocks. Candidates share pairs of
-    letters: a distance of d leaves all but 2 d pairs, so pairs are joined by equality, rare ones count as others do, and
-    the distance is only computed where enough are shared, with a bound."""
-    q = queries.select("q", "text", F.length("text").alias("n")).distinct()
-    n = names.select("name", F.length("name").alias("m")).distinct()
-    left = q.select("q", "text", "n", F.size(grams(F.col("text"))).alias("g"), F.explode(grams(F.col("text"))).alias("gram"))
-    right = n.select("name", "m", F.explode(grams(F.col("name"))).alias("gram"))
-    longer = F.greatest("n", "m")
-    distance = F.floor(longer * (1 - ratio) + 1e-9)
-    shared = left.join(right, "gram").where(F.abs(F.col("n") - F.col("m")) <= distance).groupBy("q", "text", "n", "g", "name", "m").agg(F.count(F.lit(1)).alias("common"))
-    near = shared.where(F.col("common") >= F.col("g") - GRAM * distance)
-    # where so few pairs are there that none need be shared, lengths decide
-    short = q.where(F.size(grams(F.col("text"))) <= GRAM * F.floor(F.col("n") / ratio * (1 - ratio) + 1e-9))
-    by_size = short.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * ratio).cast("int"), F.floor(F.col("n") / ratio).cast("int")))).join(n, "m").select("q", "text", "n", "name", "m")
-    both = near.select("q", "text", "n", "name", "m").union(by_size).distinct()
-    both = both.withColumn("d", F.expr(f"levenshtein(text, name, cast(floor(greatest(n, m) * {1 - ratio!r} + 1e-9) as int))")).where("d >= 0")
-    both = both.select("q", "name", (1 - F.col("d") / F.greatest("n", "m")).alias("ratio"))
-    best = both.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.negative("ratio").alias("worse"), "name"))), 1, most).alias("best"))
-    return best.select("q", F.explode("best").alias("b")).select("q", "b.name", F.negative("b.worse").alias("ratio"))
-
-
 def registry(documents: DataFrame, name: str = "name", ingredient: str = "ingredient", file: str = "file", unknown: str = "Bilinmeyen İlaç") -> DataFrame:
     """entity (canonical id), name, slug, ingredient: of documents with a known name the first file of each id."""
     d = documents.select(F.trim(name).alias("name"), F.lower(F.trim(F.coalesce(ingredient, F.lit("")))).alias("ingredient"), F.col(file).alias("file"))
@@ -70,6 +47,7 @@ def registry(documents: DataFrame, name: str = "name", ingredient: str = "ingred
 def resolved(queries: DataFrame, known: DataFrame) -> DataFrame:
     """q, entity, tier by six tiers: id, whole name, names that begin with the first word, ingredient (whole, a word of it,
     a similar word), similar names, names that contain the first word. queries: q (text); known: what registry gives."""
+    known = stored(known)
     q = queries.select("q").where(F.trim("q") != "").distinct().withColumn("slug", F.regexp_replace(normalized_name(F.col("q")), r"\s+", "_")).withColumn("first", F.split_part("slug", F.lit("_"), F.lit(1))).withColumn("inn", F.lower(F.trim("q")))
     slugs = known.select("entity", "slug", F.split_part("slug", F.lit("_"), F.lit(1)).alias("k_first"))
     words = known.select("entity", F.explode(F.filter(F.split("ingredient", r"\s+"), lambda w: F.length(w) >= 5)).alias("word")).distinct()
@@ -82,18 +60,18 @@ def resolved(queries: DataFrame, known: DataFrame) -> DataFrame:
     def by_ingredient(d: DataFrame) -> DataFrame:
         whole = d.join(known.where("ingredient != ''").select("entity", F.col("ingredient").alias("inn")), "inn").select("q", "entity")
         word = d.join(words.withColumnRenamed("word", "inn"), "inn").select("q", "entity")
-        return first_tier(d, [lambda x: whole.join(x.select("q"), "q", "left_semi"), lambda x: word.join(x.select("q"), "q", "left_semi"), by_similar_word]).select("q", "entity")
+        return first_tier(d, [lambda x: whole.join(x.select("q"), "q", "left_semi"), lambda x: word.join(x.select("q"), "q", "left_semi"), by_similar_word], keep=stored).select("q", "entity")
 
     def by_similar_word(d: DataFrame) -> DataFrame:
-        near = close(d.select("q", F.col("inn").alias("text")), words.select(F.col("word").alias("name")), INGREDIENT_RATIO, INGREDIENTS)
+        near = close_names(d.select("q", F.col("inn").alias("text")), words.select(F.col("word").alias("name")), INGREDIENT_RATIO, INGREDIENTS)
         return near.join(words.select(F.col("word").alias("name"), "entity"), "name").select("q", "entity")
 
     def by_similar_name(d: DataFrame) -> DataFrame:
-        near = close(d.select("q", F.col("slug").alias("text")), slugs.select(F.col("slug").alias("name")), NAME_RATIO, NAMES)
+        near = close_names(d.select("q", F.col("slug").alias("text")), slugs.select(F.col("slug").alias("name")), NAME_RATIO, NAMES)
         return near.join(slugs.select(F.col("slug").alias("name"), "entity"), "name").select("q", "entity")
 
     return first_tier(
-        q,
+        stored(q),
         [
             lambda d: d.join(known.select(F.col("entity").alias("q"), "entity"), "q").select("q", "entity"),
             lambda d: d.join(slugs.select("entity", "slug"), "slug").select("q", "entity"),
@@ -102,6 +80,7 @@ def resolved(queries: DataFrame, known: DataFrame) -> DataFrame:
             by_similar_name,
             lambda d: _contains(d, slugs),
         ],
+        keep=stored,
     )
 
 

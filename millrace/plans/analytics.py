@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.closeness import close_names
 from millrace.operators.substrings import contains_join
 from millrace.plans.registry import query
 
@@ -80,25 +78,19 @@ def tiered_resolve(t):
     return exact.union(short).union(inside).groupBy("id").agg(F.min(F.struct("tier", "cid")).alias("b")).select("id", "b.tier", "b.cid")
 
 
-@query("fuzzy_match")
+#: The longest common block, the first in a, then in b.
+BLOCK = "coalesce(list_filter(flatten(list_transform(range(least(length({a}), length({b})), 0, -1), lambda s: list_transform(range(1, length({a}) - s + 2), lambda i: {{'s': s, 'i': i, 'j': instr({b}, substring({a}, i, s))}}))), lambda z: z.j > 0)[1], {{'s': 0, 'i': 0, 'j': 0}})"
+
+
+@query("fuzzy_match", f"""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL), p AS (SELECT left(m.name, 2) || 'h' || substring(m.name, 3) AS q, n.name FROM n m, n),
+seg AS (SELECT q, name, {BLOCK.format(a='name', b='q')} AS m, name AS a, q AS b FROM p UNION ALL SELECT q, name, {BLOCK.format(a='x.a', b='x.b')}, x.a, x.b FROM (SELECT q, name, unnest([{{'a': a[1:m.i - 1], 'b': b[1:m.j - 1]}}, {{'a': substring(a, m.i + m.s), 'b': substring(b, m.j + m.s)}}]) AS x FROM seg WHERE m.s > 0) WHERE x.a <> '' AND x.b <> ''),
+r AS (SELECT q, name, 2 * sum(m.s)::DOUBLE / (length(q) + length(name)) AS ratio FROM seg GROUP BY 1, 2)
+SELECT q, max(CASE WHEN ratio >= 0.8 THEN {{'r': ratio, 'n': name}} END).n AS name FROM r GROUP BY 1""")
 def fuzzy_match(t):
-    """The closest distinct name by difflib's ratio (0.8 at least) for distorted names. The distinct names, a bounded
-    dimension, are grouped by length: a ratio of 0.8 takes lengths of two thirds to three halves of the asked one."""
-    names = t.part.where("p_name is not null").select("p_name").distinct()
-    lists = names.groupBy(F.length("p_name").alias("k")).agg(F.sort_array(F.collect_set("p_name")).alias("names"))
-    asked = names.select(F.concat(F.expr("left(p_name, 2)"), F.lit("h"), F.expr("substring(p_name, 3)")).alias("q"))
-    asked = asked.withColumn("k", F.explode(F.expr("sequence((2 * length(q) + 2) div 3, (3 * length(q)) div 2)"))).join(lists, "k", "left")
-
-    @F.pandas_udf("ratio double, name string")
-    def close(q: pd.Series, names: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(q, names):
-            best = next(iter(difflib.get_close_matches(a, [] if b is None else list(b), 1, 0.8)), None)
-            out.append((None if best is None else difflib.SequenceMatcher(None, best, a).ratio(), best))
-        return pd.DataFrame(out, columns=["ratio", "name"])
-
-    found = asked.select("q", close("q", "names").alias("c"))
-    return found.groupBy("q").agg(F.max(F.when(F.col("c.name").isNotNull(), F.col("c"))).alias("c")).select("q", "c.name")
+    """The closest distinct name by matching blocks (0.8 at least) for distorted names."""
+    names = t.part.where("p_name is not null").select(F.col("p_name").alias("name")).distinct()
+    asked = names.select(F.concat(F.expr("left(name, 2)"), F.lit("h"), F.expr("substring(name, 3)")).alias("q")).distinct()
+    return asked.join(close_names(asked.withColumn("text", F.col("q")), names, 0.8, 1), "q", "left").select("q", "name")
 
 
 @query("propagate_group_edges", "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), g AS (SELECT DISTINCT p_name, p_brand, dst FROM e JOIN part ON src = p_partkey) SELECT p_partkey AS src, dst, 0.7 AS confidence FROM part JOIN g USING (p_name, p_brand) WHERE (p_partkey, dst) NOT IN (SELECT src, dst FROM e)")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.engine import Engine, evaluated, verdict, with_sources
 from millrace.functions import extraction, lab_text, patients, questions, sections
-from millrace.operators import checks, graph, models, resolve, search
+from millrace.operators import checks, closeness, graph, models, search
 from millrace.streaming import sessions
 
 
@@ -37,7 +37,7 @@ def test_safe_phrases_and_nulls(spark):
 def test_close_names(spark):
     q = spark.createDataFrame([("a", "varfarin"), ("b", "xy"), ("c", "")], "q string, text string")
     n = spark.createDataFrame([("warfarin",), ("varfarine",), ("xy",), ("metformin",)], "name string")
-    got = {(r.q, r["name"]) for r in resolve.close(q, n, 0.8, 5).collect()}
+    got = {(r.q, r["name"]) for r in closeness.close_names(q, n, 0.8, 5).collect()}
     assert got == {("a", "warfarin"), ("a", "varfarine"), ("b", "xy")}
 
 

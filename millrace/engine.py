@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.operators import checks as K
 from millrace.operators import models as M
 from millrace.operators import search as S
+from millrace.operators.fanout import CRITICAL, fan_out
 from millrace.sources.tables import append_history, append_new, read_chunks
 
 #: Score floor, what an exact target adds, contexts and characters of each that an evaluation takes, and its bands.
@@ -75,24 +76,39 @@ class Engine:
     answer_with: M.Answerer | None = None
     imagine: M.Answerer | None = None
 
-    def search(self, questions: DataFrame, k: int = M.KEPT, sections=None, names=None) -> DataFrame:
-        """q, query, item, name, section, text, score, rank: fused vector and BM25 ranks of questions (q, text, and vec where
-        there is no embedder), over the floor, with the boost for wanted names, reranked, and a base chunk left out where
-        a better one of its section came first."""
+    def search(self, questions: DataFrame, k: int = M.KEPT, sections=None, names=None, flags=None) -> DataFrame:
+        """q, query, item, name, section, text, score, rank: vector and BM25 ranks of questions (q, text, and vec where there
+        is no embedder), fused; items found by words only have no similarity and fall under the floor like all below it.
+        The similarity, with the boost for wanted names, orders the pool that is reranked; a base chunk is left out where a
+        better one of its section came first. Chunks without one of flags are left out, but for critical sections."""
         asked = M.hypothetical(questions, "text", self.imagine)
         if self.embed is not None:
             asked = M.embedded(asked, "search_text", self.embed, M.QUERY, "vec")
         tests = S.where(sections, names)
+        if flags:
+            tests = tests & (F.col("section").isin(*CRITICAL) | F.arrays_overlap("flags", F.array(*map(F.lit, flags))))
         corpus = self.chunks.where(tests)
         dense = S.vector_search(asked.select("q", F.col("vec").alias("q_vec")), corpus.select(F.col("chunk_id").alias("item"), "vec"), M.POOL)
         words = self.chunks.select(F.col("chunk_id").alias("item"), "text", "section", "name")
         sparse = S.bm25_search(questions.select("q", "text"), words, M.POOL, sections, names)
-        found = S.fuse(dense, sparse).where(F.coalesce("score", F.lit(1.0)) >= FLOOR).join(words, "item").join(questions.select("q", F.col("text").alias("query")), "q")
+        found = S.fuse(dense, sparse).withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 4)).where(F.col("score") >= FLOOR)
+        found = found.join(words, "item").join(questions.select("q", F.col("text").alias("query")), "q")
         boost = F.when(F.col("name").isin(list(names)), BOOST).otherwise(0.0) if names else F.lit(0.0)
-        found = S.top(found.withColumn("score", F.least(F.lit(1.0), F.col("fused") + boost)), "q", "score", "item", M.POOL)
+        w = W.partitionBy("q").orderBy(F.round(F.least(F.lit(1.0), F.col("score") + boost), 6).desc(), F.col("fused").desc(), "item")
+        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= M.POOL)
         best = M.reranked(found.drop("score"), self.score, M.POOL, M.POOL)
         return self._once(best, k)
 
+    def retrieve(self, plans: DataFrame, k: int = M.KEPT) -> DataFrame:
+        """The same for the plans of questions (q, plan, text, name, sections, flags, kinds, and vec where there is no
+        embedder): all searches of all plans in one scan, see operators.fanout."""
+        asked = plans if self.embed is None else M.embedded(plans, "text", self.embed, M.QUERY, "vec")
+        part = F.regexp_extract(F.col("chunk_id").cast("string"), "_(part[0-9]+)_", 1)
+        corpus = self.chunks.select(F.col("chunk_id").alias("item"), "name", "section", part.alias("part"), "vec", "text", "flags")
+        pool = fan_out(asked.withColumnRenamed("vec", "q_vec"), corpus).drop("score")
+        pool = pool.join(corpus.select("item", "text"), "item").join(plans.groupBy("q").agg(F.min_by("text", "plan").alias("query")), "q")
+        return M.reranked(pool, self.score, M.POOL, k)
+
     @staticmethod
     def _once(found: DataFrame, k: int) -> DataFrame:
         """Without base chunks (ids with no part) of a section of which a part came before."""

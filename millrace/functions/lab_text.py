@@ -86,13 +86,15 @@ def _first_number(lines: Column) -> Column:
 def text_values(text: Column) -> Column:
     """map<string,double> of the values in a text. For each name its patterns are tried in order; the first line with one
     gives its first number, or that of the next two lines, if it lies in the name's range."""
-    lines = F.split(text, "\r?\n")
-    values = []
-    for name, patterns in NAMES.items():
-        tries = []
-        for p in patterns:
-            at = F.array_position(F.transform(lines, _says(p)), F.lit(True)).cast("int")
-            value = F.when(at > 0, _first_number(F.slice(lines, F.greatest(at, F.lit(1)), F.lit(3))))
-            tries.append(F.when(_in_range(F.lit(name), value), value))
-        values.append(F.struct(F.lit(name).alias("key"), F.coalesce(*tries).alias("value")))
-    return F.map_from_entries(F.filter(F.array(*values), lambda e: e["value"].isNotNull()))
+    let = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  what stands in the array is worked out once
+
+    def value(name: str, pattern: str, lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, _says(pattern)), F.lit(True)).cast("int")
+        found = let(at, lambda k: F.when(k > 0, _first_number(F.slice(lines, F.greatest(k, F.lit(1)), 3))))
+        return let(found, lambda v: F.when(_in_range(F.lit(name), v), v))
+
+    def values(lines: Column) -> Column:
+        found = [F.struct(F.lit(name).alias("key"), F.coalesce(*[value(name, p, lines) for p in patterns]).alias("value")) for name, patterns in NAMES.items()]
+        return F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"].isNotNull()))
+
+    return let(F.split(text, "\r?\n"), values)

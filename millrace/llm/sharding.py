@@ -1,6 +1,6 @@
 """Sharding by sampled splitters: quantiles of a size-weighted key sample bound the ranges, records go to their range.
 Ranges are then measured: an overfull one gets splitters from a sample of its own, until none is overfull, and a key that
-fills more than one range gets subranges by record. Ranges are laid end to end and cut into shards of equal bytes."""
+has more bytes than a group may have gets subranges by record. Ranges are laid end to end and cut into shards of equal bytes."""
 
 from __future__ import annotations
 
@@ -37,31 +37,45 @@ def quantiles(keys: np.ndarray, times: np.ndarray, parts: int) -> np.ndarray:
     return keys[np.minimum(at, len(keys) - 1)]
 
 
-def splitters(keyed: DataFrame, total: int, ranges: int) -> np.ndarray:
+def heavy_keys(keyed: DataFrame, keys: np.ndarray, times: np.ndarray, step: float, limit: float) -> dict[int, int]:
+    """The keys whose rows have more than limit bytes together, with these bytes: at most total / limit keys. The sample
+    names the candidates, and only these are measured."""
+    likely = keys[times * step > limit / 2]
+    if not len(likely):
+        return {}
+    few = F.broadcast(keyed.sparkSession.createDataFrame([(int(k),) for k in likely], "key long"))
+    got = keyed.join(few, "key").groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > float(limit))
+    return {r["key"]: r["bytes"] for r in got.collect()}
+
+
+def splitters(keyed: DataFrame, total: int, ranges: int, limit: float = 0) -> np.ndarray:
     """Keys that cut the bytes of keyed (key, size, row) into about equal ranges, measured and subdivided where a range is
-    overfull. A key stands among them once for each range that it fills."""
+    overfull. A key stands among them once, and so lies in one range, however full; only a key of more than limit bytes
+    has several, by record, and stands there once more than it has ranges."""
     share = total / ranges
-    cuts = quantiles(*sampled(keyed, max(1.0, share / SAMPLE_PER_RANGE), 11), ranges)
+    step = max(1.0, share / SAMPLE_PER_RANGE)
+    keys, times = sampled(keyed, step, 11)
+    heavy = heavy_keys(keyed, keys, times, step, limit)
+    own = [np.full(int(-(-size // share)) + 1, k) for k, size in heavy.items() if size > share]
+    cuts = np.unique(quantiles(keys, times, ranges))
     for salt in range(12, 1 << 30):
-        ranged = in_ranges(keyed, cuts)
-        got = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > OVERFULL * share) & (F.col("n") > 1)).toArrow()
+        light = cuts[~np.isin(cuts, [k[0] for k in own])] if own else cuts
+        placed = np.sort(np.concatenate([light, *own]).astype(np.int64))
+        ranged = in_ranges(keyed, placed)
+        got = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high")).where((F.col("bytes") > OVERFULL * share) & (F.col("low") < F.col("high"))).toArrow()
         if not got.num_rows:
             break
         full = ranged.join(F.broadcast(ranged.sparkSession.createDataFrame([(int(r),) for r in got["range"].to_pylist()], "range int")), "range", "left_semi")
-        keys, times = sampled(full, max(1.0, share / SAMPLE_PER_RANGE), salt)
+        keys, times = sampled(full, step, salt)
         more = []
         for low, high, size in zip(got["low"].to_pylist(), got["high"].to_pylist(), got["bytes"].to_pylist()):
-            parts = int(-(-size // share))
-            if low == high:  # one key: ranges by record
-                more.append(np.full(parts, low))
-            else:
-                mine = slice(np.searchsorted(keys, low), np.searchsorted(keys, high, "right"))
-                more.append(np.unique(quantiles(keys[mine], times[mine], parts)))
-        new = np.sort(np.concatenate([cuts, *more]).astype(np.int64))
+            mine = slice(np.searchsorted(keys, low), np.searchsorted(keys, high, "right"))
+            more += [quantiles(keys[mine], times[mine], int(-(-size // share))), [high]]  # a full last key gets a range of its own
+        new = np.unique(np.concatenate([cuts, *more]).astype(np.int64))
         if len(new) == len(cuts):
             break
         cuts = new
-    return cuts
+    return placed
 
 
 def in_ranges(keyed: DataFrame, cuts: np.ndarray) -> DataFrame:
@@ -104,7 +118,8 @@ def _placed(rows: DataFrame, shards: int) -> DataFrame:
     all_ = measured(rows)
     total, rows, largest = all_.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
     ranges = int(min(MOST_RANGES, max(shards * LEAST_RANGES, rows // ROWS_PER_RANGE)))
-    ranged = in_ranges(all_, splitters(all_, total, ranges))
+    limit = float(max(largest, total / shards / 50))
+    ranged = in_ranges(all_, splitters(all_, total, ranges, limit))
     order = Window.partitionBy("range").orderBy("key", F.col("id").asc_nulls_first(), "row")
     group = Window.partitionBy("range", "key")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -115,7 +130,7 @@ def _placed(rows: DataFrame, shards: int) -> DataFrame:
     spans = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))  # at most MOST_RANGES rows
     along = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.coalesce(1).select("range", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("from"))
-    whole = F.col("group") <= F.lit(float(max(largest, total / shards / 50)))
+    whole = F.col("group") <= F.lit(limit)
     middle = F.when(whole, F.col("from") + F.col("group_from") + F.col("group") / 2).otherwise(F.col("from") + F.col("before") + F.col("size") / 2)
     shard = F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards) / F.lit(float(max(total, 1))))).cast("int")
     placed = placed.join(F.broadcast(spans), "range").withColumn("shard", shard)

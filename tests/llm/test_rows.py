@@ -148,6 +148,7 @@ def test_line_dedup_rows_and_names(spark):
 def test_shards_are_even_and_groups_whole(spark, tmp_path):
     rng = np.random.default_rng(2)
     texts = ["x" * int(n) for n in rng.integers(0, 400, 500)] + ["hot copy " * 20] * 400 + [f"pair {k // 2} " * 12 for k in range(200)] + [None, "y" * 3000]
+    texts += [f"group {k % 4} " * 40 for k in range(24)]  # fills several ranges, but is smaller than the largest record
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sharding.assign_shards(d, 10).collect()
     size, of = collections.Counter(), collections.defaultdict(set)
@@ -157,6 +158,7 @@ def test_shards_are_even_and_groups_whole(spark, tmp_path):
     share, largest = sum(size.values()) / 10, 3008
     assert len(got) == len(texts) and all(abs(size[s] - share) <= largest for s in range(10))
     assert all(len(of[f"pair {k} " * 12]) == 1 for k in range(100)) and len(of["hot copy " * 20]) > 1
+    assert all(len(of[f"group {k} " * 40]) == 1 for k in range(4)) and 6 * (len("group 0 " * 40) + 8) > 3 * sum(size.values()) / 500
     few = sharding.assign_shards(d.limit(3), 24).collect()
     assert len(few) == 3 and all(r.slot == 0 for r in few)
     sharding.write_shards(spark.createDataFrame([(1, "a", 5), (1, "b", 6), (None, None, 7)], "doc_id long, text string, row_number int"), str(tmp_path / "s"), 2)
@@ -169,6 +171,8 @@ def test_overfull_ranges_are_subdivided(spark):
     cuts = sharding.splitters(keyed, total, ranges)
     sizes = sharding.in_ranges(keyed, cuts).groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     assert all(r.b <= sharding.OVERFULL * total / ranges or r.n == 1 for r in sizes)
+    whole = sharding.in_ranges(keyed, sharding.splitters(keyed, total, ranges, total))  # no key is over the limit
+    assert whole.groupBy("key").agg(F.countDistinct("range").alias("n")).where("n > 1").isEmpty()
 
 
 def test_perplexity_is_that_of_plain_counts(spark):

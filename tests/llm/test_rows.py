@@ -136,6 +136,24 @@ def test_line_dedup_recall(spark):
     assert sum(got[k].kept for k in range(300)) == 300  # unrelated lines stay
 
 
+def test_line_dedup_of_crowded_blocks(spark):
+    """Blocks of far over SMALL lines, of which pairs are alike and all begin (or begin and end) alike."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    head, end, lines, near = [word() for _ in range(16)], [word() for _ in range(3)], [], []
+    for k in range(160):
+        own = [word() for _ in range(10)]
+        last = end if k % 2 else []
+        lines.append(" ".join([*head, *own, *last]))
+        near.append(" ".join([*head, *(w[:2] + "q" + w[3:] for w in own), *last]))
+    lines += ["ab" * 40 + "c" * k for k in range(5)]  # few different pieces
+    d = spark.createDataFrame(list(enumerate([*lines, *near])), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.duplicate_lines(d).collect()}
+    assert all(got[k].group_id == got[165 + k].group_id for k in range(160))
+    assert len({got[k].group_id for k in range(160)}) == 160 and len({got[k].group_id for k in range(160, 165)}) == 1
+    assert all(got[k].kept and not got[165 + k].kept for k in range(160))
+
+
 def test_line_dedup_rows_and_names(spark):
     line = "a line that is long enough to be held against others here"
     d = spark.createDataFrame([(1, line, "x"), (1, line, "y"), (None, f"{line}\nown", "z"), (5, None, "n")], "doc_id long, text string, row_number string")

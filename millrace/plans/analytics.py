@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.closeness import close_names
+from millrace.operators.merging import merged
 from millrace.operators.substrings import contains_join
 from millrace.plans.registry import query
 
@@ -115,6 +116,16 @@ def merge_variants(t):
     return t.lineitem.join(m, "l_partkey").select(F.col("c").alias("part"), F.col("l_suppkey").alias("supp")).distinct()
 
 
+@query("merge_chains", """WITH RECURSIVE m AS (SELECT p_partkey AS v, p_partkey // 2 AS c FROM part WHERE p_size % 3 <> 0 AND p_partkey > 1), w AS (SELECT v, c FROM m UNION ALL SELECT w.v, m.c FROM w JOIN m ON w.c = m.v),
+e AS (SELECT v, c FROM w WHERE c NOT IN (SELECT v FROM m)), l AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 7 + l_linenumber AS dst FROM lineitem)
+SELECT DISTINCT coalesce(a.c, src) AS src, coalesce(b.c, dst) AS dst FROM l LEFT JOIN e a ON a.v = src LEFT JOIN e b ON b.v = dst WHERE coalesce(a.c, src) <> coalesce(b.c, dst)""")
+def merge_chains(t):
+    """Edges rewired to canonical parts, which variants reach over chains of several links."""
+    mapping = t.part.where("p_size % 3 <> 0 and p_partkey > 1").select(F.col("p_partkey").alias("variant"), F.expr("p_partkey div 2").alias("canonical"))
+    edges = t.lineitem.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7 + F.col("l_linenumber")).alias("dst")).distinct()
+    return merged(edges, mapping)
+
+
 @query("enzyme_conflict", "WITH r AS (SELECT DISTINCT l_suppkey AS enzyme, l_orderkey AS o, l_returnflag AS role FROM lineitem) SELECT enzyme, sum(a.n * b.n)::BIGINT AS pairs, CASE WHEN a.role = 'R' THEN 'critical' WHEN a.role = 'A' THEN 'caution' ELSE 'competitive' END AS result FROM (SELECT enzyme, role, count(*) AS n FROM r GROUP BY ALL) a JOIN (SELECT enzyme, count(*) AS n FROM r WHERE role = 'N' GROUP BY ALL) b USING (enzyme) GROUP BY enzyme, result")
 def enzyme_conflict(t):
     """Pairs by role and enzyme, from counts of roles: no pair of a hot enzyme is made."""

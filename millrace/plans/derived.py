@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import context as C
 from millrace.functions import extraction as E
+from millrace.functions import items as I
 from millrace.functions import lab_text as L
 from millrace.functions import patients as P
 from millrace.functions import questions as Q
@@ -192,6 +193,22 @@ def text_facts(t):
     )
 
 
+# --- answers of a model ---------------------------------------------------------------------------------------------------
+_ITEM_1 = """'{"drug2": "  ilac ' || CAST(event_id AS STRING) || ' ", "severity": "' || CASE event_id % 3 WHEN 0 THEN 'Ciddi etkileşim' WHEN 1 THEN 'mild' ELSE 'dikkatli olun' END || '", "section": "4.3"}'"""
+_ITEM_2 = """'{"name": "b' || CAST(event_id % 10 AS STRING) || '", "severity": "belirsiz", "section": "9", "mechanism": "kapalı ] ve } ile \\\\"tırnak\\\\" içinde"}'"""
+_ITEM_3 = """'{"drug_b": "c", "severity": null}'"""
+REPLY = f"CASE event_id % 6 WHEN 0 THEN 'Sonuç: ```json [' || {_ITEM_1} || ', ' || {_ITEM_2} || ', ' || {_ITEM_3} || ']``` bitti ]' WHEN 1 THEN '[' || {_ITEM_1} || ', ' || {_ITEM_2} || ',]' WHEN 2 THEN '[' || {_ITEM_1} || ', ' || {_ITEM_2} || ', {{\"drug_b\": \"ya' WHEN 3 THEN '[' || {_ITEM_1} || ', ' || substring({_ITEM_2}, 1, 70) WHEN 4 THEN '[' || substring({_ITEM_1}, 1, 20) ELSE 'hiçbir şey' END"
+
+
+@query("reply_items", f"""WITH e AS (SELECT event_id, event_id % 6 AS k FROM events), i AS (SELECT event_id, k, 0 AS at_, 'ilac ' || event_id AS name, ['severe', 'mild', 'moderate'][event_id % 3 + 1] AS severity, '4.3' AS section, NULL::VARCHAR AS mechanism FROM e
+ UNION ALL SELECT event_id, k, 1, 'b' || (event_id % 10), 'unknown', '4.5', 'kapalı ] ve }} ile "tırnak" içinde' FROM e UNION ALL SELECT event_id, k, 2, 'c', 'unknown', '4.5', NULL FROM e)
+SELECT event_id, at_::BIGINT AS place, name, severity, section, mechanism FROM i WHERE at_ < [3, 2, 2, 1, 0, 0][k + 1]""")
+def reply_items(t):
+    """Items of a model's reply for each event: fenced, with a comma too many, cut behind, in and before whole items."""
+    d = t.events.select("event_id", F.posexplode_outer(I.items(F.expr(REPLY))).alias("place", "i")).where("i.name is not null")
+    return d.select("event_id", F.col("place").cast("long").alias("place"), "i.name", "i.severity", "i.section", "i.mechanism")
+
+
 # --- sections and pages -------------------------------------------------------------------------------------------------
 _GENERAL = "'Genel doz günde ' || CAST(doc_id AS STRING) || ' tablettir.'"
 _RENAL_PART = "'Böbrek yetmezliği: GFR ' || CAST(doc_id AS STRING) || ' altında doz yarıya indirilmelidir.'"

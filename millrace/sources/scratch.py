@@ -27,3 +27,15 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes that a split holds, and so a task has at least where input is large.
+SPLIT = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if it is smaller than a split for each of them: a small file of one row group would be read,
+    and worked on, by a single task. Larger input has splits enough and stays as it is, so what is sent is bounded."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if cores > 1 and size < SPLIT * cores else df

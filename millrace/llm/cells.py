@@ -1,7 +1,8 @@
 """Numbers dealt into shards, as cells: what one stretch of input has for one shard, as packed columns in one value.
 
 A shuffle of single n-grams costs some thirty bytes for each; in cells they take five or six. A shard is what one task
-holds at once, and shards are as many as its size asks for, so memory doesn't grow with the input.
+holds at once, and shards are as many as the size asks for, so memory doesn't grow with the input as long as no single state
+has more events than a shard.
 """
 
 from __future__ import annotations

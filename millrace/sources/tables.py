@@ -35,8 +35,8 @@ def append_new(rows: DataFrame, path: str, key: str, reset: bool = False) -> int
     """Appends rows whose key is not in the Parquet table at path yet, of equal keys the first in the order of rows; returns
     how many."""
     spark, columns = rows.sparkSession, rows.columns
-    first = F.min_by(F.struct(*columns), F.monotonically_increasing_id()).alias("first")
-    rows = rows.groupBy(F.col(key).alias("key")).agg(first).select("first.*")
+    placed = rows.select(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("place"))
+    rows = placed.groupBy(F.col(f"row.{key}").alias("key")).agg(F.min_by("row", "place").alias("first")).select("first.*")
     if not reset:
         try:
             rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")

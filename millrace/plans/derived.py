@@ -14,6 +14,7 @@ from millrace.functions import questions as Q
 from millrace.functions import sections as S
 from millrace.operators import checks as K
 from millrace.operators import resolve as R
+from millrace.operators import risks as X
 from millrace.plans.registry import query
 
 NL = "chr(10)"
@@ -193,6 +194,23 @@ def text_facts(t):
     )
 
 
+# --- risks --------------------------------------------------------------------------------------------------------------
+_EFFECTS = ["QT uzaması ve aritmi bildirildi.", "Hepatit ve sarılık görülebilir.", "Akut böbrek yetmezliği.", "Ciddi kanama ve anemi.", "Konvülsiyon, tremor.", "Bronkospazm ve dispne.", "Mide kanaması olabilir.", "Anafilaksi ve ürtiker.", "Hipokalemi ve hipoglisemi.", "Önemli bir şey yok.", "Bazı hastalarda hafif ödem.", "Önce bulantı, sonra kusma."]
+_EFFECT = "CASE l_partkey % 12 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_EFFECTS)) + " END"
+_PART_OF = "CASE l_linenumber % 6 WHEN 0 THEN '4.8' WHEN 1 THEN '4.4' WHEN 2 THEN '4.1' WHEN 3 THEN '4.3' WHEN 4 THEN '4.5' ELSE '4.8' END"
+
+
+@query("patient_risks", f"""WITH k AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{n}', '{p}')" for c, n, p in X.CATEGORIES)}) t(category, label, pattern)),
+c AS (SELECT l_orderkey, 'ilac ' || (l_partkey % 500) AS name, {_PART_OF} AS section, {_EFFECT} AS text FROM lineitem),
+x AS (SELECT text, category, label FROM (SELECT DISTINCT text FROM c), k WHERE regexp_matches(text, '(?i)(' || pattern || ')')),
+h AS (SELECT l_orderkey, category, label, list_sort(list_distinct(list(name))) AS drugs FROM c JOIN x USING (text) WHERE section IN ('4.8', '4.4', '4.5', '4.3') GROUP BY 1, 2, 3)
+SELECT l_orderkey, category, array_to_string(drugs, ',') AS drugs, CASE WHEN len(drugs) >= 3 THEN 'kritik' ELSE 'dikkat' END AS severity, len(drugs) || ' ilaç birlikte ' || lower(label) || ' riski taşıyor: ' || array_to_string(drugs, ', ') AS text FROM h WHERE len(drugs) >= 2""")
+def patient_risks(t):
+    """Side effects that several drugs of an order have in common, in nine categories."""
+    chunks = t.lineitem.select("l_orderkey", F.concat(F.lit("ilac "), (F.col("l_partkey") % 500).cast("string")).alias("name"), F.expr(_PART_OF).alias("section"), F.expr(_EFFECT).alias("text"))
+    return X.cumulative_risks(chunks, "l_orderkey").select("l_orderkey", "category", F.array_join("drugs", ",").alias("drugs"), "severity", "text")
+
+
 # --- answers of a model ---------------------------------------------------------------------------------------------------
 _ITEM_1 = """'{"drug2": "  ilac ' || CAST(event_id AS STRING) || ' ", "severity": "' || CASE event_id % 3 WHEN 0 THEN 'Ciddi etkileşim' WHEN 1 THEN 'mild' ELSE 'dikkatli olun' END || '", "section": "4.3"}'"""
 _ITEM_2 = """'{"name": "b' || CAST(event_id % 10 AS STRING) || '", "severity": "belirsiz", "section": "9", "mechanism": "kapalı ] ve } ile \\\\"tırnak\\\\" içinde"}'"""

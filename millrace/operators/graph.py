@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.extraction import ingredient_words
+
 UNKNOWN = "unknown"
 LEVELS = ("contraindicated", "severe", "moderate", "mild")
 MENTION_CHARS, PEERS, PEER_CONFIDENCE, LATE_CONFIDENCE = 100, 50, 0.7, 0.85
@@ -151,3 +153,16 @@ def graph_context(targets: DataFrame, edges: DataFrame, classes: DataFrame, warn
     two = of_classes(edges, classes, most).join(t, "src", "left_semi").select("src", F.lit("class").alias("kind"), F.col("class").alias("what"), "severity")
     three = warnings.join(t, "src", "left_semi").select("src", F.lit("warning").alias("kind"), F.col("text").alias("what"), F.lit(None).cast("string").alias("severity"))
     return one.unionByName(two).unionByName(three)
+
+
+# --- groups ----------------------------------------------------------------------------------------------------------
+
+
+def ingredient_groups(nodes: DataFrame) -> DataFrame:
+    """token, name: nodes (name, ingredient) by the longest of their ingredient's words (of equally long ones the first by
+    alphabet), where at least two names have it. Names are joined to the tokens that are left, so that no group is
+    collected; nodes without such a word are in none."""
+    words = F.transform(ingredient_words(F.col("ingredient")), lambda w: F.struct(F.negative(F.length(w)).alias("n"), w.alias("w")))
+    own = nodes.select("name", F.get(F.array_sort(words), F.lit(0))["w"].alias("token")).where("token is not null").distinct()
+    shared = own.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return own.join(shared, "token", "left_semi").select("token", "name")

@@ -13,6 +13,7 @@ from millrace.functions import patients as P
 from millrace.functions import questions as Q
 from millrace.functions import sections as S
 from millrace.operators import checks as K
+from millrace.operators import graph as G
 from millrace.operators import resolve as R
 from millrace.operators import risks as X
 from millrace.plans.registry import query
@@ -194,6 +195,19 @@ def text_facts(t):
     )
 
 
+# --- ingredients --------------------------------------------------------------------------------------------------------
+_MADE_OF = "split_part(p_name, ' ', 1) || 'oprolol ' || split_part(p_name, ' ', 2) || 'ipramin 5 mg'"
+
+
+@query("ingredient_groups", """WITH x AS (SELECT p_name || ' ' || (p_size % 3) AS name, split_part(p_name, ' ', 1) || 'oprolol' AS a, split_part(p_name, ' ', 2) || 'ipramin' AS b FROM part),
+g AS (SELECT DISTINCT name, CASE WHEN length(a) > length(b) THEN a WHEN length(b) > length(a) THEN b ELSE least(a, b) END AS token FROM x WHERE greatest(length(a), length(b)) >= 8)
+SELECT token, name FROM g QUALIFY count(*) OVER (PARTITION BY token) > 1""")
+def ingredient_groups(t):
+    """Names by the longest word of their ingredient."""
+    nodes = t.part.select(F.concat("p_name", F.lit(" "), (F.col("p_size") % 3).cast("string")).alias("name"), F.expr(_MADE_OF).alias("ingredient"))
+    return G.ingredient_groups(nodes)
+
+
 # --- risks --------------------------------------------------------------------------------------------------------------
 _EFFECTS = ["QT uzaması ve aritmi bildirildi.", "Hepatit ve sarılık görülebilir.", "Akut böbrek yetmezliği.", "Ciddi kanama ve anemi.", "Konvülsiyon, tremor.", "Bronkospazm ve dispne.", "Mide kanaması olabilir.", "Anafilaksi ve ürtiker.", "Hipokalemi ve hipoglisemi.", "Önemli bir şey yok.", "Bazı hastalarda hafif ödem.", "Önce bulantı, sonra kusma."]
 _EFFECT = "CASE l_partkey % 12 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_EFFECTS)) + " END"

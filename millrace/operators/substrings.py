@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.resolve import first_tier
-from millrace.sources.scratch import stored
+from millrace.sources.scratch import spread, stored
 
 GRAM = 3
 #: Most needles that are broadcast.
@@ -33,7 +33,7 @@ def contains_join(texts: DataFrame, needles: DataFrame) -> DataFrame:
     rarer one, and texts are joined to the pairs that are left."""
     needles = stored(needles.select("needle").where("length(needle) > 0").distinct())
     short, sizes = needles.where(F.length("needle") < GRAM), [r["n"] for r in needles.select(F.least(F.length("needle"), F.lit(GRAM)).alias("n")).distinct().collect()]
-    texts = texts.select("text_id", "text").where("text is not null")
+    texts = spread(texts.select("text_id", "text").where("text is not null"))
     few = needles.count() <= FEW
     grams = F.concat(*[pieces(F.col("text"), n) for n in sorted(sizes)]) if sizes else F.array().cast("array<string>")
     wanted = needles.where(F.length("needle") >= GRAM).select("needle", F.explode(pieces(F.col("needle"), GRAM)).alias("gram"))

@@ -3,10 +3,13 @@
 import random
 import re
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.engine import Engine
 from millrace.functions import labels
+from millrace.plans import QUERIES, SQL
 
 
 def plain_sections(text):
@@ -89,3 +92,16 @@ def test_plans_in_one_scan(spark):
         got.setdefault(r.q, []).append(r.item)
     assert got == {1: ["A_4_2_x", "B_4_3_x"], 2: ["A_4_2_x", "B_4_2_x", "A_4_2_part1_x"]}
     assert engine.retrieve(d.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["label_sections", "label_chunks"])
+def test_headings_of_any_first_letter_are_those_of_the_sql(spark, tmp_path, name):
+    body = "tige Wirkungen und mehr Worte"
+    rows = [(8 * j + k, "<h1>Titel</h1>" + "".join(f"<p>{x}{body}</p>" for x in first)) for j, first in enumerate(["ßßßßß", "ŉŉŉŉŉ", "ᾳᾳᾳᾳᾳ", "üßaẞé"]) for k in range(8)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(SQL[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, str(tmp_path)).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

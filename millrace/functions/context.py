@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 _NAME = r"[\wçğıöşüÇĞİÖŞÜ][\wçğıöşüÇĞİÖŞÜ\-]{2,}"
 _NAMES = rf"({_NAME}(?:\s+{_NAME})?)"
 
@@ -109,15 +111,17 @@ def _i(pattern: str) -> str:
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
-    got = F.regexp_extract(text, _i(pattern), group)
-    return F.when(got != "", got)
+    return let(F.regexp_extract(text, _i(pattern), group), lambda got: F.when(got != "", got))
 
 
 def bare_name(name: Column) -> Column:
     """name without the leading words that are no names; null where nothing is left."""
-    words = F.split(F.trim(name), r"\s+")
-    first = F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: ~F.lower(F.get(words, k)).isin(NO_NAMES)), F.lit(0))
-    return F.when(first.isNotNull(), F.array_join(F.slice(words, first + 1, F.size(words)), " "))
+
+    def bare(words: Column) -> Column:
+        first = F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: ~F.lower(F.get(words, k)).isin(NO_NAMES)), F.lit(0))
+        return let(first, lambda k: F.when(k.isNotNull(), F.array_join(F.slice(words, k + 1, F.size(words)), " ")))
+
+    return let(F.split(F.trim(name), r"\s+"), bare)
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -128,17 +132,23 @@ def _all(text: Column, pattern: str) -> Column:
 def context(text: Column) -> Column:
     """Struct of what a text says of a patient: age (1 to 119), sex, weight (11 to 299), gfr, renal, hepatic, child_pugh,
     pregnant, nursing, pediatric, geriatric, labs, diagnoses, allergies, target, current (drugs), question (the sentences
-    that ask, else the text)."""
-    age = _first(text, AGE).cast("int")
-    age = F.when((age > 0) & (age < 120), age)
-    weight = _first(text, WEIGHT).cast("double")
-    gfr = _first(text, GFR).cast("double")
+    that ask, else the text). Each pattern is looked for once; take the struct as a column before its fields."""
     said = lambda p: text.rlike(_i(p))
-    no = lambda c: F.coalesce(c, F.lit(False))
-    labs = F.array(*[F.struct(F.lit(k).alias("key"), _first(text, p).cast("double").alias("value")) for k, p in LABS.items()])
     diagnoses = F.array_compact(F.array(*[F.when(said(p), name) for p, name in DIAGNOSES]))
     target = F.coalesce(bare_name(_first(text, FOR_TARGET, 2)), bare_name(_first(text, TARGET)))
-    reason = F.trim(_first(text, FOR_TARGET))
+    found = F.struct(
+        text.alias("text"), _first(text, AGE).cast("int").alias("age"), _first(text, WEIGHT).cast("double").alias("weight"), _first(text, GFR).cast("double").alias("gfr"),
+        diagnoses.alias("diagnoses"), target.alias("target"), F.trim(_first(text, FOR_TARGET)).alias("reason"),
+    )
+    return let(found, _context)
+
+
+def _context(found: Column) -> Column:
+    text, weight, gfr, diagnoses, target, reason = (found[c] for c in ("text", "weight", "gfr", "diagnoses", "target", "reason"))
+    age = F.when((found["age"] > 0) & (found["age"] < 120), found["age"])
+    said = lambda p: text.rlike(_i(p))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    labs = F.array(*[F.struct(F.lit(k).alias("key"), _first(text, p).cast("double").alias("value")) for k, p in LABS.items()])
     known = F.exists(diagnoses, lambda d: F.lower(d).contains(F.lower(reason)) | F.lower(reason).contains(F.lower(d)))
     reason = F.when((F.length(reason) > 2) & ~known, F.concat(F.upper(F.substring(reason, 1, 1)), F.lower(F.substring(reason, F.lit(2), F.length(reason)))))
     listed = F.filter(F.transform(F.split(_first(text, CURRENT_LIST), r",|\bve\b"), lambda n: bare_name(F.rtrim(F.trim(n), F.lit(".,")))), lambda n: F.length(n) > 2)
@@ -147,11 +157,11 @@ def context(text: Column) -> Column:
     asks = F.regexp_extract_all(text, F.lit(r"[^.!?]*\?"), F.lit(0))
     return F.struct(
         age.alias("age"), F.when(said(MALE), "erkek").when(said(FEMALE), "kadın").alias("sex"), F.when((weight > 10) & (weight < 300), weight).alias("weight"), gfr.alias("gfr"),
-        (said(RENAL) | no(gfr < 60)).alias("renal"), said(HEPATIC).alias("hepatic"), F.upper(_first(text, CHILD_PUGH)).alias("child_pugh"),
-        said(PREGNANT).alias("pregnant"), said(NURSING).alias("nursing"), (said(PEDIATRIC) | no(age < 18)).alias("pediatric"), (said(GERIATRIC) | no(age >= 65)).alias("geriatric"),
+        (no(gfr < 60) | said(RENAL)).alias("renal"), said(HEPATIC).alias("hepatic"), F.upper(_first(text, CHILD_PUGH)).alias("child_pugh"),
+        said(PREGNANT).alias("pregnant"), said(NURSING).alias("nursing"), let(age, lambda n: no(n < 18) | said(PEDIATRIC)).alias("pediatric"), let(age, lambda n: no(n >= 65) | said(GERIATRIC)).alias("geriatric"),
         F.map_from_entries(F.filter(labs, lambda e: e["value"].isNotNull())).alias("labs"), F.array_compact(F.concat(diagnoses, F.array(reason))).alias("diagnoses"),
         F.array_distinct(F.filter(_all(text, ALLERGY), lambda n: F.length(n) > 2)).alias("allergies"), target.alias("target"), F.array_distinct(current).alias("current"),
-        F.when(F.size(asks) > 0, F.trim(F.array_join(asks, " "))).otherwise(text).alias("question"),
+        let(asks, lambda a: F.when(F.size(a) > 0, F.trim(F.array_join(a, " "))).otherwise(text)).alias("question"),
     )
 
 

@@ -17,6 +17,7 @@ from millrace.operators import graph as G
 from millrace.operators import resolve as R
 from millrace.operators import risks as X
 from millrace.plans.registry import query
+from millrace.sources.scratch import spread
 
 NL = "chr(10)"
 
@@ -151,7 +152,7 @@ CONTEXT = f"CAST(c_custkey % 130 AS STRING) || ' yaşında ' || {_SEX} || ' hast
 SELECT id, age, sex, weight, gfr, gfr < 60 AS renal, false AS hepatic, NULL::VARCHAR AS child_pugh, false AS pregnant, false AS nursing, coalesce(age < 18, false) AS pediatric, coalesce(age >= 65, false) AS geriatric, 'ALT' AS labs, '' AS diagnoses, '' AS allergies, 'klaritromisin' AS target, 'Varfarin' AS current, 'Hastaya klaritromisin yazabilir miyim?' AS question FROM x""")
 def patient_context(t):
     """What a free text says of a patient, one for each customer."""
-    d = t.customer.select(F.col("c_custkey").alias("id"), C.context(F.expr(CONTEXT)).alias("c")).select("id", "c.*")
+    d = spread(t.customer.select("c_custkey")).select(F.col("c_custkey").alias("id"), C.context(F.expr(CONTEXT)).alias("c")).select("id", "c.*")
     join = lambda c: F.array_join(c, ",").alias(c)
     return d.select(
         _id(), F.col("age").cast("long").alias("age"), "sex", "weight", "gfr", "renal", "hepatic", "child_pugh", "pregnant", "nursing", "pediatric", "geriatric",
@@ -189,7 +190,7 @@ def text_facts(t):
     x, join = F.col("x"), lambda c: F.array_join(c, "; ")
     doses = F.transform(E.dose_adjustments(x), lambda d: F.concat_ws(" ", d["op"], d["value"].cast("string"), d["upper"].cast("string"), d["kind"]))
     roles = F.transform(E.enzyme_roles(x), lambda r: F.concat_ws(" ", r["enzyme"], r["role"]))
-    return t.customer.select(_id("c_custkey"), F.expr(FACTS).alias("x"), F.expr(_INGREDIENT).alias("ingredient")).select(
+    return spread(t.customer.select("c_custkey")).select(_id("c_custkey"), F.expr(FACTS).alias("x"), F.expr(_INGREDIENT).alias("ingredient")).select(
         "id", E.severity(x, F.lit("varfarin")).alias("severity"), join(E.conditions(x)).alias("conditions"), join(E.mentions(x, F.lit("ASPIRIN 100 MG"))).alias("mentions"), join(doses).alias("doses"), join(roles).alias("roles"),
         E.pregnancy_category(x).alias("category"), join(E.ingredient_words(F.col("ingredient"))).alias("ingredients"),
     )

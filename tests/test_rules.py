@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.engine import Engine, evaluated, verdict, with_sources
-from millrace.functions import extraction, lab_text, patients, questions, sections
+from millrace.functions import context, extraction, lab_text, patients, questions, sections
 from millrace.operators import checks, closeness, graph, models, search
+from millrace.plans import QUERIES
 from millrace.streaming import sessions
 
 
@@ -124,3 +125,13 @@ def test_ingest_stream_adds_nothing_twice(spark, tmp_path):
 def test_question_defaults(spark):
     assert one(spark, questions.question_kinds(F.lit("?"))) == ["genel"]
     assert one(spark, lab_text.text_values(F.lit(""))) == {}
+
+
+def test_a_context_looks_for_each_pattern_once(spark):
+    said = str(context.context(F.col("text")))
+    assert [said.count(x) for x in ("öner(?:mek)?", "yaz[ıi]labilir", "|hipertansif|", "hemodiyaliz")] == [2, 1, 1, 1]  # the first one has two groups
+
+
+@pytest.mark.parametrize("name", ["patient_context", "text_facts"])
+def test_texts_of_one_small_file_are_dealt_over_all_cores(spark, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -135,3 +135,23 @@ def test_a_context_looks_for_each_pattern_once(spark):
 @pytest.mark.parametrize("name", ["patient_context", "text_facts"])
 def test_texts_of_one_small_file_are_dealt_over_all_cores(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["peer_edges", "propagate_group_edges", "group_propagation"])
+def test_rows_of_groups_are_not_sent_after_they_met(spark, name):
+    """Members times ends of their groups grow by the square: no exchange or sort may come after their join."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    top = plan.splitlines()
+    first = next(k for k, x in enumerate(top) if "Join" in x)
+    assert "LeftAnti" not in plan and not any("Aggregate" in x or "Sort " in x for x in top[:first])
+
+
+def test_members_of_several_groups_and_rows_that_repeat(spark):
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "a"), (3, "b"), (4, "b"), (5, "b"), (5, None)], "id long, group string")
+    edges = spark.createDataFrame([(1, 10), (1, 10), (2, 11), (4, 10), (4, 12), (4, 5)], "src long, dst long")
+    got = sorted((r.src, r.dst, r.peer) for r in graph.peers(edges, members).collect())
+    assert got == [(1, 11, 2), (2, 10, 1), (3, 5, 4), (3, 10, 1), (3, 11, 2), (3, 12, 4), (5, 10, 4), (5, 12, 4)]
+    spread = sorted((r.src, r.dst) for r in graph.propagated(edges, members).collect())
+    assert spread == [(3, 4), (3, 5), (3, 10), (3, 11), (3, 12)]
+    each = sorted((r.src, r.dst) for r in graph.lacking(edges, members.withColumnRenamed("id", "src")).collect())
+    assert each == [(1, 11), (2, 10), (2, 10), (3, 5), (3, 10), (3, 10), (3, 11), (3, 12), (5, 5), (5, 10), (5, 12)]

@@ -155,3 +155,8 @@ def test_members_of_several_groups_and_rows_that_repeat(spark):
     assert spread == [(3, 4), (3, 5), (3, 10), (3, 11), (3, 12)]
     each = sorted((r.src, r.dst) for r in graph.lacking(edges, members.withColumnRenamed("id", "src")).collect())
     assert each == [(1, 11), (2, 10), (2, 10), (3, 5), (3, 10), (3, 10), (3, 11), (3, 12), (5, 5), (5, 10), (5, 12)]
+
+
+def test_searches_of_plans_send_their_best_only(spark):
+    plan = QUERIES["plan_fan_out"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 20, Partial" in plan

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 # --- Fixed values: headings, labels and sizes that results have to match -----------------------------------------------
 HEADINGS = (
     ("bobrek_karaciger", "Böbrek / Karaciğer Yetmezliği", ("renal", "hepatic"), r"B[oö]brek\s*/\s*Karaci[gğ]er\s+yetmezli[gğ]i"),
@@ -41,49 +43,59 @@ def group_parts(text: Column, title: Column, name: Column, file: Column, section
     """The parts of a section by patient group: array of (key, label, flags, text, chunk_id), in the order of the text.
     A part goes from its heading to the next one; what stands before the special groups introduces each. The combined
     heading takes the place of its two single ones; parts under 30 characters are left out."""
-    start = F.coalesce(_place(text, SPECIAL_GROUPS), F.lit(0))
-    intro, rest = F.trim(F.substring(text, F.lit(1), start)), F.substring(text, start + 1, F.length(text))
-    hits = [F.struct(_place(rest, p).alias("at"), F.lit(n).alias("n"), F.lit(k).alias("key"), F.lit(label).alias("label"), F.array(*map(F.lit, flags)).alias("flags")) for n, (k, label, flags, p) in enumerate(HEADINGS)]
-    both = _place(rest, HEADINGS[0][3]).isNotNull()
-    hits = F.array_sort(F.filter(F.array(*hits), lambda h: h["at"].isNotNull() & ~(both & h["key"].isin(*SINGLES))))
-
-    def part(h: Column, i: Column) -> Column:
-        stop = F.coalesce(F.get(hits, i + 1)["at"], F.length(rest))
-        own = F.trim(F.substring(rest, h["at"] + 1, stop - h["at"]))
+    place = F.coalesce(_place(text, SPECIAL_GROUPS), F.lit(0))
+    return let(place, lambda start: _grouped(F.trim(F.substring(text, F.lit(1), start)), F.substring(text, start + 1, F.length(text)), start, title, name, file, section))
+
+
+def _grouped(intro: Column, rest: Column, start: Column, title: Column, name: Column, file: Column, section: str) -> Column:
+    """The parts of rest, a text from start on, after intro."""
+    places = F.array(*[_place(rest, p) for *_, p in HEADINGS])
+
+    def parts(at: Column) -> Column:
+        hits = [F.struct(at[n].alias("at"), F.lit(n).alias("n"), F.lit(k).alias("key"), F.lit(label).alias("label"), F.array(*map(F.lit, flags)).alias("flags")) for n, (k, label, flags, _) in enumerate(HEADINGS)]
+        hits = F.array_sort(F.filter(F.array(*hits), lambda h: h["at"].isNotNull() & ~(at[0].isNotNull() & h["key"].isin(*SINGLES))))
+        return let(hits, lambda hits: F.filter(F.transform(hits, lambda h, i: part(h, F.get(hits, i + 1)["at"])), lambda p: p["text"].isNotNull()).cast(PART))
+
+    def part(h: Column, stop: Column) -> Column:
+        own = F.trim(F.substring(rest, h["at"] + 1, F.coalesce(stop, F.length(rest)) - h["at"]))
         head = F.concat(F.lit("["), title, F.lit(" — "), h["label"], F.lit("]\n\n"))
         whole = F.concat(head, F.when((start > 0) & (intro != ""), F.concat(intro, F.lit("\n\n"))).otherwise(""), F.lit("--- "), h["label"], F.lit(" ---\n"), own)
         return F.struct(h["key"].alias("key"), h["label"].alias("label"), h["flags"].alias("flags"), F.when(F.length(own) >= LEAST_SUB, whole).alias("text"), chunk_id(name, section, h["key"], file).alias("chunk_id"))
 
-    return F.filter(F.transform(hits, part), lambda p: p["text"].isNotNull()).cast(PART)
+    return let(places, parts)
 
 
 def packed_parts(text: Column, title: Column, name: Column, file: Column, section: str = "4.4", lead: str = "Özel Uyarılar", split_from: int = SPLIT_FROM, pack: int = PACK, introduction: int = INTRO) -> Column:
     """A section over split_from characters in parts: its paragraphs after the first are put together while a part's
     paragraphs have at most pack characters; each part gets the beginning of the first paragraph. One part is none."""
+    none = F.array().cast(PART)
     paragraphs = F.filter(F.transform(F.split(text, r"\n{2,}"), lambda p: F.trim(p, F.lit(" \n\t"))), lambda p: p != "")
-    intro = F.substring(F.get(paragraphs, F.lit(0)), 1, introduction)
-    rest = F.when(F.size(paragraphs) > 1, F.slice(paragraphs, 2, F.greatest(F.size(paragraphs) - 1, F.lit(1)))).otherwise(paragraphs)
-    start = F.array().cast("array<struct<n:int,text:string>>")
+    # a group is a range of paragraphs and their length: texts are put together once, when the groups are known
+    start = F.array().cast("array<struct<n:int,first:int,last:int>>")
 
     def step(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        new = F.array(F.struct(F.length(p).alias("n"), p.alias("text")))
-        more = F.array(F.struct((last["n"] + F.length(p)).alias("n"), F.concat(last["text"], F.lit("\n\n"), p).alias("text")))
-        return F.when(F.size(acc) == 0, new).when(last["n"] + F.length(p) > pack, F.concat(acc, new)).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), more))
-
-    # element_at of an empty array is only looked at where the array isn't empty
-    safe = lambda acc, p: F.when(F.size(acc) == 0, F.array(F.struct(F.length(p).alias("n"), p.alias("text")))).otherwise(step(acc, p))
-    groups = F.aggregate(rest, start, safe)
-    total = F.size(groups).cast("string")
-
-    def part(g: Column, i: Column) -> Column:
-        number = F.concat((i + 1).cast("string"), F.lit("/"), total)
-        key = F.concat(F.lit("part"), (i + 1).cast("string"))
-        whole = F.concat(F.lit("["), title, F.lit(" — Bölüm "), number, F.lit("]\n\n[Bağlam — Madde "), F.lit(section), F.lit(" girişi]: "), intro, F.lit("\n\n--- Devam (Bölüm "), number, F.lit(") ---\n"), g["text"])
-        return F.struct(key.alias("key"), F.concat(F.lit(f"{lead} — Bölüm "), number).alias("label"), F.array().cast("array<string>").alias("flags"), F.when(F.length(g["text"]) >= LEAST_PART, whole).alias("text"), chunk_id(name, section, key, file).alias("chunk_id"))
-
-    parts = F.filter(F.transform(groups, part), lambda p: p["text"].isNotNull()).cast(PART)
-    return F.when((F.length(text) > split_from) & (F.size(groups) > 1), parts).otherwise(F.array().cast(PART))
+        last = F.get(acc, F.size(acc) - 1)
+        new = F.array(F.struct(p["n"].alias("n"), p["at"].alias("first"), p["at"].alias("last")))
+        more = F.array(F.struct((last["n"] + p["n"]).alias("n"), last["first"].alias("first"), p["at"].alias("last")))
+        return F.when((F.size(acc) == 0) | (last["n"] + p["n"] > pack), F.concat(acc, new)).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), more))
+
+    def parts(ps: Column) -> Column:
+        sizes = F.transform(ps, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("at")))
+        rest = F.filter(sizes, lambda p: (p["at"] > 0) | (F.size(sizes) == 1))
+        return let(F.aggregate(rest, start, step), lambda groups: F.when(F.size(groups) > 1, labelled(ps, groups)).otherwise(none))
+
+    def labelled(ps: Column, groups: Column) -> Column:
+        def part(g: Column, i: Column) -> Column:
+            own = F.array_join(F.slice(ps, g["first"] + 1, g["last"] - g["first"] + 1), "\n\n")
+            number = F.concat((i + 1).cast("string"), F.lit("/"), F.size(groups).cast("string"))
+            key = F.concat(F.lit("part"), (i + 1).cast("string"))
+            intro = F.substring(F.get(ps, F.lit(0)), 1, introduction)
+            whole = F.concat(F.lit("["), title, F.lit(" — Bölüm "), number, F.lit("]\n\n[Bağlam — Madde "), F.lit(section), F.lit(" girişi]: "), intro, F.lit("\n\n--- Devam (Bölüm "), number, F.lit(") ---\n"), own)
+            return F.struct(key.alias("key"), F.concat(F.lit(f"{lead} — Bölüm "), number).alias("label"), F.array().cast("array<string>").alias("flags"), F.when(F.length(own) >= LEAST_PART, whole).alias("text"), chunk_id(name, section, key, file).alias("chunk_id"))
+
+        return F.filter(F.transform(groups, part), lambda p: p["text"].isNotNull()).cast(PART)
+
+    return F.when(F.length(text) > split_from, let(paragraphs, parts)).otherwise(none)
 
 
 def page_text(blocks: Column) -> Column:

@@ -260,7 +260,7 @@ a AS (SELECT id, name, place, key, label, flags, sec, '[Başlık — ' || label
 SELECT id, key, label, flags, length(whole) AS size, md5(whole) AS digest, replace(name, ' ', '_') || '_' || replace(sec, '.', '_') || '_' || key || '_' || md5(name || '_' || sec || '_' || key || '_a.pdf')[1:10] AS chunk_id FROM a""")
 def section_parts(t):
     """Parts by patient group of a section for each document, and its own lines, as paragraphs, in packed parts."""
-    d = t.documents.select(_id("doc_id"), F.expr(GROUPS).alias("g"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("x"), F.concat(F.lit("ILAC "), F.col("doc_id").cast("string")).alias("name"))
+    d = spread(t.documents.select("doc_id", "text")).select(_id("doc_id"), F.expr(GROUPS).alias("g"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("x"), F.concat(F.lit("ILAC "), F.col("doc_id").cast("string")).alias("name"))
     args = (F.lit("Başlık"), F.col("name"), F.lit("a.pdf"))
     none = F.array().cast(S.PART)
     both = F.concat(F.coalesce(S.group_parts(F.col("g"), *args), none), F.coalesce(S.packed_parts(F.col("x"), *args), none))

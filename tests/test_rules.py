@@ -160,3 +160,9 @@ def test_members_of_several_groups_and_rows_that_repeat(spark):
 def test_searches_of_plans_send_their_best_only(spark):
     plan = QUERIES["plan_fan_out"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 20, Partial" in plan
+
+
+def test_paragraphs_and_headings_are_looked_for_once(spark):
+    got = QUERIES["section_parts"](spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 7  # five headings, the special groups and the paragraphs
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -18,12 +18,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.nearest import best
 from millrace.operators.search import dot, top
+from millrace.sources.scratch import stored
 
 #: Most lists, sample rows for each, rounds of k-means; queries and neighbours on which the number of probes is tuned.
 LISTS, PER_LIST, ITERATIONS, TRIALS, NEIGHBOURS, RECALL = 1024, 50, 8, 200, 10, 0.97
-#: Most rows of queries by list that are broadcast.
-FEW = 200_000
+#: Most pairs of a query and a list that are broadcast.
+FEW = 20_000_000
 SLACK = 2e-6  # scores are ranked by six digits
 
 
@@ -112,17 +114,24 @@ def _nearest(angles: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(np.argsort(angles, axis=1, kind="stable"), axis=1) < probes
 
 
-def _scored(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """q, item, score, rank of the k best in the lists asked for."""
-    asked = F.broadcast(asked) if asked.count() <= FEW else asked.hint("merge")
-    return top(index.join(asked, "list").select("q", "item", F.coalesce(dot("q_vec", "vec"), F.lit(0.0)).alias("score")), "q", "score", "item", k)
+def _scored(queries: DataFrame, asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """q, item, score, rank of the k best in the lists asked for (q, q_vec, list). Up to FEW pairs of query and list are sent
+    with the queries, as numbers, and a task multiplies its batches with the vectors of their lists' queries."""
+    pairs = stored(asked.select("q", "list"))
+    if pairs.count() > FEW:
+        found = index.join(asked.hint("merge"), "list").select("q", "item", F.coalesce(dot("q_vec", "vec"), F.lit(0.0)).alias("score"))
+        return top(found, "q", "score", "item", k)
+    table = queries.select("q", "q_vec").toArrow()
+    numbers = table.select(["q"]).to_pandas().reset_index(names="at").merge(pairs.toArrow().to_pandas(), on="q")[["at", "list"]].drop_duplicates()
+    groups = {v: some.to_numpy() for v, some in numbers.groupby("list")["at"]}
+    return top(best(table, index.select("item", "vec", "list"), k, groups, "list", 0.0), "q", "score", "item", k)
 
 
 def near_search(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: int, probes: int) -> DataFrame:
     """q, item, score, rank: the k best items in the probes nearest lists of each query (q, q_vec). index: what indexed
     gives, with any filter on its other columns. Approximate: an item in another list isn't found."""
     asked = _probed(queries.select("q", "q_vec", F.lit(0.0).alias("floor")), centers, lambda angles, norms, floors: _nearest(angles, probes))
-    return _scored(asked, index, k)
+    return _scored(queries, asked, index, k)
 
 
 def exact_search(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: int, probes: int) -> DataFrame:
@@ -131,7 +140,7 @@ def exact_search(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: i
     edges = index.groupBy("list").agg(F.max("angle").alias("angle"), F.max("norm").alias("norm")).toArrow()  # a row a list
     reach, norm = np.full(len(centers), -np.inf), np.full(len(centers), -np.inf)
     reach[edges["list"].to_numpy()], norm[edges["list"].to_numpy()] = edges["angle"].to_numpy(), edges["norm"].to_numpy()
-    first = near_search(queries, index, centers, k, probes)
+    first = stored(near_search(queries, index, centers, k, probes))
     floor = first.where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
     left = queries.join(floor, "q", "left").select("q", "q_vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
 
@@ -140,5 +149,5 @@ def exact_search(queries: DataFrame, index: DataFrame, centers: np.ndarray, k: i
         most = norms[:, None] * np.where(cos > 0, norm, 0) * cos  # below a right angle a small norm is the best
         return (most >= floors[:, None] - SLACK) & (norm >= 0) & ~_nearest(angles, probes)
 
-    more = _scored(_probed(left, centers, open_), index, k)
+    more = _scored(left, _probed(left, centers, open_), index, k)
     return top(first.unionByName(more).select("q", "item", "score"), "q", "score", "item", k)

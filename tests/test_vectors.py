@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import search, vectors
+from millrace.operators import nearest, search, vectors
+from millrace.plans import QUERIES
 from millrace.sources.scratch import stored
 
 SF = "/root/testdata/sf0.1"
@@ -79,3 +80,24 @@ def test_vectors_of_any_length_ties_and_nulls(spark):
     assert vectors.indexed(corpus.where("false"), vectors.centroids(corpus.where("false"))[0]).count() == 0
     with pytest.raises(Exception, match="vectors must have"):
         vectors.indexed(spark.createDataFrame([(1, [1.0])], "item long, vec array<double>"), centers).collect()
+
+
+def test_searches_multiply_in_tasks_and_send_their_best_only(spark):
+    """No product of queries and corpus as rows: it grows by the square."""
+    for name in ("vector_topk", "vector_relaxed", "vector_near", "vector_lists"):
+        p = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "MapInArrow" in p and "zip_with" not in p and "NestedLoop" not in p, name
+
+
+def test_products_have_the_rows_of_the_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CELLS", 50)  # queries in several parts
+    vecs = [(k, [float(k % 7), 0.1 * (k % 3), -1.0]) for k in range(200)] + [(None, [1.0, 1.0, 1.0]), (7, None), (8, [1.0]), (9, [1.0, None, 1.0]), (10, [1e-6 / 2, 0.0, 0.0]), (11, [float("nan"), 0.0, 0.0]), (12, [])]
+    corpus = spark.createDataFrame([(a, v, str((a or 0) % 3) if a != 5 else None) for a, v in vecs], "item long, vec array<double>, name string").repartition(3)
+    queries = corpus.where("item % 9 = 0 or item in (7, 8, 12) or item is null").select(F.col("item").alias("q"), F.col("vec").alias("q_vec"), F.col("name").alias("asked"))
+    for same in (None, ("name", "asked")):
+        pairs = corpus.join(queries, F.lit(True) if same is None else F.col("name") == F.col("asked"))
+        want = search.top(pairs.select("q", "item", search.dot("q_vec", "vec").alias("score")), "q", "score", "item", 6)
+        got = search.vector_search(queries, corpus, 6, same)
+        a, b = (sorted((str(r.q), r["rank"], str(r.item), str(r.score)) for r in x.collect()) for x in (want, got))
+        # rows of a repeated id tie with themselves in any order
+        assert [x[:2] + x[3:] for x in a] == [x[:2] + x[3:] for x in b] and len(a) > 100

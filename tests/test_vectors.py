@@ -101,3 +101,28 @@ def test_products_have_the_rows_of_the_plain_join(spark, monkeypatch):
         a, b = (sorted((str(r.q), r["rank"], str(r.item), str(r.score)) for r in x.collect()) for x in (want, got))
         # rows of a repeated id tie with themselves in any order
         assert [x[:2] + x[3:] for x in a] == [x[:2] + x[3:] for x in b] and len(a) > 100
+
+
+def test_words_are_scored_in_tasks(spark):
+    """Pairs of queries and documents aren't sent: they grow by the product."""
+    for name in ("bm25_topk", "bm25_filtered", "rerank_pool", "rrf_fusion", "hybrid_search", "answer_retrieval", "recall_at_k"):
+        p = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "MapInArrow" in p and "Generate" not in p, name
+
+
+def test_best_words_are_those_of_all_pairs(spark, monkeypatch):
+    words = ["kan", "doz", "ağrı", "su", "x", "tuz"]
+    texts = [(k, " ".join(words[(k * j + j) % 6] for j in range(k % 11))) for k in range(120)] + [(120, None), (121, ""), (122, "kan kan; doz"), (None, "tuz")]
+    corpus = spark.createDataFrame([(*t, "a" if (t[0] or 0) % 3 else None) for t in texts], "item long, text string, section string").repartition(3)
+    queries = spark.createDataFrame([(1, "kan doz"), (2, "tuz tuz yok"), (3, ""), (4, None), (None, "su ağrı")], "q long, text string")
+    want = {(r.q, r.item): round(r.score, 6) for r in search.bm25(queries, corpus).collect()}
+    for cells in (nearest.CELLS, 20):
+        monkeypatch.setattr(nearest, "CELLS", cells)
+        everything = search.bm25_top(queries, corpus, 1000)
+        assert {(r.q, r.item): round(r.score, 6) for r in everything.collect()} == want and len(want) > 150
+        for test in (None, F.col("section") == "a"):
+            pairs = search.bm25(queries, corpus)
+            pairs = pairs if test is None else pairs.join(corpus.where(test).select("item"), "item", "left_semi")
+            assert rows(search.bm25_top(queries, corpus, 4, test)) == rows(search.top(pairs, "q", "score", "item", 4))
+    monkeypatch.setattr(search, "TERMS", 0)  # pairs are sent
+    assert rows(search.bm25_top(queries, corpus, 4)) == rows(search.top(search.bm25(queries, corpus), "q", "score", "item", 4))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.extraction import ingredient_words
+from millrace.sources.scratch import dealt, groups
 
 UNKNOWN = "unknown"
 LEVELS = ("contraindicated", "severe", "moderate", "mild")
@@ -43,7 +44,8 @@ def merged_edges(old: DataFrame, new: DataFrame, latest: bool = False) -> DataFr
     """src, dst, severity: a known severity stays; with latest a known one of new takes its place."""
     o = old.select("src", "dst", F.col("severity").alias("o"), F.lit(None).cast("string").alias("n"))
     n = new.select("src", "dst", F.lit(None).cast("string").alias("o"), F.col("severity").alias("n"))
-    both = o.unionByName(n).groupBy("src", "dst").agg(F.max("o").alias("o"), F.max(F.when(F.col("n") != UNKNOWN, F.col("n"))).alias("n"))
+    both = o.unionByName(n)
+    both = dealt(both, groups(both), "src", "dst").groupBy("src", "dst").agg(F.max("o").alias("o"), F.max(F.when(F.col("n") != UNKNOWN, F.col("n"))).alias("n"))
     known = F.when(F.col("o") != UNKNOWN, F.col("o"))
     return both.select("src", "dst", F.coalesce(*((F.col("n"), known) if latest else (known, F.col("n"))), F.lit(UNKNOWN)).alias("severity"))
 

@@ -10,16 +10,20 @@ from millrace.operators.closeness import close_names
 from millrace.operators.merging import merged
 from millrace.operators.substrings import contains_join
 from millrace.plans.registry import query
+from millrace.sources.scratch import dealt, groups
 
 #: Two parts of one order are an edge; how often decides the severity.
 EDGES = "edges AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n, CASE WHEN count(*) >= 3 THEN 'major' WHEN count(*) = 2 THEN 'moderate' ELSE 'minor' END AS severity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2)"
 LEVEL = "CASE severity WHEN 'major' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END"
 
 
-def edges(t):
+def edges(t, *by: str):
+    """The edges; dealt by src alone, those of a part meet without another exchange."""
     l = t.lineitem.select("l_orderkey", "l_partkey")  # noqa: E741
-    pairs = l.withColumnRenamed("l_partkey", "src").join(l.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("src < dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).withColumn("severity", F.expr("case when n >= 3 then 'major' when n = 2 then 'moderate' else 'minor' end"))
+    n = groups(l)
+    l = dealt(l, n, "l_orderkey")  # noqa: E741
+    pairs = l.withColumnRenamed("l_partkey", "src").join(l.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("src < dst").select("src", "dst")
+    return dealt(pairs, 2 * n, *(by or ("src", "dst"))).groupBy("src", "dst").agg(F.count("*").alias("n")).withColumn("severity", F.expr("case when n >= 3 then 'major' when n = 2 then 'moderate' else 'minor' end"))
 
 
 @query("graph_edges", f"WITH {EDGES} SELECT * FROM edges")
@@ -30,7 +34,7 @@ def graph_edges(t):
 @query("one_hop_top", f"WITH {EDGES} SELECT src, dst, severity, row_number() OVER (PARTITION BY src ORDER BY {LEVEL}, dst) AS rank FROM edges QUALIFY rank <= 5")
 def one_hop_top(t):
     w = W.partitionBy("src").orderBy(F.expr(LEVEL), "dst")
-    return edges(t).select("src", "dst", "severity", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 5")
+    return edges(t, "src").select("src", "dst", "severity", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 5")
 
 
 @query("severity_distribution", f"WITH {EDGES} SELECT severity, count(*) AS n FROM edges GROUP BY 1")
@@ -255,8 +259,11 @@ def edge_in_out_union(t):
 @query("shared_members", "WITH s AS (SELECT DISTINCT l_suppkey AS a, l_partkey FROM lineitem) SELECT s.a, u.a AS b, count(*) AS shared FROM s JOIN s u ON u.l_partkey = s.l_partkey AND s.a < u.a GROUP BY 1, 2")
 def shared_members(t):
     """How many parts any two suppliers share."""
-    s = t.lineitem.select(F.col("l_suppkey").alias("a"), "l_partkey").distinct()
-    return s.join(s.withColumnRenamed("a", "b"), "l_partkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    s = t.lineitem.select(F.col("l_suppkey").alias("a"), "l_partkey")
+    n = groups(s)
+    s = dealt(s, n, "l_partkey").distinct()
+    pairs = s.join(s.withColumnRenamed("a", "b"), "l_partkey").where("a < b").select("a", "b")
+    return dealt(pairs, n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 @query("most_severe_merge", "SELECT o_custkey, min(o_orderpriority) AS worst, min_by(o_orderkey, o_orderpriority || lpad(o_orderkey::VARCHAR, 12, '0')) AS order_id FROM orders GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import patients as P
 from millrace.operators import graph as G
 from millrace.plans.registry import query
+from millrace.sources.scratch import dealt, groups
 
 SEVERITY = "CASE WHEN {n} % 4 = 0 THEN 'unknown' WHEN {n} % 4 = 1 THEN 'mild' WHEN {n} % 4 = 2 THEN 'severe' ELSE 'contraindicated' END"
 OLD = f"old AS (SELECT src, dst, {SEVERITY.format(n='k')} AS severity FROM (SELECT l_partkey AS src, l_suppkey AS dst, min(l_orderkey) AS k FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2))"
@@ -26,6 +27,19 @@ def _new(t):
     return _edges(t, "A", F.max)
 
 
+def _old_and_new(t):
+    """_old and _new out of one exchange of the lines."""
+    l = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_orderkey", "l_returnflag")  # noqa: E741
+    l = dealt(l, groups(l), "src", "dst")  # noqa: E741
+
+    def side(flag: str, pick):
+        of = F.col("l_returnflag") != flag
+        g = l.groupBy("src", "dst").agg(pick(F.when(of, F.col("l_orderkey"))).alias("k"), F.count_if(of).alias("n")).where("n > 0")
+        return g.select("src", "dst", F.expr(SEVERITY.format(n="k")).alias("severity"))
+
+    return side("N", F.min), side("A", F.max)
+
+
 def _merge_sql(first: str, second: str) -> str:
     return f"WITH {OLD}, {NEW} SELECT src, dst, coalesce(nullif({first}.severity, 'unknown'), nullif({second}.severity, 'unknown'), 'unknown') AS severity FROM old FULL JOIN new USING (src, dst)"
 
@@ -33,13 +47,13 @@ def _merge_sql(first: str, second: str) -> str:
 @query("edges_keep_known", _merge_sql("old", "new"))
 def edges_keep_known(t):
     """A known severity stays, an unknown one is replaced."""
-    return G.merged_edges(_old(t), _new(t))
+    return G.merged_edges(*_old_and_new(t))
 
 
 @query("edges_latest_known", _merge_sql("new", "old"))
 def edges_latest_known(t):
     """A known severity of the new edges takes the place of the old one."""
-    return G.merged_edges(_old(t), _new(t), latest=True)
+    return G.merged_edges(*_old_and_new(t), latest=True)
 
 
 @query("node_upsert", "SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.created ELSE o.created END AS created, coalesce(n.name, o.name) AS name FROM (SELECT c_custkey AS id, c_mktsegment AS created, c_name AS name FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey AS id, 'new' AS created, CASE WHEN c_custkey % 5 <> 0 THEN upper(c_mktsegment) END AS name FROM customer WHERE c_custkey % 2 = 0) n ON o.id = n.id")

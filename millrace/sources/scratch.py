@@ -39,3 +39,18 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if cores > 1 and size < SPLIT * cores else df
+
+
+#: Bytes, by the statistics of the plan (those of Parquet files as they are packed), of a group of rows by key.
+GROUP = 1 << 20
+
+
+def groups(df: DataFrame) -> int:
+    """Groups of bounded size that df is dealt into."""
+    return max(1, min(-(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // GROUP), 1 << 15))
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df in n groups by keys, if that is more than the shuffle partitions: their number is fixed in a session, so what a
+    task holds, sorts and counts would grow with the input."""
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

@@ -7,6 +7,7 @@ from millrace.engine import Engine, evaluated, verdict, with_sources
 from millrace.functions import context, extraction, lab_text, patients, questions, sections
 from millrace.operators import checks, closeness, graph, models, search
 from millrace.plans import QUERIES
+from millrace.sources import scratch
 from millrace.streaming import sessions
 
 
@@ -166,3 +167,14 @@ def test_paragraphs_and_headings_are_looked_for_once(spark):
     got = QUERIES["section_parts"](spark, "/root/testdata/sf0.001")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 7  # five headings, the special groups and the paragraphs
     assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["graph_edges", "one_hop_top", "shared_members", "edges_keep_known", "edges_latest_known"])
+def test_groups_of_a_larger_table_are_more_than_the_shuffle_partitions(spark, monkeypatch, name):
+    """A task's memory is that of a group, whose rows are bounded; every exchange of rows counts, not only the first."""
+    few = sorted(QUERIES[name](spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(scratch, "GROUP", 4000)
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted(got.collect()) == few

@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,11 @@ SPACE = "▁"
 #: Longest word that the lattice takes: its boundaries are bits of a number. Longer ones are merged by a queue, each once.
 LONGEST = 48
 #: Bytes of a stretch, but for a longer text, which is one of its own; and the texts of one at most.
-STRETCH, STRETCH_TEXTS = 1 << 23, 1 << 16
+STRETCH, STRETCH_TEXTS = 1 << 24, 1 << 16
 #: Words with their ids that a task packs for their stretches at once.
 ANSWERS = 1 << 19
+#: Of zstd, for texts, words and their ids that are sent.
+LEVEL = 3
 
 
 class Pieces:
@@ -79,13 +82,20 @@ class Pieces:
             out = [k for p in parts for k in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
         return out
 
-    def cuts(self, word: str) -> list[int]:
+    @cached_property
+    def late(self) -> set[str]:
+        """The pieces that the merges of better ranks don't bring to two parts; only these can fit anew after a merge of no
+        better rank. Between the two ends of any other piece the better merges were done before that merge, and had left
+        nothing but the piece's own. The public model has thirteen, runs of space marks that share one rank."""
+        return {p for p, r in self.rank.items() if len(p) > 1 and len(self.cuts(p, r)) != 3}
+
+    def cuts(self, word: str, below: float = float("inf")) -> list[int]:
         """Where a word that is too long for the lattice's bits is cut: a queue of merges, best rank first, leftmost of
-        equal ones."""
+        equal ones; only those of ranks below below."""
         after, before, queue = list(range(1, len(word) + 1)), list(range(-1, len(word))), []
 
         def look(a: int) -> None:
-            if a >= 0 and (b := after[a]) < len(word) and (r := self.rank.get(word[a : after[b]])) is not None:
+            if a >= 0 and (b := after[a]) < len(word) and (r := self.rank.get(word[a : after[b]])) is not None and r < below:
                 heapq.heappush(queue, (r, a, b, after[b]))
 
         for k in range(len(word) - 1):
@@ -126,24 +136,28 @@ def segmented(words: DataFrame, pieces: Pieces) -> DataFrame:
 
     words: word, one row each. The piece table (its size is the model's) is broadcast, so edges stay where their word is.
     An edge fits if both its ends and one place between them are boundaries: its two parts are pieces as they stand. The
-    fold takes the fitting edge of the best rank, leftmost of equal ones, as often as there can be merges."""
-    table = words.sparkSession.createDataFrame([(p, r) for p, r in pieces.rank.items() if len(p) > 1], "piece string, rank long")
+    edges are numbers that sort by rank, then by their beginnings. The fold takes each edge that fits when its turn comes; in
+    words with an edge of a late piece, it takes the first fitting edge of all, at most once for each edge."""
+    table = words.sparkSession.createDataFrame([(p, r, p in pieces.late) for p, r in pieces.rank.items() if len(p) > 1], "piece string, rank long, late boolean")
     size = F.when(F.length("word") <= LONGEST, F.length("word")).otherwise(1)
     spots = words.where("length(word) > 0").select("word", size.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0)))).alias("s"))
     least = F.when(F.col("s") == 0, 1).otherwise(2)  # the first character stands for its word where no piece is found
     spans = spots.select("word", "s", F.explode(F.sequence(least, F.greatest(least, F.least(F.lit(pieces.longest), F.col("n") - F.col("s"))))).alias("l"))
     subs = spans.select("word", "s", "l", F.substring("word", F.col("s") + 1, F.col("l")).alias("piece"))
-    edge = F.when(F.col("rank").isNotNull(), F.struct("rank", "s", (F.col("s") + F.col("l")).alias("e")))
-    edges = subs.join(F.broadcast(table), "piece", "left").where("rank is not null or s = 0 and l = 1").select("word", edge.alias("edge"))
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    inner = "(shiftleft(shiftleft(1L, x.e - x.s - 1) - 1, x.s + 1))"
-    fits = f"(shiftright(m, x.s) & shiftright(m, x.e) & 1) = 1 and bit_count(m & {inner}) = 1"
+    edge = F.col("rank") * 4096 + F.col("s") * 64 + F.col("s") + F.col("l")
+    edges = subs.join(F.broadcast(table), "piece", "left").where("rank is not null or s = 0 and l = 1").select("word", edge.alias("edge"), "late")
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.max("late").alias("late"))
+    start, end = "cast(shiftright(x, 6) & 63 as int)", "cast(x & 63 as int)"
+    inner = f"(shiftleft(shiftleft(1L, {end} - {start} - 1) - 1, {start} + 1))"
+    ends = f"(shiftright(m, {start}) & shiftright(m, {end}) & 1) = 1"
+    fits = f"{ends} and bit_count(m & {inner}) = 1"
+    all_ = "shiftleft(1L, length(word) + 1) - 1"
     # st: the boundaries m, and the edges es whose ends both still are; none are left where none fits
     best = f"slice(filter(st.es, x -> {fits.replace('(m', '(st.m')}), 1, 1)"
-    ends = "(shiftright(m, x.s) & shiftright(m, x.e) & 1) = 1"
     after = f"transform(transform({best}, x -> st.m & ~{inner}), m -> struct(m as m, filter(st.es, x -> {ends}) as es))"
     step = f"coalesce(get({after}, 0), struct(st.m as m, slice(st.es, 1, 0) as es))"
-    mask = f"aggregate(sequence(1, greatest(length(word) - 1, 1)), struct(shiftleft(1L, length(word) + 1) - 1 as m, edges as es), (st, i) -> {step}, st -> st.m)"
+    mask = f"aggregate(edges, struct({all_} as m, edges as es), (st, i) -> {step}, st -> st.m)"
+    mask = f"if(late, {mask}, aggregate(edges, {all_}, (m, x) -> if({fits}, m & ~{inner}, m)))"
     return grouped.select("word", F.expr(f"case when length(word) <= {LONGEST} then {mask} end").alias("mask"))
 
 
@@ -196,18 +210,19 @@ def _asked(units: Callable[[str | None], list[str]]):
 def _strings(values: pa.Array) -> bytes:
     """Strings in one compressed value; null as a length of -1."""
     sizes = pc.fill_null(pc.binary_length(values), -1).to_numpy(zero_copy_only=False).astype(np.int32)
-    joined = "".join(v for v in values.to_pylist() if v).encode() if pa.types.is_string(values.type) else b"".join(v for v in values.to_pylist() if v)
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + joined)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pc.fill_null(values.cast(pa.binary()), b"")), b"")[0].as_py()
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + joined)
 
 
-def _parts(payload: bytes) -> Iterator[bytes | None]:
-    """The values of _strings, as bytes."""
+def _parts(payload: bytes, kind: pa.DataType) -> list:
+    """The values of _strings, as strings or bytes."""
     raw = zstandard.ZstdDecompressor().decompress(payload)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    at = 8 + 4 * n
-    for size in np.frombuffer(raw, np.int32, n, 8).tolist():
-        yield raw[at : at + size] if size >= 0 else None
-        at += max(size, 0)
+    sizes = np.frombuffer(raw, np.int32, n, 8)
+    ends = np.zeros(n + 1, np.int32)
+    np.cumsum(np.maximum(sizes, 0), out=ends[1:])
+    known = pa.array(sizes >= 0)
+    return pa.Array.from_buffers(kind, n, [known.buffers()[1], pa.py_buffer(ends), pa.py_buffer(raw)[8 + 4 * n :]]).to_pylist()
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +260,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def _packed(table):
-    """word, ids (packed, four bytes each) of word, mask."""
+def _packed(table, digest: bool):
+    """word, ids (packed, four bytes each; with digest as _said) of word, mask."""
 
     def run(batches):
         p = table.value
@@ -254,12 +269,20 @@ def _packed(table):
             out = []
             for word, mask in zip(*[c.to_pylist() for c in batch.columns]):
                 cuts = p.cuts(word) if mask is None else [k for k in range(len(word) + 1) if mask >> k & 1]
-                out.append(np.array(p.ids_between(word, cuts), np.int32).tobytes())
+                ids = p.ids_between(word, cuts)
+                out.append(_said(p, word, ids) if digest else np.array(ids, np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["word", "ids"])
 
     return run
 
 
+def _said(p: Pieces, word: str, ids: list[int]) -> bytes:
+    """What a word adds to its texts' digests: its ids, comma-joined; behind them, where some are bytes or decoding doesn't
+    give the word back, a semicolon, the number of bytes, a semicolon, and 1 if it does."""
+    n_bytes, whole = sum([k in p.byte_of for k in ids]), p.decode(ids, bare=True) == word
+    return (",".join(map(str, ids)) + (f";{n_bytes};{int(whole)}" if n_bytes or not whole else "")).encode()
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, digest: bool = False) -> DataFrame:
     """id, ids (array<int>), or with digest: id, n_pieces, n_bytes (pieces that are bytes), ids_sha256 (of the ids,
     comma-joined), round_trip (decoding gives the text back). One row per row of docs.
@@ -273,24 +296,31 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     docs = numbered(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "row").select("id", "text")  # read twice alike
     table, id_type = sc.broadcast(pieces), docs.select("id").limit(0).toArrow().schema.field(0).type
     asked = cut(docs.mapInArrow(lean(_asked(pieces.units)), "stretch bigint, word string"))
-    words = cut(segmented(asked.select("word").groupBy("word").agg(F.lit(1).alias("x")).select("word"), pieces).mapInArrow(lean(_packed(table)), "word string, ids binary"))
+    words = cut(segmented(asked.select("word").groupBy("word").agg(F.lit(1).alias("x")).select("word"), pieces).mapInArrow(lean(_packed(table, digest)), "word string, ids binary"))
     known = cut(asked.join(words.hint("merge"), "word").select("stretch", "word", "ids").mapInArrow(lean(_answers), "stretch bigint, words binary, ids binary"))
     discard(asked, words)
 
     def run(key, left, right):
         p = table.value
         give_back()
-        said = {w.decode(): np.frombuffer(x, np.int32).tolist() for ws, xs in zip(right.column("words").to_pylist(), right.column("ids").to_pylist()) for w, x in zip(_parts(ws), _parts(xs))}
-        texts = [None if t is None else t.decode() for payload in left.column("texts").to_pylist() for t in _parts(payload)]
+        said: dict = {}
+        for ws, xs in zip(right.column("words"), right.column("ids")):
+            said.update(zip(_parts(ws.as_py(), pa.string()), _parts(xs.as_py(), pa.string() if digest else pa.binary())))
+        texts = (t for payload in left.column("texts") for t in _parts(payload.as_py(), pa.string()))
         names = pa.chunked_array([x.values.cast(id_type) for x in left.column("ids") if len(x)], id_type)
         if not digest:
+            said = {w: np.frombuffer(x, np.int32).tolist() for w, x in said.items()}
             ids = [[k for w in p.units(t) for k in said[w]] for t in texts]
             return pa.table({"id": names, "ids": pa.array(ids, pa.list_(pa.int32()))})
-        said = {w: (",".join(map(str, x)), len(x), sum([k in p.byte_of for k in x]), p.decode(x, bare=True) == w) for w, x in said.items()}
+        odd = {w: x.split(";") for w, x in said.items() if ";" in x}
+        said.update((w, x[0]) for w, x in odd.items())
         columns: list[list] = [[], [], [], []]
         for t in texts:
-            ids, counts, n_bytes, whole = zip(*[said[w] for w in p.units(t)]) if t else ((), (), (), ())
-            for c, x in zip(columns, (sum(counts), sum(n_bytes), hashlib.sha256(",".join(ids).encode()).hexdigest(), all(whole) and SPACE not in (t or ""))):
+            words = p.units(t)
+            ids = ",".join(map(said.__getitem__, words))
+            some = [] if odd.keys().isdisjoint(words) else [odd[w] for w in words if w in odd]
+            whole = all(x[2] == "1" for x in some) and SPACE not in (t or "")
+            for c, x in zip(columns, (ids.count(",") + bool(ids), sum(int(x[1]) for x in some), hashlib.sha256(ids.encode()).hexdigest(), whole)):
                 c.append(x)
         types = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
         return pa.table({"id": names} | {n: pa.array(c, k) for n, c, k in zip(("n_pieces", "n_bytes", "ids_sha256", "round_trip"), columns, types)})

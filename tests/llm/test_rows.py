@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import hashlib
 import math
 import re
 import sys
@@ -298,3 +299,34 @@ def test_pipeline_keeps_the_rows_of_plain_stages(spark, tmp_path):
     assert not any(item in t for _, t in left["decontamination"]) and (64, item) not in left["decontamination"]
     end = corpus_pipeline.run(spark, str(tmp_path))
     assert end.count() == len(left["decontamination"]) and end.where("not round_trip").isEmpty()
+
+
+def test_fold_takes_late_pieces_and_looks_at_others_once(spark):
+    public = sentence_pieces.Pieces()
+    assert public.late and all(set(p) == {sentence_pieces.SPACE} for p in public.late)
+    odd = sentence_pieces.Pieces.__new__(sentence_pieces.Pieces)
+    odd.rank, odd.longest = {"abc": 0, "bc": 1, "de": 2, "cde": 3, "aa": 4}, 3  # abc fits only when bc was taken, which is worse
+    assert odd.late == {"abc"}
+    for pieces, words in ((public, ["▁" * k + w for k in (0, 1, 2, 3, 5, 9, 17) for w in ("", "aaaa", "internationally", "zzqé")]), (odd, ["abc", "abcde", "bcde", "aaaaa", "aabcaa", "xyz", "dede"])):
+        words = [w for w in words if w]
+        got = {r.word: r.mask for r in sentence_pieces.segmented(spark.createDataFrame([(w,) for w in words], "word string"), pieces).collect()}
+        assert {w: [k for k in range(len(w) + 1) if m >> k & 1] for w, m in got.items()} == {w: pieces.cuts(w) for w in words}
+
+
+def test_said_words_keep_bytes_and_marks(spark):
+    p = sentence_pieces.Pieces()
+    assert ";" not in sentence_pieces._said(p, "▁the", p.ids_of(["▁the"])).decode()
+    ids = p.ids_of(["\U0001f9ff"])
+    assert sentence_pieces._said(p, "\U0001f9ff", ids).decode() == ",".join(map(str, ids)) + f";{len(ids)};1"
+    assert sentence_pieces._parts(sentence_pieces._strings(pa.array(["a", None, "", "né"])), pa.string()) == ["a", None, "", "né"]
+
+
+def test_digests_are_the_library_s_with_spaces_anywhere(spark):
+    m = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    texts = [None, "", " ", "a b c a b d", "a  b", " a b", "a b ", "b \U0001f9ff\U0001f9ff b \U0001f9ff", "x▁y z", "1. one\ntwo, (three) -- 4.5\tsix a b", "\U0001f9ff  \U0001f9ff"] * 3
+    got = {r.doc_id: r for r in sentence_pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), digest=True).collect()}
+    for k, t in enumerate(texts):
+        ids = m.encode(t or "")
+        digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        want = (len(ids), sum(map(m.is_byte, ids)), digest, "▁" not in (t or ""))
+        assert (got[k].n_pieces, got[k].n_bytes, got[k].ids_sha256, got[k].round_trip) == want, t

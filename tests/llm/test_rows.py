@@ -155,6 +155,34 @@ def test_line_dedup_of_crowded_blocks(spark):
     assert all(got[k].kept and not got[165 + k].kept for k in range(160))
 
 
+def test_line_dedup_writes_keys_of_several_nodes_only(spark, monkeypatch):
+    """Most keys are of one node; tables of them, and blocks of the same nodes, took the disk. Crowded blocks give the same
+    groups whether all their nodes are compared or those with a rare piece in common."""
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    head, own = " ".join(word() for _ in range(16)), [[word() for _ in range(10)] for _ in range(20)]
+    lines = [f"{head} {' '.join(w)}" for w in own] + [f"{head} {' '.join(x[:2] + 'q' + x[3:] for x in w)}" for w in own]
+    lines += [" ".join(word() for _ in range(12)) for _ in range(40)]
+    d, tables, cut = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), [], line_dedup.cut
+
+    def watched(df):
+        out = cut(df)
+        if {"k", "node"} <= set(out.columns) and "piece" not in out.columns:
+            tables.append(out.groupBy("k").agg(F.sort_array(F.collect_set("node")).alias("nodes")).collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", watched)
+    got = []
+    for small in (2048, 8):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        got.append({r.doc_id: (r.kept, r.group_id) for r in line_dedup.duplicate_lines(d).collect()})
+    assert tables and all(len(r.nodes) > 1 for rows in tables for r in rows)
+    shared = [[tuple(r.nodes) for r in rows] for rows in tables]
+    assert any(len(rows) and len(set(rows)) == len(rows) for rows in shared)
+    for of in got:
+        assert [k for k in range(80) if not of[k][0]] == list(range(20, 40)) and all(of[k][1] == of[20 + k][1] for k in range(20))
+
+
 def test_line_dedup_rows_and_names(spark):
     line = "a line that is long enough to be held against others here"
     d = spark.createDataFrame([(1, line, "x"), (1, line, "y"), (None, f"{line}\nown", "z"), (5, None, "n")], "doc_id long, text string, row_number string")

@@ -35,7 +35,7 @@ LONGEST = 48
 #: Bytes of a stretch, but for a longer text, which is one of its own; and the texts of one at most.
 STRETCH, STRETCH_TEXTS = 1 << 24, 1 << 16
 #: Words with their ids that a task packs for their stretches at once.
-ANSWERS = 1 << 19
+ANSWERS = 1 << 18
 #: Of zstd, for texts, words and their ids that are sent.
 LEVEL = 3
 
@@ -256,6 +256,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows >= ANSWERS:
             yield from out()
             held, rows = [], 0
+            give_back()
     if rows:
         yield from out()
 
@@ -301,6 +302,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     discard(asked, words)
 
     def run(key, left, right):
+        out = encoded(left, right)
+        give_back()
+        return out
+
+    def encoded(left, right):
         p = table.value
         give_back()
         said: dict = {}

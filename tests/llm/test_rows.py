@@ -260,6 +260,17 @@ def test_perplexity_is_that_of_plain_counts(spark):
         assert math.isclose(got[0], want, rel_tol=1e-5)
 
 
+def test_lookup_finds_keys_in_little_memory():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 4097, 300_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))  # even ones
+        if n > 1:
+            keys[0] = 0
+        table, order = common.Lookup(keys), rng.permutation(len(keys))
+        assert (table(keys[order]) == order).all() and (table(keys + np.uint64(1)) == -1).all()
+        assert sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray)) <= 64 + 24 * len(keys)
+
+
 def test_quality_takes_clashing_names_and_ties(spark):
     rows = [(k, "t " * (k % 3 + 1), "en", 1, 2) for k in range(9)] + [(None, None, None, 1, 2), (3, "x" * 50_000, "en", 1, 2)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, t_id int, t_held int")

@@ -18,6 +18,8 @@ from millrace.llm.common import give_back
 
 #: Numbers that are dealt out at once, and that a shard has on average.
 STRETCH, SHARD = 1 << 19, 3 << 18
+#: Shards that a task works on, one after the other, where there are enough for all cores.
+SHARDS_A_TASK = 4
 
 
 def shards_for(n: int) -> int:
@@ -25,8 +27,10 @@ def shards_for(n: int) -> int:
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of equal length and of 1, 4 or 8 bytes a number, byte planes apart, so that small numbers pack well."""
+    """Columns of equal length and of 1, 4 or 8 bytes a number, byte planes apart, so that small numbers pack well. The
+    first column (integers, such as rows in their order) goes as the differences of each from the one before."""
     n = len(columns[0])
+    columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
     head = np.array([n, len(columns)], np.int64).tobytes() + b"".join(c.dtype.str.encode().ljust(4) for c in columns)
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns]
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
@@ -41,6 +45,7 @@ def unpack(payload: bytes) -> list[np.ndarray]:
         planes = np.frombuffer(raw, np.uint8, n * size, pos).reshape(size, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
         pos += n * size
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
     return out
 
 
@@ -72,8 +77,10 @@ class Dealer:
 
 
 def dealt(df: DataFrame, shards: int) -> DataFrame:
-    """df (with columns shard and kind) with the rows of each shard together, by kind."""
-    return df.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    """df (with columns shard and kind) with the rows of each shard together, by kind. A task has several shards, of which
+    it holds one at once."""
+    tasks = max(min(shards, 2 * df.sparkSession.sparkContext.defaultParallelism), -(-shards // SHARDS_A_TASK))
+    return df.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:

@@ -31,6 +31,8 @@ END, START = np.uint64(0x5E4D0F7E9A3B1C27), np.uint64(0x1B2A3C4D5E6F7081)
 WORD_SHARE, ORDER = 2.5e-7, 3
 #: Events from which on a word with a short code counts as hot. No result rests on it.
 HOT = 1 << 18
+#: Sums by document that a task holds at once.
+MERGED = 3 << 18
 #: An n-gram's count less this goes to its arc, the rest of the mass to the failure arc.
 DISCOUNT = 0.6
 
@@ -246,19 +248,46 @@ def _arcs(history: tuple, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 
 
 class Sums:
-    """Sums by document, as cells for the documents' shards: row, known, base, score."""
+    """Sums by document, as cells for the documents' shards: row, known, base, score. Those of all of a task's shards are
+    put together, as far as MERGED sums go."""
 
     def __init__(self, out: Out, shards: int):
-        self.out, self.shards, self.dealer = out, shards, Dealer(shards)
+        self.out, self.shards, self.dealer, self.parts, self.size = out, shards, Dealer(shards), [], 0
 
     def add(self, row: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows, of = np.unique(row, return_inverse=True)
-        sums = [np.bincount(of, x, len(rows)) for x in (known, base, score)]
-        yield from self.out.cells(PART, self.dealer.add(rows % self.shards, [rows, sums[0].astype(np.int64), *sums[1:]]))
+        self._keep(self._summed(row, known, base, score))
+        if self.size > MERGED:
+            self._merge()
+            if self.size > MERGED // 2:
+                yield from self._deal()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self._merge()
+            yield from self._deal()
         yield from self.out.cells(PART, self.dealer.flush())
 
+    @staticmethod
+    def _summed(row: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        rows, of = np.unique(row, return_inverse=True)
+        return [rows, *(np.bincount(of, x, len(rows)) for x in values)]
+
+    def _keep(self, part: list[np.ndarray]) -> None:
+        if len(part[0]):
+            self.parts.append(part)
+            self.size += len(part[0])
+
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            columns = [np.concatenate(c) for c in zip(*self.parts)]
+            self.parts, self.size = [], 0
+            self._keep(self._summed(*columns))
+
+    def _deal(self) -> Iterator[pa.RecordBatch]:
+        rows, known, base, score = self.parts.pop()
+        self.size = 0
+        yield from self.out.cells(PART, self.dealer.add(rows % self.shards, [rows, np.rint(known).astype(np.int64), base, score]))
+
 
 class Ends:
     """What is done with events that have come to the empty history: those of words with a short code are summed, the
@@ -410,7 +439,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts, root = of(pairs, PART), of(pairs, ROOT)
     if hot.any():
         onward = dealt(of(pairs, NEXT), hot_shards)
-        got = onward.mapInArrow(hot_states, "v bigint, total bigint, kinds bigint").groupBy("v").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).orderBy("v").toArrow()  # words with a short code only
+        sums = cut(onward.mapInArrow(hot_states, "v bigint, total bigint, kinds bigint").groupBy("v").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")))  # shuffled cells go
+        got = sums.orderBy("v").toArrow()  # words with a short code only
         states = spark.sparkContext.broadcast([got[c].to_numpy() for c in ("v", "total", "kinds")])
         hots = cut(onward.mapInArrow(at_hot_words(shared, kind, states, (root_shards, shards)), schema))
         parts, root = parts.unionByName(of(hots, PART)), root.unionByName(of(hots, ROOT))

@@ -14,7 +14,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from millrace.llm import common, decontaminate, exact_dedup, line_dedup, near_dedup, quality, sentence_pieces, sharding, warc
+from millrace.llm import cells, common, decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, quality, sentence_pieces, sharding, warc
 
 sys.path.insert(0, str(Path(__file__).parent.parent.parent))
 
@@ -260,6 +260,32 @@ def test_perplexity_is_that_of_plain_counts(spark):
         assert math.isclose(got[0], want, rel_tol=1e-5)
 
 
+def test_cells_of_rows_in_order_are_small():
+    rng = np.random.default_rng(5)
+    for kind in (np.int64, np.uint64):
+        rows = np.sort(rng.integers(0, 1 << 20, 1 << 18)).astype(kind) + kind(5 << 36)
+        other = rng.integers(-(1 << 62), 1 << 62, 1 << 18)
+        for column in (rows, other.view(kind), rows[:1], rows[:0]):
+            got = cells.unpack(cells.pack([column, other[: len(column)]]))
+            assert (got[0] == column).all() and got[0].dtype == kind and (got[1] == other[: len(column)]).all()
+        assert len(cells.pack([rows])) < 0.5 * len(rows)  # a byte or more each before
+
+
+def test_sums_of_several_shards_are_one_for_each_document(monkeypatch):
+    monkeypatch.setattr(lm_score, "MERGED", 3000)
+    sums, got, rng = lm_score.Sums(lm_score.Out(pa.int64()), 3), [], np.random.default_rng(6)
+    want = np.zeros((1000, 3))
+    for _ in range(8):  # shards, each with events of all documents
+        row, values = rng.permutation(np.repeat(np.arange(1000), 2)), rng.integers(0, 9, (3, 2000))
+        np.add.at(want, row, values.T)
+        got += sums.add(row, *values)
+    got += sums.flush()
+    rows = [np.stack(cells.unpack(b.column(2)[0].as_py()), 1) for b in got]
+    assert all((r[:, 0] % 3 == b.column(0)[0].as_py()).all() for r, b in zip(rows, got))
+    rows = np.concatenate(rows)
+    assert len(rows) == 1000 and (rows[np.argsort(rows[:, 0]), 1:] == want).all()
+
+
 def test_lookup_finds_keys_in_little_memory():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 4097, 300_000):

@@ -95,19 +95,35 @@ def profile_summaries(t):
 
 
 # --- questions ----------------------------------------------------------------------------------------------------------
-_ASKED = ["Parol ile aspirin birlikte kullanılabilir mi?", "KBY hastasında doz ayarı gerekir mi?", "Miyastenia gravis hastasında risk var mı?", "Bu ilaç hangi firmanın?"]
-_ASK = "CASE conv_id % 4 " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(_ASKED)) + " END"
-
-
-@query("question_plans", f"""WITH c AS (SELECT DISTINCT conv_id AS id, conv_id % 4 AS k, conv_id % 90 AS age, (conv_id % 120 + 0.5)::DOUBLE AS gfr, {_ASK} AS asked FROM conversations),
-x AS (SELECT *, ['etkilesim,kontrendikasyon', 'doz', 'uyari', 'genel'][k + 1] AS kinds, ['4.5,4.4,4.3', '4.2,4.3,4.4,4.5', '4.4,4.3,4.5', '4.3,4.4,4.5'][k + 1] || CASE WHEN k <> 1 AND (gfr < 60 OR age >= 65) THEN ',4.2' ELSE '' END AS sections,
- concat_ws(' ', asked, CASE WHEN k = 1 THEN 'kronik böbrek yetmezliği renal yetmezlik' END, CASE WHEN gfr < 60 THEN 'böbrek yetmezliği GFR ' || gfr END, CASE WHEN age >= 65 THEN 'geriyatrik yaşlı hasta ' || age || ' yaş' WHEN age < 18 THEN 'pediyatrik çocuk hasta ' || age || ' yaş' END, CASE WHEN k = 2 THEN 'özel kullanım uyarısı Miyastenia gravis dikkatli kullanım' END) AS query FROM c)
-SELECT id, unnest(CASE WHEN id % 2 = 0 THEN ['A', 'B'] ELSE [NULL] END) AS name, kinds, sections, query, 5::BIGINT AS n_results FROM x""")
+_ASKED = [
+    "Parol ile aspirin birlikte kullanılabilir mi?", "KBY hastasında doz ayarı gerekir mi?", "Miyastenia gravis hastasında risk var mı?", "Bu ilaç hangi firmanın?",
+    "Gebelikte kullanım hakkında bilgi", "Doz aşımı durumunda ne yapılır, zehirlenme belirtileri?", "kanama riski yan etki olarak görülür mü", "AF ve KAH öyküsü olan hastada etkileşim?",
+]
+_ASK = "CASE conv_id % 8 " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(_ASKED)) + " END"
+
+
+@query("question_plans", f"""WITH c AS (SELECT DISTINCT conv_id AS id, conv_id % 8 AS k, conv_id % 7 AS j, CASE WHEN conv_id % 7 <> 4 THEN conv_id % 90 END AS age, CASE WHEN conv_id % 7 <> 2 THEN (conv_id % 120 + 0.5)::DOUBLE END AS gfr, {_ASK} AS asked FROM conversations),
+f AS (SELECT *, coalesce(gfr < 60, false) AS renal, j IN (1, 4) AS hepatic, j IN (2, 3) AS mother, CASE WHEN j = 4 THEN true ELSE age >= 65 END AS old, CASE WHEN j = 4 THEN false ELSE age < 18 END AS young,
+ [['etkilesim', 'kontrendikasyon'], ['doz'], ['uyari'], [], ['gebelik_laktasyon'], ['doz', 'doz_asimi'], ['yan_etki', 'uyari'], ['etkilesim']][k + 1] AS said FROM c),
+g AS (SELECT *, list_filter(['etkilesim', 'kontrendikasyon', 'doz', 'gebelik_laktasyon', 'yan_etki', 'uyari', 'doz_asimi'], lambda x: list_contains(said, x) OR (mother AND x = 'gebelik_laktasyon')) AS own FROM f),
+h AS (SELECT *, CASE WHEN len(own) = 0 THEN ['genel'] ELSE own END AS kinds FROM g),
+x AS (SELECT *, CASE WHEN k = 2 THEN ['4.4'] ELSE [] END || flatten(list_transform(kinds, lambda x: CASE x WHEN 'etkilesim' THEN ['4.5', '4.4'] WHEN 'kontrendikasyon' THEN ['4.3', '4.4'] WHEN 'doz' THEN ['4.2'] WHEN 'gebelik_laktasyon' THEN ['4.6', '4.3'] WHEN 'yan_etki' THEN ['4.8', '4.4'] WHEN 'uyari' THEN ['4.4', '4.3'] WHEN 'doz_asimi' THEN ['4.9'] ELSE [] END))
+ || ['4.3', '4.4', '4.5'] || CASE WHEN renal OR hepatic THEN ['4.2', '4.4'] ELSE [] END || CASE WHEN mother THEN ['4.6'] ELSE [] END || CASE WHEN old THEN ['4.2'] ELSE [] END AS places,
+ concat_ws(' ', asked, CASE k WHEN 1 THEN 'kronik böbrek yetmezliği renal yetmezlik' WHEN 7 THEN 'atriyal fibrilasyon aritmisi koroner arter hastalığı iskemik kalp' END, CASE WHEN renal THEN 'böbrek yetmezliği GFR ' || gfr END, CASE j WHEN 1 THEN 'karaciğer yetmezliği Child-Pugh B' WHEN 4 THEN 'karaciğer yetmezliği Child-Pugh C' END,
+ CASE WHEN old THEN 'geriyatrik yaşlı hasta ' || coalesce(age, 0) || ' yaş' WHEN young THEN 'pediyatrik çocuk hasta ' || age || ' yaş' END, CASE j WHEN 2 THEN 'gebelik hamile' WHEN 3 THEN 'laktasyon emzirme' END, CASE WHEN j = 1 AND list_contains(kinds, 'etkilesim') THEN 'ilaç etkileşimi ASPIRIN' END,
+ CASE WHEN k = 6 THEN 'yan etki istenmeyen etki advers reaksiyon güvenlilik profili kanama riski hemoraji' END, CASE WHEN k = 2 THEN 'özel kullanım uyarısı Miyastenia gravis dikkatli kullanım' END,
+ CASE WHEN k IN (0, 1, 5) THEN CASE j WHEN 1 THEN 'karaciğer enzim yüksekliği hepatotoksisite' WHEN 2 THEN 'böbrek fonksiyon bozukluğu kreatinin yüksek' WHEN 5 THEN 'diyabet glisemik kontrol bozuk' WHEN 6 THEN 'hipokalemi potasyum düşük' END END) AS query FROM h)
+SELECT id, unnest(CASE WHEN id % 2 = 0 THEN ['A', 'B'] ELSE [NULL] END) AS name, array_to_string(kinds, ',') AS kinds, array_to_string(list_filter(places, lambda s, i: list_position(places, s) = i), ',') AS sections, query, 5::BIGINT AS n_results FROM x""")
 def question_plans(t):
-    """Kinds, sections and the enriched query of a question in each conversation, beside a profile."""
+    """Kinds, sections and the enriched query of a question in each conversation, beside a profile: all eight questions and
+    what the profiles of the literal rows have, dealt by number."""
     d = t.conversations.select("conv_id").distinct()
-    none = "cast(null as array<string>)"
-    profile = f"named_struct('age', cast(conv_id % 90 as int), 'sex', cast(null as string), 'weight', cast(null as double), 'gfr', cast(conv_id % 120 as double) + 0.5, 'child_pugh', cast(null as string), 'drugs', {none}, 'allergies', {none}, 'indications', {none}, 'pregnant', false, 'nursing', false, 'labs', cast(null as map<string,double>), 'notes', cast(null as string), 'pediatric', cast(null as boolean), 'geriatric', cast(null as boolean))"
+    none, j = "cast(null as array<string>)", "conv_id % 7"
+    labs = f"case {j} when 1 then map('ALT', 130d, 'K', 5.6d, 'X', 1d) when 2 then map('Kreatinin', 1.5d, 'Na', 130d, 'INR', 2.4d) when 3 then map('Trombosit', 50d, 'Hemoglobin', 8.1d, 'GGT', 61d, 'ALP', 360d) when 5 then map('HbA1c', 9d, 'Bilirubin', 1.9d, 'AST', 40d) when 6 then map('K', 3.5d) end"
+    profile = (
+        f"named_struct('age', cast(case when {j} != 4 then conv_id % 90 end as int), 'sex', cast(null as string), 'weight', cast(null as double), 'gfr', case when {j} != 2 then cast(conv_id % 120 as double) + 0.5 end, 'child_pugh', case {j} when 1 then 'B' when 3 then 'A' when 4 then 'C' end, "
+        f"'drugs', case when {j} = 1 then array('ASPIRIN') end, 'allergies', {none}, 'indications', {none}, 'pregnant', {j} = 2, 'nursing', {j} = 3, 'labs', {labs}, 'notes', cast(null as string), 'pediatric', case when {j} = 4 then false end, 'geriatric', case when {j} = 4 then true end)"
+    )
     q = d.select(_id("conv_id"), F.expr(_ASK).alias("question"), F.expr(profile).cast(P.PROFILE).alias("profile"), F.expr("case when conv_id % 2 = 0 then array('A', 'B') end").alias("targets"))
     return Q.search_plans(q).select("id", "name", F.array_join("kinds", ",").alias("kinds"), F.array_join("sections", ",").alias("sections"), "query", F.col("n_results").cast("long").alias("n_results"))
 

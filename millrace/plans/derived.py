@@ -161,13 +161,18 @@ def verdict_levels(t):
 
 
 # --- free texts ---------------------------------------------------------------------------------------------------------
-CONTEXT = f"CAST(c_custkey % 130 AS STRING) || ' yaşında ' || {_SEX} || ' hasta, ' || CAST(c_custkey % 400 AS STRING) || ' kg, GFR ' || CAST(c_custkey % 150 AS STRING) || ', ALT: 60. Varfarin kullanıyor. Hastaya klaritromisin yazabilir miyim?'"
+CONTEXT = (
+    "CASE c_custkey % 17 WHEN 14 THEN 'Gebe kadın hasta, penisilin alerjisi var. Hipertansiyon için ramipril eklemek istiyorum.' WHEN 15 THEN CAST(c_custkey % 130 AS STRING) || ' yaş çocuk hasta Child-Pugh b siroz. Mevcut ilaçları: metformin, aspirin ve insülin.' WHEN 16 THEN 'yaşı bilinmiyor' "
+    f"ELSE CAST(c_custkey % 130 AS STRING) || ' yaşında ' || {_SEX} || ' hasta, ' || CAST(c_custkey % 400 AS STRING) || ' kg, GFR ' || CAST(c_custkey % 150 AS STRING) || ', ALT: 60. Varfarin kullanıyor. Hastaya klaritromisin yazabilir miyim?' END"
+)
 
 
-@query("patient_context", f"""WITH x AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 130 BETWEEN 1 AND 119 THEN c_custkey % 130 END AS age, {_SEX} AS sex, CASE WHEN c_custkey % 400 > 10 AND c_custkey % 400 < 300 THEN (c_custkey % 400)::DOUBLE END AS weight, (c_custkey % 150)::DOUBLE AS gfr FROM customer)
-SELECT id, age, sex, weight, gfr, gfr < 60 AS renal, false AS hepatic, NULL::VARCHAR AS child_pugh, false AS pregnant, false AS nursing, coalesce(age < 18, false) AS pediatric, coalesce(age >= 65, false) AS geriatric, 'ALT' AS labs, '' AS diagnoses, '' AS allergies, 'klaritromisin' AS target, 'Varfarin' AS current, 'Hastaya klaritromisin yazabilir miyim?' AS question FROM x""")
+@query("patient_context", f"""WITH x AS (SELECT c_custkey AS id, greatest(c_custkey % 17 - 13, 0) AS k, CASE WHEN c_custkey % 130 BETWEEN 1 AND 119 THEN c_custkey % 130 END AS n, {_SEX} AS s, CASE WHEN c_custkey % 400 > 10 AND c_custkey % 400 < 300 THEN (c_custkey % 400)::DOUBLE END AS w, (c_custkey % 150)::DOUBLE AS g, {CONTEXT} AS said FROM customer),
+y AS (SELECT *, CASE WHEN k IN (0, 2) THEN n END AS age, CASE k WHEN 0 THEN s WHEN 1 THEN 'kadın' END AS sex, CASE WHEN k = 0 THEN w END AS weight, CASE WHEN k = 0 THEN g END AS gfr FROM x)
+SELECT id, age, sex, weight, gfr, coalesce(gfr < 60, false) AS renal, k = 2 AS hepatic, CASE WHEN k = 2 THEN 'B' END AS child_pugh, false AS pregnant, false AS nursing, k = 2 OR coalesce(age < 18, false) AS pediatric, coalesce(age >= 65, false) AS geriatric, CASE WHEN k = 0 THEN 'ALT' ELSE '' END AS labs, CASE WHEN k = 1 THEN 'Hipertansiyon' ELSE '' END AS diagnoses,
+ CASE WHEN k = 1 THEN 'penisilin' ELSE '' END AS allergies, ['klaritromisin', 'ramipril eklemek', NULL, NULL][k + 1] AS target, ['Varfarin', '', 'metformin,aspirin,insülin', ''][k + 1] AS current, CASE WHEN k = 0 THEN 'Hastaya klaritromisin yazabilir miyim?' ELSE said END AS question FROM y""")
 def patient_context(t):
-    """What a free text says of a patient, one for each customer."""
+    """What a free text says of a patient, one of the four kinds of text for each customer."""
     d = spread(t.customer.select("c_custkey")).select(F.col("c_custkey").alias("id"), C.context(F.expr(CONTEXT)).alias("c")).select("id", "c.*")
     join = lambda c: F.array_join(c, ",").alias(c)
     return d.select(

@@ -24,3 +24,9 @@ def test_plans_are_made_for_all_kinds_and_profiles(spark):
     assert {k for r in rows for k in r.kinds.split(",")} == {"etkilesim", "kontrendikasyon", "doz", "gebelik_laktasyon", "yan_etki", "uyari", "doz_asimi", "genel"}
     for said in ("Child-Pugh C", "gebelik hamile", "laktasyon emzirme", "ilaç etkileşimi ASPIRIN", "hemoraji", "atriyal", "hepatotoksisite", "kreatinin yüksek", "glisemik", "potasyum düşük"):
         assert any(said in r.query for r in rows), said
+
+
+def test_patients_have_all_kinds_of_context(spark):
+    rows = both(spark, "patient_context")
+    seen = {(r.target, r.current, r.diagnoses, r.allergies, r.child_pugh) for r in rows}
+    assert seen == {("klaritromisin", "Varfarin", "", "", None), ("ramipril eklemek", "", "Hipertansiyon", "penisilin", None), (None, "metformin,aspirin,insülin", "", "", "B"), (None, "", "", "", None)}

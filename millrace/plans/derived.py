@@ -198,21 +198,28 @@ def names_in_texts(t):
 
 _LIMIT = "CAST(c_custkey % 90 + 1 AS STRING)"
 _CATEGORY = "substring('ABCDX', CAST(c_custkey % 5 + 1 AS INT), 1)"
-FACTS = f"CASE c_custkey % 4 WHEN 0 THEN 'Varfarin ile birlikte kullanılmamalıdır. GFR < ' || {_LIMIT} || ' mL/dak ise kontrendikedir. Aktif peptik ülseri olan hastalarda. CYP3A4 ile metabolize olur.' WHEN 1 THEN 'Kreatinin klerensi ' || {_LIMIT} || '-' || CAST(c_custkey % 90 + 31 AS STRING) || ' arasında doz azaltılmalıdır. CYP2D6 inhibitörü. Gebelik kategorisi: ' || {_CATEGORY} WHEN 2 THEN 'Gebelikte kullanılmamalıdır. Klinik önemi sınırlı.' ELSE '' END"
-_OF = ["asetilsalisilik asit 100 mg", "metoprolole eşdeğer metoprolol suksinat", "klopidogrele eşdeğer klopidogrel hidrojen sülfat"]
-_INGREDIENT = "CASE c_custkey % 4 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_OF)) + " END"
+_KIND = "c_custkey % 7 % 5"
+FACTS = (
+    f"CASE {_KIND} WHEN 0 THEN 'Varfarin ile birlikte kullanılmamalıdır. GFR < ' || {_LIMIT} || ' mL/dak ise kontrendikedir. Aktif peptik ülseri olan hastalarda. CYP3A4 ile metabolize olur.' WHEN 1 THEN 'Kreatinin klerensi ' || {_LIMIT} || '-' || CAST(c_custkey % 90 + 31 AS STRING) || ' arasında doz azaltılmalıdır; GFR 45 ila <60. CYP2D6 inhibitörü. Gebelik kategorisi: ' || {_CATEGORY} "
+    "WHEN 2 THEN 'Gebelikte kullanılmamalıdır. Klinik önemi sınırlı.' WHEN 4 THEN 'Rifampisin indükleyici etki gösterir, CYP 3A4 indükler. Digoksin inhibitör birlikte. Böbrek  yetmezliği ve astım; BÖBREK YETMEZLİĞİ.' ELSE '' END"
+)
+_OF = ["asetilsalisilik asit 100 mg", "metoprolole eşdeğer metoprolol suksinat", "klopidogrele eşdeğer klopidogrel hidrojen sülfat", None, "Parasetamol 500 mg Klorfeniramin maleat"]
+_INGREDIENT = f"CASE {_KIND} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_OF) if x) + " END"
+_SUBJECT = f"CASE {_KIND} WHEN 0 THEN 'ASPIRIN 100 MG' WHEN 1 THEN 'BELOC' WHEN 2 THEN 'X' WHEN 3 THEN 'Y' ELSE 'Z' END"
 
 
-@query("text_facts", f"""WITH x AS (SELECT c_custkey AS id, c_custkey % 4 AS k, c_custkey % 90 + 1 AS n, {_CATEGORY} AS cat FROM customer)
-SELECT id, ['contraindicated', 'moderate', 'contraindicated', 'unknown'][k + 1] AS severity, ['peptik ülseri', 'gebelik', 'gebelik', ''][k + 1] AS conditions, CASE WHEN k = 0 THEN 'Varfarin' ELSE '' END AS mentions, CASE k WHEN 0 THEN '< ' || n || '.0 contraindicated' WHEN 1 THEN '< ' || n || '.0 ' || (n + 30) || '.0 dose_reduction' ELSE '' END AS doses,
- ['CYP3A4 substrate', 'CYP2D6 inhibitor', '', ''][k + 1] AS roles, CASE k WHEN 1 THEN cat WHEN 2 THEN 'X' END AS category, ['asetilsalisilik', 'suksinat; metoprolol', 'klopidogrel', NULL][k + 1] AS ingredients FROM x""")
+@query("text_facts", f"""WITH x AS (SELECT c_custkey AS id, {_KIND} AS k, c_custkey % 90 + 1 AS n, {_CATEGORY} AS cat FROM customer)
+SELECT id, ['contraindicated', 'moderate', 'contraindicated', 'unknown', 'unknown'][k + 1] AS severity, ['peptik ülseri', 'gebelik', 'gebelik', '', 'böbrek yetmezliği; astım; böbrek yetmezli' || chr(775) || 'ği' || chr(775)][k + 1] AS conditions, ['Varfarin', '', '', '', 'Digoksin inhibitör'][k + 1] AS mentions,
+ CASE k WHEN 0 THEN '< ' || n || '.0 contraindicated' WHEN 1 THEN '< ' || n || '.0 ' || (n + 30) || '.0 dose_reduction' || CASE WHEN n = 45 THEN '' ELSE '; < 45.0 60.0 dose_reduction' END ELSE '' END AS doses,
+ ['CYP3A4 substrate', 'CYP2D6 inhibitor', '', '', 'CYP3A4 inhibitor'][k + 1] AS roles, CASE k WHEN 1 THEN cat WHEN 2 THEN 'X' END AS category, ['asetilsalisilik', 'suksinat; metoprolol', 'klopidogrel', NULL, 'parasetamol; klorfeniramin'][k + 1] AS ingredients FROM x""")
 def text_facts(t):
-    """Severity, conditions, mentions, dose limits, enzyme roles, category and ingredient words of a text for each customer."""
+    """Severity, conditions, mentions, dose limits, enzyme roles, category and ingredient words of a text for each customer,
+    one of five kinds."""
     x, join = F.col("x"), lambda c: F.array_join(c, "; ")
     doses = F.transform(E.dose_adjustments(x), lambda d: F.concat_ws(" ", d["op"], d["value"].cast("string"), d["upper"].cast("string"), d["kind"]))
     roles = F.transform(E.enzyme_roles(x), lambda r: F.concat_ws(" ", r["enzyme"], r["role"]))
-    return spread(t.customer.select("c_custkey")).select(_id("c_custkey"), F.expr(FACTS).alias("x"), F.expr(_INGREDIENT).alias("ingredient")).select(
-        "id", E.severity(x, F.lit("varfarin")).alias("severity"), join(E.conditions(x)).alias("conditions"), join(E.mentions(x, F.lit("ASPIRIN 100 MG"))).alias("mentions"), join(doses).alias("doses"), join(roles).alias("roles"),
+    return spread(t.customer.select("c_custkey")).select(_id("c_custkey"), F.expr(FACTS).alias("x"), F.expr(_INGREDIENT).alias("ingredient"), F.expr(_SUBJECT).alias("name")).select(
+        "id", E.severity(x, F.lit("varfarin")).alias("severity"), join(E.conditions(x)).alias("conditions"), join(E.mentions(x, F.col("name"))).alias("mentions"), join(doses).alias("doses"), join(roles).alias("roles"),
         E.pregnancy_category(x).alias("category"), join(E.ingredient_words(F.col("ingredient"))).alias("ingredients"),
     )
 

@@ -30,3 +30,10 @@ def test_patients_have_all_kinds_of_context(spark):
     rows = both(spark, "patient_context")
     seen = {(r.target, r.current, r.diagnoses, r.allergies, r.child_pugh) for r in rows}
     assert seen == {("klaritromisin", "Varfarin", "", "", None), ("ramipril eklemek", "", "Hipertansiyon", "penisilin", None), (None, "metformin,aspirin,insülin", "", "", "B"), (None, "", "", "", None)}
+
+
+def test_customers_have_all_kinds_of_facts(spark):
+    rows = both(spark, "text_facts")
+    assert {r.mentions for r in rows} == {"", "Varfarin", "Digoksin inhibitör"}
+    assert {r.ingredients for r in rows} == {"asetilsalisilik", "suksinat; metoprolol", "klopidogrel", None, "parasetamol; klorfeniramin"}
+    assert {r.roles for r in rows} == {"", "CYP3A4 substrate", "CYP2D6 inhibitor", "CYP3A4 inhibitor"} and any(r.doses.endswith("; < 45.0 60.0 dose_reduction") for r in rows)

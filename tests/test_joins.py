@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import closeness, substrings
+from millrace.operators import closeness, graph, substrings
+from millrace.plans import QUERIES
 
 
 def plan(df):
@@ -89,3 +90,19 @@ def test_close_names_are_those_of_difflib(spark, monkeypatch, few, least, most):
         want = difflib.get_close_matches(x, [n for n in names if n], most, least) if x else []
         assert [n for _, n in sorted(found.get(k, []), reverse=True)] == want, x
     assert not any(w in plan(got) for w in ("Python", "Pandas", "NestedLoop", "Cartesian"))
+
+
+@pytest.mark.parametrize("name", ["peer_edges", "propagate_group_edges"])
+def test_edges_of_groups_are_sent_twice_and_read_from_one_exchange(spark, name):
+    """By their source, and by their group in arrays; members and ends of a group read the same exchange."""
+    got = QUERIES[name](spark, "/root/testdata/sf0.01")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 4  # two of them for each of members and ends, which are the same
+
+
+def test_null_ends_and_members_are_none(spark):
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a")], "id long, group string")
+    edges = spark.createDataFrame([(1, 10), (1, None), (None, 11)], "src long, dst long")
+    assert [tuple(r)[:3] for r in graph.peers(edges, members).collect()] == [(2, 10, 1)]
+    assert [tuple(r) for r in graph.lacking(edges, members.withColumnRenamed("id", "src")).collect()] == [(2, 10)]
+    assert [tuple(r)[:2] for r in graph.propagated(edges, members).collect()] == [(2, 10)]
